@@ -43,12 +43,19 @@ def split_lines(text: Column, universal: bool = False) -> Column:
     """Array of lines with terminators kept; a trailing '' piece is removed.
 
     ``universal=True`` gives str.splitlines (checklists), else bytes.splitlines.
+    (``operators.lines.to_lines`` explodes without this lookbehind split when
+    the text has only '\\n' terminators.)
     """
     parts = F.split(text, _SPLIT_STR_LINES if universal else _SPLIT_BYTES_LINES, -1)
     return F.when(F.element_at(parts, -1) == F.lit(""), F.slice(parts, 1, F.size(parts) - 1)) \
         .otherwise(parts)
 
 
+def other_terminators(text: Column, universal: bool = False) -> Column:
+    """True when the text has a line terminator other than '\\n'."""
+    return text.rlike("[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]" if universal else "\\r")
+
+
 def newline_count(text: Column) -> Column:
     """Count of '\\n' bytes (the log's ``stdout_lines``, QUIRK 1)."""
     return F.length(text) - F.length(F.regexp_replace(text, "\\n", ""))

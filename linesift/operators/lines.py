@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..functions.text import probably_binary, split_lines
+from ..functions.text import _SPLIT_BYTES_LINES, _SPLIT_STR_LINES, other_terminators, probably_binary
 
 
 def text_column(outputs: DataFrame, col: str = "stdout"):
@@ -35,8 +35,21 @@ def binary_flag(outputs: DataFrame, col: str = "stdout"):
 def to_lines(outputs: DataFrame, key: str = "output_id", col: str = "stdout",
              universal: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Explode each output into ordered lines; other columns are dropped first
-    (only ``key``, ``keep`` and the line go into the shuffle)."""
-    return (outputs
-            .select(F.col(key), *[F.col(k) for k in keep],
-                    F.posexplode(split_lines(text_column(outputs, col), universal)).alias("line_no", "line"))
-            .withColumn("line_no", F.col("line_no").cast("int")))
+    (only ``key``, ``keep`` and the line go into the shuffle).
+
+    Text whose only terminator is '\\n' is split on '\\n' (no regex engine) and
+    the terminator is put back on every piece but the last; other text takes
+    the lookbehind split of E1, which keeps terminators itself.
+    """
+    text = text_column(outputs, col)
+    fast = ~other_terminators(text, universal)
+    parts = F.when(fast, F.split(text, "\n", -1)).otherwise(
+        F.split(text, _SPLIT_STR_LINES if universal else _SPLIT_BYTES_LINES, -1))
+    d = outputs.select(F.col(key), *[F.col(k) for k in keep], fast.alias("_fast"), parts.alias("_parts"))
+    d = d.select(F.col(key), *[F.col(k) for k in keep], "_fast", F.size("_parts").alias("_n"),
+                 F.posexplode("_parts").alias("line_no", "_piece"))
+    last = F.col("line_no") == F.col("_n") - 1
+    line = F.when(F.col("_fast") & ~last, F.concat(F.col("_piece"), F.lit("\n"))).otherwise(F.col("_piece"))
+    return (d.where(~(last & (F.col("_piece") == F.lit(""))))
+            .select(F.col(key), *[F.col(k) for k in keep], F.col("line_no").cast("int").alias("line_no"),
+                    line.alias("line")))

@@ -15,6 +15,9 @@ so one huge output (or one hot user) would serialize the job.
 4. the summary is joined back on ``(key, chunk)`` and the final value is an
    in-chunk window plus the carry.
 
+The input is repartitioned by ``(key, chunk)`` first, so the summary branch and
+the main branch share one exchange (the plan shows a ReusedExchange).
+
 Every window on the big table is partitioned by ``(key, chunk)``: at most
 ``chunk_rows`` rows per window partition, whatever the key skew.  The big table
 is shuffled once, by ``(key, chunk)``; later scans on the same chunking reuse
@@ -70,6 +73,8 @@ def segmented_scan(
     keys = list(keys)
 
     d = with_chunk(df, pos, chunk_rows)
+    d = d.where(F.col(CHUNK_COL).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    d = d.repartition(*keys, CHUNK_COL)
     tmp = {}
     for group in (running_sum, running_max, next_min, total_sum):
         for out, expr in group.items():
