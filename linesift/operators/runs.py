@@ -60,12 +60,15 @@ def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: in
     """T1 (+ T2 when ``limit`` is not None): lines -> compacted rows (D3)."""
     d = with_ghosts(lines.select(F.col(key).alias("output_id"), "line_no", "line"), chunk_rows)
     wc = Window.partitionBy("output_id", CHUNK_COL).orderBy("line_no")
+    # "rows after this one" as a growing frame of the descending order: Spark
+    # evaluates shrinking (unbounded following) frames in O(n^2).
+    wd = Window.partitionBy("output_id", CHUNK_COL).orderBy(F.col("line_no").desc())
     real = ~F.col("_ghost")
     prev = F.lag("line").over(wc)
     d = d.withColumn("_start", F.when(real & (prev.isNull() | (prev != F.col("line"))), F.col("line_no")))
     d = d.withColumns({
         "_pm": F.max("_start").over(wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_nm": F.min("_start").over(wc.rowsBetween(1, Window.unboundedFollowing)),
+        "_nm": F.min("_start").over(wd.rowsBetween(Window.unboundedPreceding, -1)),
     })
     closed_len = F.col("_nm") - F.col("_start")
     d = d.withColumn("_xs", F.when(F.col("_start").isNotNull() & (closed_len > threshold), closed_len - 2)
@@ -78,9 +81,10 @@ def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: in
             .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_start").alias("_fs"), F.max("_start").alias("_ls"),
                  F.sum("_xs").alias("_inner")))
     wk = Window.partitionBy("output_id").orderBy(CHUNK_COL)
+    wkd = Window.partitionBy("output_id").orderBy(F.col(CHUNK_COL).desc())
     summ = summ.withColumns({
         "_c_pm": F.max("_ls").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-        "_c_nm": F.min("_fs").over(wk.rowsBetween(1, Window.unboundedFollowing)),
+        "_c_nm": F.min("_fs").over(wkd.rowsBetween(Window.unboundedPreceding, -1)),
         "_n": F.sum("_cnt").over(Window.partitionBy("output_id")),
     })
     tail_len = F.coalesce(F.col("_c_nm"), F.col("_n")) - F.col("_ls")

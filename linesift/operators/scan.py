@@ -97,7 +97,9 @@ def segmented_scan(
     summary = d.groupBy(*keys, CHUNK_COL).agg(*aggs)
     wk = Window.partitionBy(*keys).orderBy(CHUNK_COL)
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    after = wk.rowsBetween(1, Window.unboundedFollowing)
+    # rows after = growing frame of the descending order (a shrinking
+    # "unbounded following" frame is evaluated in O(n^2) by Spark)
+    after = Window.partitionBy(*keys).orderBy(F.col(CHUNK_COL).desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     carries = [F.col(k) for k in keys] + [F.col(CHUNK_COL)]
     for out in running_sum:
@@ -115,7 +117,8 @@ def segmented_scan(
     d = d.join(summary, on=[*keys, CHUNK_COL], how="inner")
     wc = Window.partitionBy(*keys, CHUNK_COL).orderBy(pos)
     upto = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = wc.rowsBetween(1, Window.unboundedFollowing)
+    rest = Window.partitionBy(*keys, CHUNK_COL).orderBy(F.col(pos).desc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
 
     outs = []
     for out in running_sum:

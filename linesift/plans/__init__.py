@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills ``catalog.QUERIES`` / ``catalog.ORACLE``."""
 
-from . import compaction, sessions, trials, usage  # noqa: F401
+from . import checklists, compaction, search, sessions, trials, usage  # noqa: F401
 from .catalog import ORACLE, QUERIES  # noqa: F401
