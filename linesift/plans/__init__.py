@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills ``catalog.QUERIES`` / ``catalog.ORACLE``."""
 
-from . import checklists, compaction, listing, search, sessions, trials, usage, vcs  # noqa: F401
+from . import checklists, compaction, documents, listing, search, sessions, trials, usage, vcs  # noqa: F401
 from .catalog import ORACLE, QUERIES  # noqa: F401
