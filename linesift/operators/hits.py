@@ -48,7 +48,7 @@ def classify_hits(lines: DataFrame, key: str = "output_id") -> DataFrame:
     return lines.select(
         F.col(key).alias("output_id"), "line_no", "line", kind.alias("kind"),
         F.when(is_hit, F.regexp_extract(raw, HIT_RE, 1)).alias("file"),
-        F.when(is_hit, F.regexp_extract(raw, HIT_RE, 2).cast("long")).alias("hit_n"),
+        F.when(is_hit, F.regexp_extract(raw, HIT_RE, 2).try_cast("long")).alias("hit_n"),
         F.when(is_hit, ws_strip(F.regexp_extract(raw, HIT_RE, 3))).alias("text_key"))
 
 

@@ -125,7 +125,7 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     heads = d.where(F.col("_hh")).select(
         "output_id", F.col("line_no").cast("long").alias("_hunk"),
         F.regexp_extract("line", HUNK_HEADER_RE, 1).alias("_ns_s"))
-    heads = heads.select("output_id", "_hunk", F.when(F.col("_ns_s") != "", F.col("_ns_s").cast("long")).alias("_ns"))
+    heads = heads.select("output_id", "_hunk", F.when(F.col("_ns_s") != "", F.col("_ns_s").try_cast("long")).alias("_ns"))
     b = d.where(F.col("_body")).select("output_id", "_hunk", "line_no", "line").join(heads, ["output_id", "_hunk"], "left")
     wh = Window.partitionBy("output_id", "_hunk").orderBy("line_no")
     whd = Window.partitionBy("output_id", "_hunk").orderBy(F.col("line_no").desc())

@@ -9,6 +9,7 @@ sides; every computed column carries the same alias on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings the registered queries assume: UTC session time (day
+    labels, timestamp casts) and a checkpoint folder (the cluster's when set)."""
+    from ..session import ensure_checkpoint_dir
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -112,7 +126,7 @@ def sql_invocations() -> str:
     """``events`` as an invocation log (same derivation as inputs.event_invocations)."""
     return """
 _ev AS (
-  SELECT *, CAST(regexp_extract(props, '"k":\\s*(-?\\d+)', 1) AS BIGINT) AS k FROM events
+  SELECT *, TRY_CAST(regexp_extract(props, '"k":\\s*(-?\\d+)', 1) AS BIGINT) AS k FROM events
 ),
 inv AS (
   SELECT event_id, ts, 's' || CAST(user_id AS VARCHAR) AS session_id, event_type AS command, [props] AS args,

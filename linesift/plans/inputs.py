@@ -36,7 +36,7 @@ def event_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     (logged as compacted but saving nothing) and k / 2 otherwise.
     """
     ev = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).cast("long")
+    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).try_cast("long")
     return ev.select(
         F.col("event_id"), F.col("ts"),
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),

@@ -16,7 +16,7 @@ GAP_SECONDS = 6 * 3600
 
 def _events(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).cast("long")
+    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).try_cast("long")
     return ev.select("event_id", "user_id", "ts", "event_type",
                      F.when(F.col("event_type") == "signup", "onboarding").otherwise("product").alias("context_root"),
                      F.when((F.col("event_type") == "error") & (k < 5), F.lit("manual")).alias("override_id"),
@@ -27,7 +27,7 @@ def _events(spark, sf_dir):
 _SQL_EV = """
 ev AS (
   SELECT event_id, user_id, ts, CASE WHEN event_type = 'signup' THEN 'onboarding' ELSE 'product' END AS context_root,
-         CASE WHEN event_type = 'error' AND CAST(regexp_extract(props, '"k":\\s*(-?\\d+)', 1) AS BIGINT) < 5
+         CASE WHEN event_type = 'error' AND TRY_CAST(regexp_extract(props, '"k":\\s*(-?\\d+)', 1) AS BIGINT) < 5
               THEN 'manual' END AS override_id,
          CASE WHEN event_type = 'purchase' THEN 'thread-' || CAST(user_id AS VARCHAR) END AS thread_id
   FROM events

@@ -70,7 +70,7 @@ FROM eff2 GROUP BY 1, 2""")
 def stream_savings_q(spark, sf_dir):
     """S8 + W6: running savings per day and command over the replayed log."""
     ev = events_stream(spark, sf_dir)
-    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).cast("long")
+    k = F.regexp_extract("props", '"k":\\s*(-?\\d+)', 1).try_cast("long")
     inv = ev.select(
         "ts", F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
         F.col("event_type").alias("command"), F.floor(F.col("value") * 100).cast("long").alias("stdout_bytes"),
