@@ -77,15 +77,31 @@ def parse_ts(c: Column) -> Column:
 def read_invocations(spark: SparkSession, path: str, session_id: str | None = None,
                      since=None, until=None) -> DataFrame:
     """S1 (+ S2 session, S3 inclusive time range).  Blank lines give no row;
-    bad JSON, bare scalars and non-object lines are skipped."""
-    reader = (spark.read.schema(_lenient(INVOCATION_SCHEMA)).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", _CORRUPT))
-    if session_id is not None and not _partitioned(spark, path):
+    bad JSON, bare scalars and non-object lines are skipped.
+
+    Lines are read as text (partition folders ``session_id=<id>`` are still
+    discovered, so choosing a session prunes folders) and parsed with
+    ``from_json``; a line is kept when it is a JSON object that parsed."""
+    partitioned = _partitioned(spark, path)
+    reader = spark.read
+    if session_id is not None and not partitioned:
         reader = reader.option("pathGlobFilter", f"{session_id}.jsonl")
-    df = reader.json(path)
-    df = df.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    raw = reader.text(path)
+    if session_id is not None and partitioned:
+        raw = raw.where(F.col("session_id") == session_id)        # partition pruning
+    value = F.trim(F.col("value"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    parsed = raw.where(value.startswith("{")).withColumn("_e", F.from_json("value", _lenient(INVOCATION_SCHEMA), opts))
+    parsed = parsed.where(F.col("_e").isNotNull() & F.col(f"_e.{_CORRUPT}").isNull())
+    cols = []
+    for f in INVOCATION_SCHEMA.fields:
+        c = F.col(f"_e.{f.name}")
+        if f.name == "session_id" and "session_id" in raw.columns:
+            c = F.coalesce(c, F.col("session_id").cast("string"))
+        cols.append(c.alias(f.name))
+    df = parsed.select(*cols)
     if session_id is not None:
-        df = df.where(F.col("session_id") == session_id)          # partition pruning on our layout
+        df = df.where(F.col("session_id") == session_id)
     df = df.withColumn("ts", parse_ts(F.col("timestamp")))
     if since is not None:
         df = df.where(F.col("ts").isNotNull() & (F.col("ts") >= F.lit(since).cast("timestamp")))
@@ -132,8 +148,9 @@ def to_log_records(facts: DataFrame) -> DataFrame:
 
 def write_invocations(records: DataFrame, path: str) -> None:
     """K1: append records as JSON lines, one folder per session (NULL fields are
-    omitted by the JSON writer)."""
-    records.repartition("session_id").write.mode("append").partitionBy("session_id").json(path)
+    omitted by the JSON writer).  No repartition by session: every task writes
+    its own file per session it holds, so a hot session is spread over tasks."""
+    records.write.mode("append").partitionBy("session_id").json(path)
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -183,7 +200,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def write_events(events: DataFrame, path: str) -> None:
     """Write event rows (``run_id, line_no`` + event fields) as one JSONL log per
-    run, lines in ``line_no`` order."""
+    run, lines in ``line_no`` order (the reader's unit is one run's log file, as
+    an agent session writes it; one run is one task here)."""
     cols = [c for c in events.columns if c not in ("run_id", "line_no")]
     (events.repartition("run_id").sortWithinPartitions("run_id", "line_no")
      .select("run_id", *cols).write.mode("overwrite").partitionBy("run_id").json(path))

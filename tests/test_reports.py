@@ -102,8 +102,8 @@ def test_trial_missing_variant_and_zero_baseline(spark):
     d = {(r.trial, r.metric): r.delta_pct for r in X.trial_deltas(runs).collect()}
     assert d[(1, "input_tokens")] is None and d[(2, "input_tokens")] is None
     agg = {r.metric: r for r in X.aggregate_deltas(X.trial_deltas(runs)).collect()}
-    assert agg["input_tokens"].count == 0 and agg["input_tokens"].stdev_pct_points is None
-    assert agg["output_tokens"].count == 1 and agg["output_tokens"].stdev_pct_points == 0.0
+    assert agg["input_tokens"]["count"] == 0 and agg["input_tokens"].stdev_pct_points is None
+    assert agg["output_tokens"]["count"] == 1 and agg["output_tokens"].stdev_pct_points == 0.0
 
 
 CHECKLIST = """# Tasks
