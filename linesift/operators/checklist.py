@@ -26,12 +26,8 @@ def _strip(c):
     return F.regexp_replace(c, "^" + _PY_WS + "+|" + _PY_WS + "+$", "")
 
 
-def checklist_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(phases, tasks).
-
-    phases: ``doc_id, phase_index, title, line``;
-    tasks:  ``doc_id, phase_index, title, done, line``.
-    """
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass over the lines: phase/task flags and the running phase index."""
     lines = to_lines(docs.select(F.col(key).alias("output_id"), F.col(text).alias("stdout")), universal=True)
     lines = lines.select(F.col("output_id").alias(key), (F.col("line_no") + 1).alias("line"),
                          _rstrip(F.col("line")).alias("raw"))
@@ -40,54 +36,66 @@ def checklist_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     is_phase = heading & head_title.startswith("Phase ")
     lines = lines.withColumns({"_heading": heading, "_phase": is_phase.cast("int"), "_htitle": head_title})
     lines = segmented_scan(lines, [key], "line", running_sum={"phase_index": F.col("_phase")}).drop(CHUNK_COL)
-
-    phases = lines.where(F.col("_phase") == 1).select(key, "phase_index", F.col("_htitle").alias("title"), "line")
     marker = F.lower(F.substring("raw", 4, 1))
     title = _strip(F.substring("raw", 7, 1 << 30))
     task = (~F.col("_heading") & F.col("raw").startswith("- [") & (F.length("raw") >= 7)
             & marker.isin(" ", "x") & (F.substring("raw", 5, 1) == "]") & (F.substring("raw", 6, 1) == " ")
             & (F.col("phase_index") > 0) & (title != ""))
-    tasks = lines.where(task).select(key, "phase_index", title.alias("title"), (marker == "x").alias("done"), "line")
-    return phases, tasks
+    return lines.select(key, "phase_index", "line", (F.col("_phase") == 1).alias("is_phase"),
+                        F.col("_htitle").alias("phase_title"), task.alias("is_task"),
+                        F.when(task, title).alias("title"), (task & (marker == "x")).alias("done"))
 
 
-def checklist_phases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per phase: totals, done, pending, completed flag, first open task."""
-    phases, tasks = checklist_tasks(docs, key, text)
-    return _phase_summary(phases, tasks, key)
+def checklist_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(phases, tasks).
+
+    phases: ``doc_id, phase_index, title, line``;
+    tasks:  ``doc_id, phase_index, title, done, line``.
+    """
+    lines = _lines(docs, key, text)
+    phases = lines.where("is_phase").select(key, "phase_index", F.col("phase_title").alias("title"), "line")
+    tasks = lines.where("is_task").select(key, "phase_index", "title", "done", "line")
+    return phases, tasks
 
 
-def _phase_summary(phases: DataFrame, tasks: DataFrame, key: str) -> DataFrame:
-    agg = tasks.groupBy(key, "phase_index").agg(
-        F.count(F.lit(1)).alias("total_tasks"), F.count_if("done").alias("completed_tasks"),
-        F.min_by(F.when(~F.col("done"), F.col("title")), F.when(~F.col("done"), F.col("line"))).alias("next_task"))
-    d = phases.join(agg, [key, "phase_index"], "left")
-    z = F.lit(0).cast("long")
-    d = d.withColumns({"total_tasks": F.coalesce("total_tasks", z), "completed_tasks": F.coalesce("completed_tasks", z)})
-    return d.select(key, "phase_index", "title", "line", "total_tasks", "completed_tasks",
-                    (F.col("total_tasks") - F.col("completed_tasks")).alias("pending_tasks"),
-                    ((F.col("total_tasks") > 0) & (F.col("total_tasks") == F.col("completed_tasks"))).alias("completed"),
-                    "next_task")
+def checklist_phases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per phase: totals, done, pending, completed flag, first open task.
+
+    One hash aggregate over the phase and task lines (a phase row carries the
+    title and line, task rows the counts), so the lines are scanned once."""
+    lines = _lines(docs, key, text).where(F.col("is_phase") | F.col("is_task"))
+    open_t = F.col("is_task") & ~F.col("done")
+    agg = lines.groupBy(key, "phase_index").agg(
+        F.max(F.when(F.col("is_phase"), F.col("phase_title"))).alias("title"),
+        F.max(F.when(F.col("is_phase"), F.col("line"))).alias("line"),
+        F.count_if("is_task").alias("total_tasks"), F.count_if("done").alias("completed_tasks"),
+        F.min_by(F.when(open_t, F.col("title")), F.when(open_t, F.col("line"))).alias("next_task"),
+        F.min(F.when(open_t, F.col("line"))).alias("next_task_line"))
+    return agg.select(key, "phase_index", "title", "line", "total_tasks", "completed_tasks",
+                      (F.col("total_tasks") - F.col("completed_tasks")).alias("pending_tasks"),
+                      ((F.col("total_tasks") > 0) & (F.col("total_tasks") == F.col("completed_tasks"))).alias("completed"),
+                      "next_task", "next_task_line")
 
 
 def checklist_status(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: phase count, all-done flag, next task (title, line,
-    phase title, phase index) and the current phase (the next task's phase)."""
-    phases, tasks = checklist_tasks(docs, key, text)
-    counts = phases.groupBy(key).agg(F.count(F.lit(1)).alias("phase_count"))
-    open_t = tasks.where(~F.col("done")).groupBy(key).agg(
-        F.min_by(F.struct("title", "line", "phase_index"), F.col("line")).alias("_n"))
-    summary = _phase_summary(phases, tasks, key)
-    cur = summary.select(F.col(key).alias("_ck"), F.col("phase_index").alias("_cpi"),
-                         F.struct(*[c for c in summary.columns if c != key]).alias("current_phase"))
-    d = docs.select(F.col(key)).join(counts, key, "left").join(open_t, key, "left")
-    d = d.join(cur, (F.col(key) == F.col("_ck")) & (F.col("_n.phase_index") == F.col("_cpi")), "left")
+    phase title, phase index) and the current phase (the next task's phase),
+    from the per-phase summary (one row per phase)."""
+    ph = checklist_phases(docs, key, text)
+    phase = F.struct(*[c for c in ph.columns if c not in (key, "next_task_line")])
+    per_doc = ph.groupBy(key).agg(
+        F.count(F.lit(1)).alias("phase_count"),
+        F.min_by(F.when(F.col("next_task").isNotNull(), phase),
+                 F.when(F.col("next_task").isNotNull(), F.col("phase_index"))).alias("current_phase"),
+        F.min_by(F.when(F.col("next_task").isNotNull(), F.col("next_task_line")),
+                 F.when(F.col("next_task").isNotNull(), F.col("phase_index"))).alias("_line"))
+    d = docs.select(F.col(key)).join(per_doc, key, "left")
     return d.select(
         key, F.coalesce("phase_count", F.lit(0).cast("long")).alias("phase_count"),
-        F.col("_n").isNull().alias("all_tasks_done"),
-        F.col("_n.title").alias("next_task_title"), F.col("_n.line").alias("next_task_line"),
-        F.col("current_phase.title").alias("next_task_phase"), F.col("_n.phase_index").alias("next_task_phase_index"),
-        "current_phase")
+        F.col("current_phase").isNull().alias("all_tasks_done"),
+        F.col("current_phase.next_task").alias("next_task_title"), F.col("_line").alias("next_task_line"),
+        F.col("current_phase.title").alias("next_task_phase"),
+        F.col("current_phase.phase_index").alias("next_task_phase_index"), "current_phase")
 
 
 def checklist_json(status: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,8 @@ def output_facts(outputs: DataFrame, key: str = "output_id") -> DataFrame:
     """Sizes of the raw outputs; the text blob is dropped here, before any shuffle."""
     text = text_column(outputs)
     cols = [F.col(key).alias("output_id"), F.col("command"),
-            F.size(F.split(text, "\\r\\n|\\r|\\n", -1)).alias("_pieces"),
+            F.when(F.instr(text, "\r") == 0, newline_count(text) + 1)
+            .otherwise(F.size(F.split(text, "\\r\\n|\\r|\\n", -1))).alias("_pieces"),
             (F.substring(text, -1, 1).rlike("^[\\r\\n]$") | (F.length(text) == 0)).alias("_ends_eol"),
             newline_count(text).cast("long").alias("stdout_lines"),
             (F.length(text) if outputs.schema["stdout"].dataType.typeName() == "binary"

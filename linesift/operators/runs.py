@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, materialize, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 REPEAT_THRESHOLD = 3
@@ -75,7 +75,7 @@ def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: in
                      .otherwise(F.lit(0)))
     d = d.withColumn("_xb", F.coalesce(
         F.sum("_xs").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.where(real)
+    d = materialize(d.where(real))        # read by the summary and the main branch
 
     summ = (d.groupBy("output_id", CHUNK_COL)
             .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_start").alias("_fs"), F.max("_start").alias("_ls"),

@@ -15,8 +15,12 @@ so one huge output (or one hot user) would serialize the job.
 4. the summary is joined back on ``(key, chunk)`` and the final value is an
    in-chunk window plus the carry.
 
-The input is repartitioned by ``(key, chunk)`` first, so the summary branch and
-the main branch share one exchange (the plan shows a ReusedExchange).
+The input is repartitioned by ``(key, chunk)`` and materialized once with a
+reliable ``checkpoint()`` (into ``spark.checkpoint.dir``): the summary branch
+and the main branch both read it, so nested scans never recompute their input,
+lineage is cut at every level (a lost executor costs one level, not the whole
+chain), and the checkpoint keeps the hash partitioning, so neither the summary
+aggregate nor the in-chunk windows shuffle the big table again.
 
 Every window on the big table is partitioned by ``(key, chunk)``: at most
 ``chunk_rows`` rows per window partition, whatever the key skew.  The big table
@@ -35,6 +39,23 @@ CHUNK_COL = "_chunk"
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for its several readers.
+
+    ``LINESIFT_MATERIALIZE=persist`` (default): lazy ``persist(MEMORY_AND_DISK)``,
+    spilled to disk under memory pressure; a lost executor's blocks are
+    recomputed from lineage.  ``=checkpoint``: reliable eager checkpoint into
+    ``spark.checkpoint.dir`` (cuts lineage; for very long chains)."""
+    import os
+
+    from pyspark import StorageLevel
+    if os.environ.get("LINESIFT_MATERIALIZE", "persist") == "checkpoint":
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def with_chunk(df: DataFrame, pos: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add the chunk column (no-op if present)."""
     if CHUNK_COL in df.columns:
@@ -74,13 +95,13 @@ def segmented_scan(
 
     d = with_chunk(df, pos, chunk_rows)
     d = d.where(F.col(CHUNK_COL).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
-    d = d.repartition(*keys, CHUNK_COL)
     tmp = {}
     for group in (running_sum, running_max, next_min, total_sum):
         for out, expr in group.items():
             name = f"_v_{out}"
             tmp[out] = name
             d = d.withColumn(name, expr)
+    d = materialize(d.repartition(*keys, CHUNK_COL))
 
     aggs = []
     for out in running_sum:

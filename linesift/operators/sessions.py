@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import CHUNK_COL
+from .scan import CHUNK_COL, materialize
 
 # Fixed value of the reference: 30 minutes of idle time end a session.
 DEFAULT_GAP_SECONDS = 30 * 60
@@ -59,6 +59,7 @@ def sessionize(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = D
     upto = wc.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumns({"_lcum": F.sum("_lnew").over(upto),
                        "_lstart": F.max(F.when(F.col("_lnew") == 1, F.col(ts))).over(upto)})
+    d = materialize(d)                    # read by the summary and the main branch
 
     summ = (d.groupBy(key, CHUNK_COL)
             .agg(F.min("_us").alias("_fus"), F.min_by("_ctx", F.struct(*order)).alias("_fctx"),

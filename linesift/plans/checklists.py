@@ -81,7 +81,7 @@ summary AS (
 SELECT * FROM summary""")
 def checklist_phases_q(spark, sf_dir):
     """C1 + C2."""
-    return checklist_phases(checklist_docs(spark, sf_dir))
+    return checklist_phases(checklist_docs(spark, sf_dir)).drop("next_task_line")
 
 
 @register("checklist_status", _SQL + """,
