@@ -21,22 +21,42 @@ _SPLIT_BYTES_LINES = "(?<=\\n)|(?<=\\r)(?!\\n)"
 _SPLIT_STR_LINES = "(?<=\\n)|(?<=\\r)(?!\\n)|(?<=[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029])"
 
 
+# Whitespace sets (fixed values): bytes.strip() and str.strip() of Python.
+ASCII_WS = " \t\n\r\x0b\x0c"
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200b))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def ws_strip(c: Column) -> Column:
-    """bytes.strip(): remove [ \\t\\n\\r\\x0b\\f] at both ends (Spark trim() only removes spaces)."""
-    return F.regexp_replace(c, "^[ \\t\\n\\r\\x0b\\f]+|[ \\t\\n\\r\\x0b\\f]+$", "")
+    """bytes.strip(): remove [ \\t\\n\\r\\x0b\\f] at both ends (Spark trim() alone removes spaces only).
+    TRIM with a character set: no regex engine."""
+    return F.trim(c, F.lit(ASCII_WS))
 
 
 def ws_lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, "^[ \\t\\n\\r\\x0b\\f]+", "")
+    return F.ltrim(c, F.lit(ASCII_WS))
 
 
 def ws_rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, "[ \\t\\n\\r\\x0b\\f]+$", "")
+    return F.rtrim(c, F.lit(ASCII_WS))
+
+
+def py_strip(c: Column) -> Column:
+    """str.strip() (Unicode whitespace)."""
+    return F.trim(c, F.lit(PY_WS_CHARS))
+
+
+def py_lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(PY_WS_CHARS))
+
+
+def py_rstrip(c: Column) -> Column:
+    return F.rtrim(c, F.lit(PY_WS_CHARS))
 
 
 def eol_strip(c: Column) -> Column:
     """rstrip(b'\\n\\r'): the line without its terminator."""
-    return F.regexp_replace(c, "[\\n\\r]+$", "")
+    return F.rtrim(c, F.lit("\n\r"))
 
 
 def split_lines(text: Column, universal: bool = False) -> Column:
@@ -52,13 +72,15 @@ def split_lines(text: Column, universal: bool = False) -> Column:
 
 
 def other_terminators(text: Column, universal: bool = False) -> Column:
-    """True when the text has a line terminator other than '\\n'."""
-    return text.rlike("[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]" if universal else "\\r")
+    """True when the text has a line terminator other than '\\n' (a character
+    deletion and a length test: no regex engine)."""
+    chars = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029" if universal else "\r"
+    return F.length(F.translate(text, chars, "")) < F.length(text)
 
 
 def newline_count(text: Column) -> Column:
     """Count of '\\n' bytes (the log's ``stdout_lines``, QUIRK 1)."""
-    return F.length(text) - F.length(F.regexp_replace(text, "\\n", ""))
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
 
 
 def octets(c: Column) -> Column:

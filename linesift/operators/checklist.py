@@ -11,19 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import py_rstrip, py_strip
 from .lines import to_lines
 from .scan import CHUNK_COL, segmented_scan
 
-# Python str.strip() whitespace.
-_PY_WS = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-
-
 def _rstrip(c):
-    return F.regexp_replace(c, _PY_WS + "+$", "")
+    return py_rstrip(c)
 
 
 def _strip(c):
-    return F.regexp_replace(c, "^" + _PY_WS + "+|" + _PY_WS + "+$", "")
+    return py_strip(c)
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:

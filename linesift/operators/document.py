@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_hint, ws_lstrip, ws_rstrip, ws_strip
+from ..functions.text import compact_hint, py_lstrip, py_strip, ws_lstrip, ws_rstrip, ws_strip
 from .compare import DEFAULT_MARKER
 from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, segmented_scan
 
@@ -27,21 +27,11 @@ OUTLINE_THRESHOLD = 100
 HINT_LOOKAHEAD = 12
 HINT_CHARS = 80
 DOCSTRING_RE = "^([rRuUbBfF]*)([\"']{3}|[\"'])"
-# Python str whitespace (for decoded text)
-PY_WS = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
-
-
-def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, "^" + PY_WS + "+|" + PY_WS + "+$", "")
-
-
-def py_lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, "^" + PY_WS + "+", "")
 
 
 def _decoded(line: Column) -> Column:
     """Decoded text of a line without its terminator."""
-    return F.regexp_replace(line, "[\\n\\r]+$", "")
+    return F.rtrim(line, F.lit("\n\r"))
 
 
 def indent_of(line: Column) -> Column:

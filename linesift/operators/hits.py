@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import eol_strip, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 MATCH_CAP = 5
@@ -70,7 +70,7 @@ def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = C
                         chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T3 + T4: lines -> compacted rows (D3): kept lines in order, then one
     note per file with omitted hits, in order of the file's first hit."""
-    c = classify_hits(lines, key)
+    c = cut(classify_hits(lines, key))      # read by the scans below: one leaf
     st = hit_status(c, cap, chunk_rows)
     d = c.join(st.select("output_id", "line_no", "status"), ["output_id", "line_no"], "left")
     ev = (F.when(F.col("kind") == "sep", S).when(F.col("kind") == "other", O)
@@ -89,14 +89,16 @@ def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = C
         (nxt == K) | ((F.col("_next").isNull() | nxt.isin(S, O)) & prev_not_d))
     keep = ((F.col("_ev") == K) | (F.col("_ev") == O) | ((F.col("_ev") == S) & ((F.col("_next_nd") % 8) == K))
             | keep_ctx)
-    kept = segmented_scan(d.where(keep).select("output_id", "line_no", "line"), ["output_id"], "line_no",
+    # one leaf for the kept-row scan and the per-file notes
+    e = cut(d.select("output_id", "line_no", "line", "kind", "file", "hit_n", "status", keep.alias("_keep")))
+    kept = segmented_scan(e.where("_keep").select("output_id", "line_no", "line"), ["output_id"], "line_no",
                           chunk_rows=chunk_rows, running_sum={"_cum": F.lit(1)},
                           total_sum={"_total": F.lit(1)}).drop(CHUNK_COL)
     body = kept.select("output_id", (F.col("_cum") - 1).cast("long").alias("seq"), F.lit("line").alias("kind"),
                        F.col("line_no").alias("src_line_no"), "line", F.lit(0).cast("long").alias("n_omitted"))
 
-    notes = search_hit_summary(st, marker).where(F.col("omitted") > 0)
-    totals = kept.groupBy("output_id").agg(F.count(F.lit(1)).alias("_total"))
+    notes = search_hit_summary(e.where(F.col("kind") == "hit"), marker).where(F.col("omitted") > 0)
+    totals = e.groupBy("output_id").agg(F.count_if("_keep").alias("_total"))
     nrank = F.row_number().over(Window.partitionBy("output_id").orderBy("first_hit_line"))
     notes = (notes.join(totals, "output_id", "left")
              .select("output_id", (F.coalesce("_total", F.lit(0)) + nrank - 1).cast("long").alias("seq"),

@@ -56,6 +56,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable eager checkpoint into ``spark.checkpoint.dir``: the result is a
+    leaf (plan and lineage cut).  Used at the entry of operators that stack
+    several two-level scans, so their plans do not grow with the input's plan."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def with_chunk(df: DataFrame, pos: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add the chunk column (no-op if present)."""
     if CHUNK_COL in df.columns:
