@@ -72,15 +72,18 @@ def split_lines(text: Column, universal: bool = False) -> Column:
 
 
 def other_terminators(text: Column, universal: bool = False) -> Column:
-    """True when the text has a line terminator other than '\\n' (a character
-    deletion and a length test: no regex engine)."""
+    """True when the text has a line terminator other than '\\n' (plain
+    substring searches: no regex engine, no copy of the text)."""
     chars = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029" if universal else "\r"
-    return F.length(F.translate(text, chars, "")) < F.length(text)
+    found = F.lit(False)
+    for ch in chars:
+        found = found | (F.instr(text, ch) > 0)
+    return found
 
 
 def newline_count(text: Column) -> Column:
     """Count of '\\n' bytes (the log's ``stdout_lines``, QUIRK 1)."""
-    return F.length(text) - F.length(F.translate(text, "\n", ""))
+    return F.size(F.split(text, "\n", -1)) - 1          # single-char split: no regex engine
 
 
 def octets(c: Column) -> Column:
