@@ -80,3 +80,16 @@ def stream_savings_q(spark, sf_dir):
         ((F.col("event_type") == "error") & (k < 10)).alias("full"))
     res = drain(spark, stream_savings(inv, watermark=REPLAY_WATERMARK), "update", "w6", latest_by=["day", "command"])
     return rounded(res)
+
+
+@register("stream_log_savings", ORACLE["stream_savings"])
+def stream_log_savings(spark, sf_dir):
+    """K1 -> S8 -> W6: the invocation log written as JSON folders per session,
+    tailed as a file stream, running savings per day and command."""
+    from ..sources.logs import stream_invocations
+    from .edges import _write_log
+    path = _write_log(spark, sf_dir)
+    inv = stream_invocations(spark, path, max_files_per_trigger=64)
+    res = drain(spark, stream_savings(inv, watermark=REPLAY_WATERMARK), "update", "w6log",
+                latest_by=["day", "command"])
+    return rounded(res)

@@ -122,10 +122,14 @@ def _partitioned(spark: SparkSession, path: str) -> bool:
 def stream_invocations(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Tail a log directory as a stream.  Producers must add new files
     (``write_invocations`` does); Spark's file source treats a seen file as final."""
-    r = spark.readStream.schema(INVOCATION_SCHEMA)
+    r = spark.readStream.schema(INVOCATION_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path).withColumn("ts", parse_ts(F.col("timestamp")))
+    df = r.json(path)
+    # our sink keeps the session in the folder name (session_id=<id>)
+    folder = F.regexp_extract(F.input_file_name(), "session_id=([^/]+)", 1)
+    return df.withColumns({"session_id": F.coalesce(F.col("session_id"), F.when(folder != "", folder)),
+                           "ts": parse_ts(F.col("timestamp"))})
 
 
 def to_log_records(facts: DataFrame) -> DataFrame:
