@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_commit_header, is_oneline_commit, strip_graph, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 LOG_MAX_ENTRIES = 20
@@ -102,8 +102,11 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     with a space becomes ``... (N lines omitted, lines a-b)`` in new-file
     numbering, any other gap is kept whole.
 
-    Hunk-level windows are partitioned by (output, hunk); output-level state
-    (current hunk, running position) uses two-level scans.
+    No window spans a hunk or an output: the current hunk, a global body
+    index, the nearest change before/after each body row (prefix max / suffix
+    min of change positions, checked against the hunk's bounds), the new-file
+    line counter and the gap islands are two-level scans over the output;
+    per-hunk and per-gap facts are hash aggregates joined back.
     """
     l = F.col("line")
     d = lines.select(F.col(key).alias("output_id"), "line_no", "line")
@@ -121,42 +124,48 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     d = d.withColumns({"_body": body, "_hunk": F.when(in_hunk, F.floor(F.col("_last") / 2))})
     compress_headers = F.col("_files") > multifile
 
-    # hunk-level compaction (body rows only)
+    # hunk-level compaction (body rows only), without windows over a hunk:
+    # output-level two-level scans over a global body index ``_gbi``.
+    d = cut(d)                     # read by the body path, the non-body path and the file count
     heads = d.where(F.col("_hh")).select(
         "output_id", F.col("line_no").cast("long").alias("_hunk"),
         F.regexp_extract("line", HUNK_HEADER_RE, 1).alias("_ns_s"))
     heads = heads.select("output_id", "_hunk", F.when(F.col("_ns_s") != "", F.col("_ns_s").try_cast("long")).alias("_ns"))
-    b = d.where(F.col("_body")).select("output_id", "_hunk", "line_no", "line").join(heads, ["output_id", "_hunk"], "left")
-    wh = Window.partitionBy("output_id", "_hunk").orderBy("line_no")
-    whd = Window.partitionBy("output_id", "_hunk").orderBy(F.col("line_no").desc())
-    whole = Window.partitionBy("output_id", "_hunk")
     change = l.startswith("+") | l.startswith("-")
     nonl = l.startswith("\\ ")
-    b = b.withColumns({"_bi": F.row_number().over(wh) - 1, "_nb": F.count(F.lit(1)).over(whole),
-                       "_int": change | nonl | F.coalesce(F.lead(nonl).over(wh), F.lit(False)),
-                       "_adv": (~l.startswith("-")).cast("int")})
-    bi_int = F.when(F.col("_int"), F.col("_bi"))
-    b = b.withColumns({
-        "_li": F.max(bi_int).over(wh.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_ni": F.min(bi_int).over(whd.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_any": F.max(F.col("_int").cast("int")).over(whole),
-        "_newb": F.coalesce(F.sum("_adv").over(wh.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    })
-    kept = ((F.col("_bi") - F.col("_li")) <= context) | ((F.col("_ni") - F.col("_bi")) <= context)
-    b = b.withColumn("_kept", F.coalesce(kept, F.lit(False)))
-    b = b.withColumns({"_allkept": F.min(F.col("_kept").cast("int")).over(whole),
-                       "_island": F.sum(F.col("_kept").cast("int")).over(
-                           wh.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    compress = (F.col("_nb") > min_hunk) & (F.col("_any") == 1) & (F.col("_allkept") == 0)
-    b = b.withColumn("_compress", compress)
-    wg = Window.partitionBy("output_id", "_hunk", "_island")
+    b = d.where(F.col("_body")).select("output_id", "_hunk", "line_no", "line")
+    b = segmented_scan(b, ["output_id"], "line_no", chunk_rows=chunk_rows,
+                       running_sum={"_gbi": F.lit(1), "_advc": (~l.startswith("-")).cast("int")}).drop(CHUNK_COL)
+    b = b.withColumns({"_int0": change | nonl, "_nonl": nonl,
+                       "_advb": F.col("_advc") - (~l.startswith("-")).cast("int")})
+    b = segmented_scan(b, ["output_id"], "_gbi", chunk_rows=chunk_rows,
+                       running_max={"_li0": F.when(F.col("_int0"), F.col("_gbi"))},
+                       next_min={"_ni0x": F.when(F.col("_int0"), F.col("_gbi")),
+                                 "_nnx": F.when(F.col("_nonl"), F.col("_gbi"))}).drop(CHUNK_COL)
+    hunks = b.groupBy("output_id", "_hunk").agg(
+        F.count(F.lit(1)).alias("_nb"), F.min("_gbi").alias("_hs"), F.max("_gbi").alias("_he"),
+        F.max(F.col("_int0").cast("int")).alias("_any"), F.min("_advb").alias("_adv0"))
+    hunks = hunks.join(heads, ["output_id", "_hunk"], "left")
+    b = b.join(hunks, ["output_id", "_hunk"])
+    x = F.col("_gbi")
+    next_is_nonl = (F.col("_nnx") == x + 1) & (F.col("_nnx") <= F.col("_he"))
+    li = F.when(next_is_nonl, x).otherwise(F.col("_li0"))
+    ni_int = F.when(F.col("_int0"), x).otherwise(F.col("_ni0x"))
+    ni = F.least(ni_int, F.when(F.col("_nnx") <= F.col("_he"), F.col("_nnx") - 1))
+    kept = (F.coalesce((li >= F.col("_hs")) & (x - li <= context), F.lit(False))
+            | F.coalesce((ni <= F.col("_he")) & (ni - x <= context), F.lit(False)))
+    b = cut(b.withColumn("_kept", kept))  # plan cut: the scans above would otherwise nest
+    allk = b.groupBy("output_id", "_hunk").agg(F.min(F.col("_kept").cast("int")).alias("_allkept"))
+    b = b.join(allk, ["output_id", "_hunk"])
+    b = b.withColumn("_compress", (F.col("_nb") > min_hunk) & (F.col("_any") == 1) & (F.col("_allkept") == 0))
+    b = segmented_scan(b, ["output_id"], "_gbi", chunk_rows=chunk_rows,
+                       running_sum={"_island": F.col("_kept").cast("int")}).drop(CHUNK_COL)
+    gaps = (b.where(~F.col("_kept")).groupBy("output_id", "_hunk", "_island")
+            .agg(F.count(F.lit(1)).alias("_glen"), F.min(l.startswith(" ").cast("int")).alias("_gspace"),
+                 F.min("line_no").alias("_gfirst"), F.min("_advb").alias("_gadv")))
+    b = b.join(gaps, ["output_id", "_hunk", "_island"], "left")
     gap = ~F.col("_kept")
-    b = b.withColumns({
-        "_glen": F.sum(gap.cast("int")).over(wg),
-        "_gspace": F.min(F.when(gap, l.startswith(" ").cast("int"))).over(wg),
-        "_gfirst": F.min(F.when(gap, F.col("line_no"))).over(wg),
-    })
-    a = F.col("_ns") + F.col("_newb")
+    a = F.col("_ns") + F.col("_gadv") - F.col("_adv0")
     rng = F.when(F.col("_ns").isNotNull(), F.concat(F.lit(", lines "), a.cast("string"), F.lit("-"),
                                                     (a + F.col("_glen") - 1).cast("string"))).otherwise(F.lit(""))
     gap_note = F.concat(F.lit("... ("), F.col("_glen").cast("string"), F.lit(" lines omitted"), rng, F.lit(")\n"))
