@@ -82,13 +82,12 @@ def read_invocations(spark: SparkSession, path: str, session_id: str | None = No
     Lines are read as text (partition folders ``session_id=<id>`` are still
     discovered, so choosing a session prunes folders) and parsed with
     ``from_json``; a line is kept when it is a JSON object that parsed."""
-    partitioned = _partitioned(spark, path)
-    reader = spark.read
-    if session_id is not None and not partitioned:
-        reader = reader.option("pathGlobFilter", f"{session_id}.jsonl")
-    raw = reader.text(path)
+    raw = spark.read.text(path)
+    partitioned = "session_id" in raw.columns                    # found by partition discovery
     if session_id is not None and partitioned:
         raw = raw.where(F.col("session_id") == session_id)        # partition pruning
+    elif session_id is not None:
+        raw = spark.read.option("pathGlobFilter", f"{session_id}.jsonl").text(path)
     value = F.trim(F.col("value"))
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     parsed = raw.where(value.startswith("{")).withColumn("_e", F.from_json("value", _lenient(INVOCATION_SCHEMA), opts))
@@ -110,15 +109,6 @@ def read_invocations(spark: SparkSession, path: str, session_id: str | None = No
     return df
 
 
-def _partitioned(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
-        return False
-    return any(s.getPath().getName().startswith("session_id=") for s in fs.listStatus(p))
-
-
 def stream_invocations(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Tail a log directory as a stream.  Producers must add new files
     (``write_invocations`` does); Spark's file source treats a seen file as final."""
