@@ -57,12 +57,22 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint into ``spark.checkpoint.dir``: the result is a
-    leaf (plan and lineage cut).  Used at the entry of operators that stack
-    several two-level scans, so their plans do not grow with the input's plan."""
+    """Write ``df`` as a parquet table into ``spark.checkpoint.dir`` and read it
+    back: the result is a leaf (plan and lineage cut).  Used at the entry of
+    operators that stack several two-level scans, so their plans do not grow
+    with the input's plan.  (Every reader repartitions anyway, so the table
+    need not keep a partitioning.)  ``LINESIFT_CUT=checkpoint`` uses
+    ``DataFrame.checkpoint`` instead."""
+    import os
+    import uuid
+
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    base = ensure_checkpoint_dir(df.sparkSession)
+    if os.environ.get("LINESIFT_CUT", "table") == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/linesift-cut-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def with_chunk(df: DataFrame, pos: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
