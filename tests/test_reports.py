@@ -135,3 +135,19 @@ def test_checklist(spark):
     assert (ph[(1, 1)].total_tasks, ph[(1, 1)].completed_tasks) == (3, 1)
     assert (ph[(1, 2)].total_tasks, ph[(1, 2)].completed_tasks, ph[(1, 2)].next_task) == (2, 1, "Compile")
     assert ph[(2, 1)].completed
+
+
+def test_report_sinks(spark):
+    from linesift.sources.reports import aggregate_report_rows, trial_report_json, trial_report_rows
+    runs = _runs(spark, [((1000, 1000, 1000), (635, 709, 616)), ((1000, 0, 1000), (970, 5, 1162))])
+    d = X.with_order(X.trial_deltas(runs))
+    rows = {r.trial: r.row for r in trial_report_rows(d).collect()}
+    assert rows[1] == "| 1 | baseline-first | 1000 | 635 | -36.5% | 1000 | 709 | -29.1% | 1000 | 616 | -38.4% |"
+    assert "| 0 | 5 | n/a |" in rows[2]
+    agg = {r.metric: r.row for r in aggregate_report_rows(X.aggregate_deltas(d)).collect()}
+    assert agg["output_tokens"] == "| Output Tokens | -29.1% | -29.1% | 0.0pp |"
+    docs = trial_report_json(d, X.aggregate_deltas(d)).collect()
+    trial_docs = sorted(r.json for r in docs if r.kind == "trial")
+    assert len(trial_docs) == 2 and '"order":"baseline-first"' in trial_docs[0]
+    assert '"order":"treatment-first"' in trial_docs[1]
+    assert ['"aggregate"' in r.json for r in docs if r.kind == "aggregate"] == [True]
