@@ -67,6 +67,17 @@ def document_view(lines: DataFrame, files: DataFrame, limit: int = CAT_LIMIT, ke
     return rows.unionByName(notes)
 
 
+def resume_points(compacted: DataFrame) -> DataFrame:
+    """QUIRK 6, correct column: for every document view that was cut (it has a
+    continuation note), ``resume_line_no`` = 1-based source line after the last
+    kept line.  (The note's own ``tail -n +K`` keeps the reference's kept + 1,
+    which is wrong once blank or comment lines were dropped.)"""
+    cut_views = compacted.where(F.col("kind") == "note").select("output_id").distinct()
+    last = compacted.where(F.col("kind") == "line").groupBy("output_id").agg(
+        (F.max("src_line_no") + 2).cast("long").alias("resume_line_no"))
+    return last.join(cut_views, "output_id")
+
+
 def is_entry(stripped: Column) -> Column:
     return stripped.startswith("class ") | stripped.startswith("def ") | stripped.startswith("async def ")
 

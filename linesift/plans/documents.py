@@ -273,3 +273,14 @@ def document_view_q(spark, sf_dir):
     bl = lines.join(bf.select("output_id"), "output_id")
     sl = lines.join(sf.select("output_id"), "output_id")
     return document_view(sl, sf).unionByName(outline(bl, bf))
+
+
+@register("document_resume_points", with_ctes(_DL, _VIEW, _sql_view("vlines", "vfiles")) + """
+SELECT output_id, CAST(max(src_line_no) + 2 AS BIGINT) AS resume_line_no FROM viewout
+WHERE kind = 'line' AND output_id IN (SELECT output_id FROM viewout WHERE kind = 'note')
+GROUP BY output_id""")
+def document_resume_points_q(spark, sf_dir):
+    """T12 QUIRK 6: the correct resume line of every cut document view."""
+    from ..operators.document import resume_points
+    lines, files = view_files(spark, sf_dir)
+    return resume_points(document_view(lines, files))

@@ -94,6 +94,11 @@ def test_document_view(spark):
     assert got["sh"] == ["#!/bin/sh\n", "echo\n"]
     assert got["lim"][:3] == ["l0\n", "l1\n", "l2\n"]
     assert got["lim"][3] == "\n# linesift: b.md has 5 lines total — for more: tail -n +4 b.md | head -3\n"
+    from linesift.operators.document import resume_points
+    blanks = spark.createDataFrame([("g", "c.md", 6)], "output_id string, filename string, total_lines long")
+    view = document_view(lines_df(spark, {"g": ["a\n", "\n", "b\n", "\n", "c\n", "d\n"]}), blanks, limit=3)
+    assert collect(view)["g"][3].endswith("tail -n +4 c.md | head -3\n")          # reference's hint kept
+    assert [r.resume_line_no for r in resume_points(view).collect()] == [6]           # line after "c"
 
 
 def test_outline(spark):
