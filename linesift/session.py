@@ -39,17 +39,22 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset.
+    """Return the folder for checkpoints, plan cuts and stream state.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is kept as is.
-    Only in local runs (tests) where it is unset do we pick a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder: it is read from
+    the session and used as is.  Only where it is unset (local runs, tests) the
+    SparkContext gets a fresh scratch folder.  ``spark.checkpoint.dir`` itself is
+    never written (Spark rejects changing core settings at runtime).
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
         return current
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     path = tempfile.mkdtemp(prefix="linesift-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
