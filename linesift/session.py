@@ -46,8 +46,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     SparkContext gets a fresh scratch folder.  ``spark.checkpoint.dir`` itself is
     never written (Spark rejects changing core settings at runtime).
     """
-    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:                     # no SparkContext in this process (remote client)
+        if current:
+            return current
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder for this session")
     if current:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
