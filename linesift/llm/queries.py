@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, url_filters
+from . import jaccard_join, packing, source_mixing, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,31 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query(r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CASE WHEN text IS NULL THEN 'null' ELSE md5(text) END) || 'mix-1') AS place
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight
+      FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * words / weight, source NULLS LAST) AS pos FROM s),
+f AS (SELECT 0::BIGINT AS pos, 1.5 * (SELECT sum(words) FROM s)::DOUBLE AS total, (SELECT sum(weight) FROM s) AS weight, 0.0::DOUBLE AS target
+      UNION ALL
+      SELECT o.pos, f.total - least(2.0 * o.words, f.total * o.weight / f.weight), f.weight - o.weight,
+             least(2.0 * o.words, f.total * o.weight / f.weight)
+      FROM f JOIN o ON o.pos = f.pos + 1),
+t AS (SELECT o.source, o.words, f.target, CASE WHEN o.words > 0 THEN floor(f.target / o.words) ELSE 0 END AS whole FROM o JOIN f ON o.pos = f.pos),
+r AS (SELECT d.doc_id, d.size, t.words, t.target, t.whole, t.target - t.whole * t.words AS rest,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size::BIGINT AS size, words AS source_size, target,
+       (size * (whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+""")
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_sources(table(spark, sf_dir, "documents")) \
+        .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
