@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -56,6 +57,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
         self.tok = Tokenizer.from_file(path)
+        self.ascii = Tokenizer(self.tok.model)           # a byte-level vocabulary writes printable ASCII as it is
         self.inner = Tokenizer(self.tok.model)
         self.inner.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = re.compile(self.PRETOKEN).findall
@@ -69,9 +71,9 @@ class Encoder:
         if len(self.ids) + len(new) > CACHE_WORDS:
             self.ids.clear()
             new = used
-        known = list(new)
-        self.ids.update(zip(known, (np.array(e.ids, "<u4").tobytes()
-                                    for e in self.inner.encode_batch_fast(known, add_special_tokens=False))))
+        for tok, known in ((self.ascii, [p for p in new if p.isascii()]), (self.inner, [p for p in new if not p.isascii()])):
+            self.ids.update(zip(known, (struct.pack(f"<{len(e.ids)}I", *e.ids)
+                                        for e in tok.encode_batch_fast(known, add_special_tokens=False))))
         get = self.ids.__getitem__
         return [np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if p is None
                 else b"".join(map(get, p)) for t, p in zip(texts, plain)]

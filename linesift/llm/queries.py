@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, line_templates, packing, quality_rules, source_mixing, url_filters
+from . import embedding_dedup, hmm_scoring, jaccard_join, line_templates, packing, quality_rules, source_mixing, url_filters
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scoring.score_texts(table(spark, sf_dir, "documents"))
