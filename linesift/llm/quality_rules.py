@@ -169,15 +169,13 @@ def _concentrate(rows: DataFrame, params: DataFrame, share: float, factor: float
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
           share: float = SHARE, cutoff: float = CUTOFF, steps: int = STEPS, least_rows: int = LEAST_ROWS,
-          extra: dict[str, str] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(id, statistics, base_failed, distance, kept) per document; ``distance`` is
-    the squared robust distance, null without a verdict.  ``extra``: more columns
-    to carry, as output name -> SQL."""
+          scratch: Scratch | None = None) -> DataFrame:
+    """(id, statistics, base_failed, distance, kept, text_hash) per document;
+    ``distance`` is the squared robust distance, null without a verdict."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    extra = extra or {}
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-                    F.col(text_col).alias("text"), *[F.expr(sql).alias(c) for c, sql in extra.items()])
-    d = text_statistics(d, "text", ["id", "lang", "source", *extra])
+                    F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    d = text_statistics(d, "text", ["id", "lang", "source", "text_hash"])
     d = d.select("*", *[F.expr(f"CAST(floor(({x}) * {GRID} + 0.5) AS BIGINT)").alias(f"x{i}") for i, x in enumerate(VECTOR)])
     d = scratch.keep(d, "statistics")
     d = _group_keys(d, least_rows, scratch)
@@ -191,14 +189,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     out = _add(d.join(params, "g", "left"), distance_steps())
     return out.select(
         F.col("id").alias(id_col), *STATS, F.expr(BASE_FAILED).alias("base_failed"), F.col("d2").alias("distance"),
-        F.expr(f"NOT {BASE_FAILED} AND coalesce(d2 <= {cutoff}, true)").alias("kept"), *extra)
+        F.expr(f"NOT {BASE_FAILED} AND coalesce(d2 <= {cutoff}, true)").alias("kept"), "text_hash")
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``."""
     i, h, mine = fresh(docs, "_i", "_h", "_mine")
-    verdicts = judge(docs, id_col=id_col, text_col=text_col, extra={h: f"xxhash64(`{text_col}`)"}, **options)
-    good = verdicts.where("kept").select(F.col(id_col).alias(i), F.col(h).alias(mine)).distinct()
+    verdicts = judge(docs, id_col=id_col, text_col=text_col, **options)
+    good = verdicts.where("kept").select(F.col(id_col).alias(i), F.col("text_hash").alias(mine)).distinct()
     d = docs.withColumn(h, F.xxhash64(text_col))
     return d.join(good, d[id_col].eqNullSafe(good[i]) & (d[h] == good[mine]), "left_semi").select(*[d[c] for c in docs.columns])
 

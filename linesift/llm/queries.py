@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hmm_scoring, jaccard_join, line_templates, packing, quality_rules, source_mixing, url_filters
+from . import embedding_dedup, hmm_scoring, importance, jaccard_join, line_templates, packing, quality_rules, source_mixing, url_filters, warc_revisits
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,46 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps the share of documents that the labels call good, resampled towards
+    documents that are good and not toxic."""
+    labels = table(spark, sf_dir, "labels")
+    share = labels.agg(F.coalesce(F.avg((F.col("quality") == 1).cast("int")), F.lit(1.0))).first()[0]
+    target = labels.where("quality = 1 AND toxic = 0").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), target, share=share)
+
+
+@query(r"""
+WITH p AS (SELECT *, '"' || substr(md5(html), 1, 16) || '"' AS tag, page_id % 3 = 0 AS third,
+                  lpad((page_id % 28 + 1)::VARCHAR, 2, '0') || ' Jan 2024 00:00:00 GMT' AS modified FROM pages),
+c AS (SELECT page_id * 4 AS id, true AS f, page_id * 60 AS t, url AS uri, tag, modified, length(html)::VARCHAR AS len, third FROM p
+      UNION ALL SELECT page_id * 4 + 1, false, page_id * 60 + 86400, url || '#again', tag, NULL, NULL, third FROM p
+      UNION ALL SELECT page_id * 4 + 2, false, page_id * 60 + 172800, url, CASE WHEN third THEN NULL ELSE '"other"' END,
+                       CASE WHEN third THEN modified END, NULL, third FROM p
+      UNION ALL SELECT page_id * 4 + 3, false, page_id * 60 - 3600, url, tag, NULL, NULL, third FROM p),
+x AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(uri, '^[^/?#]*?://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+             || regexp_replace(regexp_extract(uri, '^[^/?#]*?://[^/?#]*([^?#]*)', 1), '/$', '') AS hp,
+             array_to_string(list_sort(list_filter(string_split(regexp_extract(uri, '^[^#?]*\?([^#]*)', 1), '&'),
+               lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref)(=|$)'))), '&') AS q FROM c),
+u AS (SELECT *, CASE WHEN contains(uri, '://') THEN hp || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS cu FROM x),
+l AS (SELECT *, last_value(CASE WHEN f THEN id END IGNORE NULLS) OVER (PARTITION BY cu ORDER BY t, f, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rid FROM u),
+j AS (SELECT l.*, r.tag AS rtag, r.modified AS rmod, r.len AS rlen FROM l LEFT JOIN u r ON r.id = l.rid WHERE NOT l.f),
+s AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = rtag THEN 'resolved' ELSE 'etag_mismatch' END
+                     WHEN modified = rmod THEN 'resolved' ELSE 'date_mismatch' END AS status FROM j)
+SELECT id AS record_id, cu AS canonical_url, status, rid AS response_id,
+       CASE WHEN id % 4 = 1 THEN CASE WHEN status = 'resolved'
+              THEN 'cache-control=max-age=600;content-length=' || rlen || ';content-type=text/html;etag=W/' || tag || ';last-modified=' || rmod || ';x-revisit=1'
+              ELSE 'cache-control=max-age=600;content-length=0;etag=W/' || tag || ';x-revisit=1' END
+            WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-length=' || rlen || ';content-type=text/html;'
+              || CASE WHEN id % 4 = 2 THEN 'date=later;' ELSE '' END || 'etag=' || rtag || ';last-modified=' || rmod
+            WHEN id % 4 = 2 THEN 'date=later;' || CASE WHEN third THEN 'last-modified=' || modified ELSE 'etag=' || tag END
+            ELSE 'etag=' || tag END AS headers
+FROM s
+""")
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, ";"))
