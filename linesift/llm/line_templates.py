@@ -18,7 +18,7 @@ and the text is rebuilt from the lines that stay.  A template that a third of al
 documents share is one row of the joined table.
 
 Defined results: a null text stays null and has no lines; blank lines and lines
-under ``LEAST_TOKENS`` tokens stay; repeated rows (same id and text) are one
+under ``LEAST_TOKENS`` tokens that are no fields stay; repeated rows (same id and text) are one
 document; documents with a null id come after all others.  Extra columns are
 carried, whatever their names; an empty table gives an empty result.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
 
-LEAST_TOKENS = 3            # shorter lines recur by chance
+LEAST_TOKENS = 3            # fewer tokens, or fewer that are no field, recur by chance
 LEAD = 2                    # leading tokens in the path
 PARTS = 4
 LONG_TOKENS = 8             # from here on a line has parts
@@ -60,11 +60,17 @@ def templates(line: bytes) -> list[int]:
     if _FIELD.search(line):
         tokens = [b"<*>" if _FIELD.search(t) else t for t in tokens]
     if n < LONG_TOKENS:
+        if n - tokens.count(b"<*>") < LEAST_TOKENS:
+            return []
         return [xxhash.xxh3_64_intdigest(b"%d\n" % n + b"\n".join(tokens)) - (1 << 63)]
     cut = parts(n)
     texts = [b"\n".join(tokens[a:b]) for a, b in cut]
-    lead = b"%d\n" % n + b"\n".join(tokens[:LEAD])
-    return [xxhash.xxh3_64_intdigest(b"\n".join([lead, *texts[:p], b"<*>", *texts[p + 1:]])) - (1 << 63) for p in range(PARTS)]
+    lead = b"\n".join(tokens[:LEAD])
+    out = []
+    for p, (a, b) in enumerate(cut):
+        if n - (b - a) - tokens.count(b"<*>") + tokens[a:b].count(b"<*>") >= LEAST_TOKENS:
+            out.append(xxhash.xxh3_64_intdigest(b"\n".join([b"%d %d" % (n, p), lead, *texts[:p], b"<*>", *texts[p + 1:]])) - (1 << 63))
+    return out
 
 
 def _line_templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +85,7 @@ def _line_templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     found = templates(line)
                     k += found
                     where += [i] * len(found)
-                    is_long += [len(found) > 1] * len(found)
+                    is_long += [len(line.split()) >= LONG_TOKENS] * len(found)
                 keys.append(k)
                 lines.append(where)
                 longs.append(is_long)
@@ -138,8 +144,10 @@ t AS (SELECT *, list_transform(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'),
 n AS (SELECT *, len(w) AS n FROM t),
 b AS (SELECT *, unnest({bounds}) AS cut, unnest(range({PARTS})) AS p FROM n WHERE n >= {LONG_TOKENS}),
 k AS (SELECT doc_id, i, n, true AS long, p || ' ' || n || ' ' || array_to_string(w[:cut[1]], ' ') || ' <*> ' || array_to_string(w[cut[2] + 1:], ' ') AS key FROM b
+      WHERE len(list_filter(w[:cut[1]] || w[cut[2] + 1:], lambda x: x <> '<*>')) >= {LEAST_TOKENS}
       UNION ALL
-      SELECT doc_id, i, n, false, n || ' ' || array_to_string(w, ' ') FROM n WHERE n >= {LEAST_TOKENS} AND n < {LONG_TOKENS}),
+      SELECT doc_id, i, n, false, n || ' ' || array_to_string(w, ' ') FROM n
+      WHERE len(list_filter(w, lambda x: x <> '<*>')) >= {LEAST_TOKENS} AND n < {LONG_TOKENS}),
 r AS (SELECT key, long, min(doc_id) AS first FROM k GROUP BY key, long
       HAVING count(DISTINCT doc_id) >= CASE WHEN long THEN {DOCS_LONG} ELSE {DOCS_SHORT} END),
 g AS (SELECT DISTINCT k.doc_id, k.i FROM k JOIN r ON k.key = r.key AND k.long = r.long WHERE k.doc_id <> r.first),
