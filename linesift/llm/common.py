@@ -3,6 +3,7 @@ cannot clash, rank numbers without one task per key."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,6 +45,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free_shuffles(self) -> None:
+        """Spark deletes the shuffle files of a frame once the driver has collected
+        its objects, which a small driver heap may not do for hours: ask for it
+        between steps that shuffle whole texts."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             p, fs = self._fs(f"{self.root}/{name}")

@@ -14,8 +14,10 @@ threshold.  The result is exact up to hash collisions.
    shingle; the connected components of these stars are blocks.  Sets that share
    nothing, most of a corpus, end here.
 3. Trees.  Blocks are dealt to tasks of bounded size; a block beyond the bound is
-   cut by set size into chunks, the upper nodes of its tree, and only pairs of
-   chunks whose size ranges can link meet.  In a task the sets are the leaves of
+   cut by set size into chunks, the upper nodes of its tree; when the chunks are
+   compared in themselves and with the block's least set, only sets that are not
+   in the block's largest class meet the other chunks, if the size ranges can link.
+   In a task the sets are the leaves of
    a signature tree; a node holds the OR of its sets' bitmaps, their size range
    and their largest excess (shingles beyond one per bit).  Two nodes can only
    hold linking sets if popcount(OR & OR) + excess reaches the least overlap that
@@ -182,7 +184,7 @@ def _possible(a: SignatureTree, b: SignatureTree, level: int, i: np.ndarray, j:
 class _Links:
     """Exact comparison of sets and the classes found so far in a task."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, known: np.ndarray | None = None):
         flat = np.concatenate(sets)
         _, dense = np.unique(flat, return_inverse=True)
         self.flat = dense.astype(np.int64)
@@ -190,6 +192,9 @@ class _Links:
         self.begin = np.concatenate([[0], np.cumsum(self.size)])[:-1]
         self.mark = np.zeros(int(self.flat.max()) + 1 if len(flat) else 1, bool)
         self.cls = np.arange(len(sets))
+        if known is not None:
+            _, first, inverse = np.unique(known, return_index=True, return_inverse=True)
+            self.cls = first[inverse]
         self.percent = percent
 
     def compare(self, i: int, js: np.ndarray) -> None:
@@ -211,12 +216,14 @@ class _Links:
         self.mark[own] = False
 
 
-def link_sets(sets: list[np.ndarray], block: np.ndarray, side: np.ndarray | None, percent: int) -> np.ndarray:
-    """Class (least index) of every set: sets of one block that a chain of links
-    joins.  With ``side`` only links between side 0 and side 1 are looked for."""
+def link_sets(sets: list[np.ndarray], block: np.ndarray, side: np.ndarray | None, percent: int,
+              known: np.ndarray | None = None) -> np.ndarray:
+    """Class (an index) of every set: sets of one block that a chain of links
+    joins.  With ``side`` only links between side 0 and side 1 are looked for;
+    sets of one value of ``known`` are in one class from the start."""
     if not sets:
         return np.zeros(0, np.int64)
-    links = _Links(sets, percent)
+    links = _Links(sets, percent, known)
     every = np.arange(len(sets))
     mine, other = (every, every) if side is None else (every[side == 0], every[side == 1])
     if not len(mine) or not len(other):
@@ -257,42 +264,77 @@ def link_sets(sets: list[np.ndarray], block: np.ndarray, side: np.ndarray | None
 
 def _task(words: int, percent: int):
     def run(key, group):
-        group = group.sort_by([("block", "ascending"), ("n", "ascending"), ("s", "ascending")])
-        ids, block = group.column("s").to_numpy(), group.column("block").to_numpy()
-        side = group.column("side").to_numpy()
+        group = group.sort_by([("block", "ascending"), ("n", "ascending"), ("s", "ascending"), ("side", "ascending")])
+        s, side = group.column("s").to_numpy(), group.column("side").to_numpy()
+        new = np.append(True, (s[1:] != s[:-1]) | (side[1:] != side[:-1]))           # repeated rows are one set
+        group = group.filter(pa.array(new))
+        s, side, block = s[new], side[new], group.column("block").to_numpy()
         sets = [shingles(t, words) for t in group.column("text").to_pylist()]
-        cls = link_sets(sets, block, side if len(side) and side.max() else None, percent)
-        linked = cls != np.arange(len(cls))
-        return pa.table({"a": pa.array(ids[linked], pa.int64()), "b": pa.array(ids[cls[linked]], pa.int64())})
+        cls = link_sets(sets, block, side if side.max() else None, percent, group.column("known").to_numpy())
+        linked = s != s[cls]
+        return pa.table({"a": pa.array(s[linked], pa.int64()), "b": pa.array(s[cls[linked]], pa.int64())})
     return run
 
 
-def _chunks(members: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(s, block, n, task, side): where each set of a block is compared."""
-    total = sizes.agg(F.sum("m")).first()[0] or 0
-    tasks = max(1, total // TASK_SHINGLES)
-    big = sizes.where(F.col("m") > TASK_SHINGLES)
-    small = members.join(sizes.where(F.col("m") <= TASK_SHINGLES).select("block"), "block") \
-        .select("s", "block", "n", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("string")).alias("task"),
-                F.lit(0).alias("side"))
-    # a chunk is a range of sizes: sets of one size are spread over their places by hash
-    wide = members.join(big.select("block"), "block")
+def _chunked(members: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Add ``chunk``: ranges of set sizes inside a block, of about TASK_SHINGLES
+    shingles; sets of one size are spread over their places by hash."""
     w = Window.partitionBy("block").orderBy("n")
-    hist = wide.groupBy("block", "n").agg(F.count(F.lit(1)).alias("c")) \
+    hist = members.groupBy("block", "n").agg(F.count(F.lit(1)).alias("c")) \
         .select("block", "n", "c", (F.sum(F.col("c") * F.col("n")).over(w) - F.col("c") * F.col("n")).alias("before"))
-    cut = scratch.keep(wide.join(scratch.keep(hist, "places"), ["block", "n"]).select(
-        "s", "block", "n",
-        F.floor((F.col("before") + F.pmod(F.xxhash64("s"), F.col("c")) * F.col("n")) / TASK_SHINGLES).alias("chunk")), "chunks")
-    nodes = scratch.keep(cut.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "nodes")
-    x, y = nodes.alias("x"), nodes.alias("y")
-    pairs = scratch.keep(x.join(y, "block").where(f"x.chunk <= y.chunk AND y.lo * {percent} <= x.hi * 100").select(
+    hist = scratch.keep(hist, f"{name}-places")
+    place = F.col("before") + F.pmod(F.xxhash64("s"), F.col("c")) * F.col("n")
+    return scratch.keep(members.join(hist, ["block", "n"]).withColumn("chunk", F.floor(place / TASK_SHINGLES)).drop("c", "before"), name)
+
+
+def _nodes(chunks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The upper nodes of a block's tree: its chunks with their size ranges."""
+    return scratch.keep(chunks.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), name)
+
+
+def _block_links(d: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) between sets that make all linked sets of a block one component.
+
+    First every set is compared inside its chunk, to which the block's least set
+    is added.  Mostly that connects all chunks.  Where it does not, the sets outside
+    the block's largest class are compared with all chunks of the block.
+    """
+    sizes = scratch.keep(members.groupBy("block").agg(F.sum("n").alias("m")), "sizes")
+    tasks = max(1, (sizes.agg(F.sum("m")).first()[0] or 0) // TASK_SHINGLES)
+    small = members.join(sizes.where(F.col("m") <= TASK_SHINGLES).select("block"), "block") \
+        .withColumn("task", F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("string")))
+    big = _chunked(members.join(sizes.where(F.col("m") > TASK_SHINGLES).select("block"), "block"), scratch, "chunks")
+    nodes = _nodes(big, scratch, "nodes")
+
+    def compare(placed: DataFrame, known: str, name: str) -> DataFrame:
+        p = placed.select("s", "block", "n", "task", F.col("side"), F.col(known).alias("known"), F.col("id").alias("mid"), F.col("h").alias("mh"))
+        texts = d.join(p, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")))
+        out = scratch.keep(texts.select("task", "s", "block", "n", "side", "known", "text").groupBy("task")
+                           .applyInArrow(_task(words, percent), "a long, b long"), name)
+        scratch.free_shuffles()
+        return out
+
+    task = F.concat_ws("-", F.lit("b"), "block", "chunk")
+    least = big.where("s = block").drop("chunk").join(nodes.select("block", "chunk"), "block")
+    first = small.unionByName(big.unionByName(least).distinct().withColumn("task", task).drop("chunk")).withColumn("side", F.lit(0))
+    edges = compare(first, "s", "links-1")
+    if not nodes.head(1):
+        return edges
+    roots = components(edges, scratch, "first").withColumnRenamed("node", "s")
+    big = scratch.keep(big.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "classes-1")
+    largest = big.groupBy("block", "root").agg(F.sum("n").alias("w")).groupBy("block").agg(F.max(F.struct("w", "root")).alias("x")) \
+        .select("block", F.col("x.root").alias("largest"))
+    rest = scratch.keep(big.join(largest, "block").where("root <> largest").drop("largest", "chunk"), "rest")
+    if not rest.head(1):
+        return edges
+    rest = _chunked(rest, scratch, "rest-chunks")
+    x, y = nodes.alias("x"), _nodes(rest, scratch, "rest-nodes").alias("y")
+    pairs = scratch.keep(x.join(y, "block").where(f"x.lo * {percent} <= y.hi * 100 AND y.lo * {percent} <= x.hi * 100").select(
         "block", F.col("x.chunk").alias("a"), F.col("y.chunk").alias("b"),
-        F.concat_ws("-", F.lit("b"), "block", "x.chunk", "y.chunk").alias("task")), "pairs")
-    left = cut.join(pairs.select("block", F.col("a").alias("chunk"), "task"), ["block", "chunk"]) \
-        .select("s", "block", "n", "task", F.lit(0).alias("side"))
-    right = cut.join(pairs.where("a < b").select("block", F.col("b").alias("chunk"), "task"), ["block", "chunk"]) \
-        .select("s", "block", "n", "task", F.lit(1).alias("side"))
-    return small.unionByName(left).unionByName(right)
+        F.concat_ws("-", F.lit("r"), "block", "x.chunk", "y.chunk").alias("task")), "pairs")
+    again = big.join(pairs.select("block", F.col("a").alias("chunk"), "task"), ["block", "chunk"]).withColumn("side", F.lit(0)) \
+        .unionByName(rest.join(pairs.select("block", F.col("b").alias("chunk"), "task"), ["block", "chunk"]).withColumn("side", F.lit(1)))
+    return edges.unionByName(compare(again, "root", "links-2"))
 
 
 def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -321,15 +363,9 @@ def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     inside = blocks.select(F.col("node").alias("s"), F.col("root").alias("block")) \
         .unionByName(blocks.select(F.col("root").alias("s"), F.col("root").alias("block")).distinct())
     members = scratch.keep(one.join(inside, "s"), "members")
-    sizes = scratch.keep(members.groupBy("block").agg(F.sum("n").alias("m")), "sizes")
-    placed = _chunks(members.select("s", "n", "block"), sizes, scratch, percent)
-    texts = scratch.keep(
-        d.join(members.select(F.col("id").alias("mid"), F.col("h").alias("mh"), "s"),
-               F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh"))).select("s", "text").dropDuplicates(["s"]), "texts")
-    links = placed.join(texts, "s").select("task", "s", "block", "n", "side", "text") \
-        .groupBy("task").applyInArrow(_task(words, percent), "a long, b long")
-    found = components(links, scratch, "links")
-    scratch.drop("texts", "shared")
+    scratch.drop("shared")
+    scratch.free_shuffles()
+    found = components(_block_links(d, members, scratch, words, percent), scratch, "links")
 
     classes = one.join(found.select(F.col("node").alias("s"), "root"), "s", "left") \
         .select("s", "id", "h", F.coalesce("root", "s").alias("root"))
