@@ -1,4 +1,4 @@
-"""Fixture cases and randomized equality against a sequential model."""
+"""Fixture cases and randomized equality against a model of the keep rules."""
 
 import random
 import re
@@ -11,63 +11,68 @@ HIT = re.compile(r"^(.+?):(\d+):(.*)", re.S)
 CTX = re.compile(r"^(.+?):(\d+)-(.*)", re.S)
 
 
-def model(lines, cap=5, context=2, marker="# linesift:"):
-    """Sequential statement of the semantics (buffered context, pending separator)."""
-    out, buf, sep, skipped = [], [], None, False
-    files = {}
-    for line in lines:
-        raw = line.rstrip("\n\r")
-        if raw == "--":
-            if not skipped:
-                out += buf
-            buf, skipped, sep = [], False, line
-            continue
-        m = HIT.match(raw)
+def _parse(line):
+    """(kind, file, number, text) of one line."""
+    raw = line.rstrip("\n\r")
+    if raw == "--":
+        return "S", None, None, None
+    for kind, pattern in (("H", HIT), ("C", CTX)):
+        m = pattern.match(raw)
         if m:
-            f = files.setdefault(m.group(1), {"total": 0, "kept": 0, "dup": 0, "cap": [], "seen": set()})
-            f["total"] += 1
-            key = m.group(3).strip(" \t\n\r\x0b\f")
-            if key in f["seen"]:
-                f["dup"] += 1
-                skipped, buf = True, []
-            elif f["kept"] >= cap:
-                f["cap"].append(int(m.group(2)))
-                skipped, buf = True, []
-            else:
-                f["kept"] += 1
-                f["seen"].add(key)
-                if sep is not None:
-                    out.append(sep)
-                    sep = None
-                out += buf + [line]
-                buf, skipped = [], False
-            continue
-        if CTX.match(raw):
-            buf.append(line)
-            buf = buf[-context:] if context else []
-            continue
-        if not skipped:
-            out += buf
-        buf, sep, skipped = [], None, False
-        out.append(line)
-    if not skipped:
-        out += buf
-    for name, f in files.items():
-        omitted = f["total"] - f["kept"]
-        if omitted <= 0:
+            return kind, m.group(1), int(m.group(2)), m.group(3).strip(" \t\n\r\x0b\f")
+    return "O", None, None, None
+
+
+def model(lines, cap=5, context=2, marker="# linesift:"):
+    """The three keep rules, stated on the labelled list and looked up by plain search.
+
+    A hit is kept if it is the first of its text in its file and among the file's
+    first ``cap`` texts; other hits are dropped.  Events are K(ept), D(ropped),
+    S(eparator) and O(ther); context lines are none.
+    """
+    rows = [_parse(x) for x in lines]
+    texts = {}                              # file -> its different texts in order
+    for kind, file, _, text in rows:
+        if kind == "H" and text not in texts.setdefault(file, []):
+            texts[file].append(text)
+
+    def label(i):
+        kind, file, _, text = rows[i]
+        if kind != "H":
+            return kind
+        first = all(rows[j][:2] != ("H", file) or rows[j][3] != text for j in range(i))
+        return "K" if first and texts[file].index(text) < cap else "D"
+
+    labels = [label(i) for i in range(len(rows))]
+    event = [i for i, x in enumerate(labels) if x != "C"]
+
+    def kept(i):
+        if labels[i] in "KO":
+            return True
+        if labels[i] == "D":
+            return False
+        after = [j for j in event if j > i]
+        if labels[i] == "S":
+            return next((labels[j] for j in after if labels[j] != "D"), "") == "K"
+        end = after[0] if after else len(rows)
+        before = [j for j in event if j < i]
+        if end - i > context:               # only context lines stand between this one and the event
+            return False
+        follows = labels[end] if after else "end"
+        return follows == "K" or (follows in ("S", "O", "end") and not (before and labels[before[-1]] == "D"))
+
+    out = [x for i, x in enumerate(lines) if kept(i)]
+    for file, order in texts.items():
+        mine = [i for i, r in enumerate(rows) if r[0] == "H" and r[1] == file]
+        n_kept = sum(labels[i] == "K" for i in mine)
+        over = [rows[i][2] for i in mine if order.index(rows[i][3]) >= cap]
+        repeats = len(mine) - n_kept - len(over)
+        if n_kept == len(mine):
             continue
-        reasons = []
-        if f["dup"]:
-            reasons.append(f"{f['dup']} duplicate")
-        if f["cap"]:
-            hint = ", ".join(str(x) for x in f["cap"][:10])
-            if len(f["cap"]) > 10:
-                hint += f" (+{len(f['cap']) - 10} more)"
-            reasons.append(f"{len(f['cap'])} over cap at lines {hint}")
-        note = f"{marker} {name} kept {f['kept']}/{f['total']} matches; {omitted} more matches omitted"
-        if reasons:
-            note += " (" + ", ".join(reasons) + ")"
-        out.append(note + "\n")
+        why = ([f"{repeats} duplicate"] if repeats else []) + (
+            [f"{len(over)} over cap at lines " + ", ".join(map(str, over[:10])) + (f" (+{len(over) - 10} more)" if len(over) > 10 else "")]
+            if over else [])
+        out.append(f"{marker} {file} kept {n_kept}/{len(mine)} matches; {len(mine) - n_kept} more matches omitted ({', '.join(why)})\n")
     return out
 
 
