@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import eol_strip, ws_strip
 from .compare import DEFAULT_MARKER
+from .scan import materialize
 
 # Fixed values that must equal the reference's for equal results.
 LISTING_MAX_ENTRIES = 40
@@ -75,13 +76,13 @@ def sample_groups(unique: DataFrame, max_entries: int = LISTING_MAX_ENTRIES,
 def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, per_group: int = GROUP_SAMPLE_CAP,
                     key: str = "output_id", marker: str = DEFAULT_MARKER) -> DataFrame:
     """T7 + T8 + T9 -> compacted rows (D3)."""
-    parsed = parse_listing(lines, key)
+    parsed = materialize(parse_listing(lines, key))
     facts = parsed.select("output_id", "passthrough", "n_lines").distinct()
-    unique = dedup_listing(parsed)
+    unique = materialize(dedup_listing(parsed))
     counts = unique.groupBy("output_id").agg(F.count(F.lit(1)).alias("n_unique"))
     facts = facts.join(counts, "output_id", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
-    groups, samples = sample_groups(unique, max_entries, per_group)
+    groups, samples = map(materialize, sample_groups(unique, max_entries, per_group))
     taken = samples.groupBy("output_id", "label").agg(F.count(F.lit(1)).alias("taken"))
     g = groups.join(taken, ["output_id", "label"], "inner")           # groups with a sample are printed
     g = g.withColumns({"omitted": F.col("size") - F.col("taken"),
@@ -89,6 +90,7 @@ def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, pe
     wg = Window.partitionBy("output_id").orderBy("g")
     g = g.withColumn("_before", F.coalesce(F.sum("_rows").over(wg.rowsBetween(Window.unboundedPreceding, -1)),
                                            F.lit(0)) + 1)
+    g = materialize(g)
     totals = g.groupBy("output_id").agg((F.sum("_rows") + 1).alias("_grouped_len"), F.sum("taken").alias("_kept"),
                                         F.count(F.lit(1)).alias("_printed"))
     n_groups = groups.groupBy("output_id").agg(F.count(F.lit(1)).alias("_n_groups"))
@@ -98,7 +100,7 @@ def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, pe
             .when(F.col("n_unique") <= max_entries, "unique")
             .when(F.col("_grouped_len") >= F.col("n_unique"), "head")
             .otherwise("grouped"))
-    facts = facts.withColumn("mode", mode)
+    facts = materialize(facts.withColumn("mode", mode))
 
     verbatim = parsed.join(facts.where(F.col("mode") == "verbatim").select("output_id"), "output_id").select(
         "output_id", F.col("line_no").cast("long").alias("seq"), F.lit("line").alias("kind"),

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, materialize, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, materialize, null_safe_keys, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 REPEAT_THRESHOLD = 3
@@ -40,29 +40,28 @@ def note_text(template: str, n: F.Column) -> F.Column:
     return F.concat(F.lit(head), n.cast("string"), F.lit(tail))
 
 
-def with_ghosts(lines: DataFrame, chunk_rows: int, key: str = "output_id", pos: str = "line_no") -> DataFrame:
+def with_ghosts(lines: DataFrame, chunk_rows: int, key: str = "output_id", pos: str = "line_no") -> tuple[DataFrame, list[str]]:
     """Chunk the rows and copy each chunk's last row into the next chunk as a
     ghost (``_ghost = true``), then hash-partition by ``(key, chunk)``.
-    Positions must be dense (0..n-1)."""
+    Positions must be dense (0..n-1).  Also returns the non-null key columns."""
     chunk = F.floor(F.col(pos) / F.lit(chunk_rows)).cast("long")
     last = (F.col(pos) % F.lit(chunk_rows)) == F.lit(chunk_rows - 1)
     me = F.struct(chunk.alias("c"), F.lit(False).alias("g"))
     nxt = F.struct((chunk + 1).alias("c"), F.lit(True).alias("g"))
     d = lines.withColumn("_cg", F.explode(F.when(last, F.array(me, nxt)).otherwise(F.array(me))))
     d = d.withColumns({CHUNK_COL: F.col("_cg.c"), "_ghost": F.col("_cg.g")}).drop("_cg")
-    # Explicit non-null keys: the join below then infers no extra filter, so both
-    # branches start from the same exchange (ReusedExchange).
-    return d.where(F.col(key).isNotNull() & F.col(CHUNK_COL).isNotNull()).repartition(key, CHUNK_COL)
+    d, keys = null_safe_keys(d, [key])
+    return d.repartition(*keys, CHUNK_COL), keys
 
 
 def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: int | None = GENERIC_LIMIT,
                   key: str = "output_id", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T1 (+ T2 when ``limit`` is not None): lines -> compacted rows (D3)."""
-    d = with_ghosts(lines.select(F.col(key).alias("output_id"), "line_no", "line"), chunk_rows)
-    wc = Window.partitionBy("output_id", CHUNK_COL).orderBy("line_no")
+    d, keys = with_ghosts(lines.select(F.col(key).alias("output_id"), "line_no", "line"), chunk_rows)
+    wc = Window.partitionBy(*keys, CHUNK_COL).orderBy("line_no")
     # "rows after this one" as a growing frame of the descending order: Spark
     # evaluates shrinking (unbounded following) frames in O(n^2).
-    wd = Window.partitionBy("output_id", CHUNK_COL).orderBy(F.col("line_no").desc())
+    wd = Window.partitionBy(*keys, CHUNK_COL).orderBy(F.col("line_no").desc())
     real = ~F.col("_ghost")
     prev = F.lag("line").over(wc)
     d = d.withColumn("_start", F.when(real & (prev.isNull() | (prev != F.col("line"))), F.col("line_no")))
@@ -77,25 +76,25 @@ def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: in
         F.sum("_xs").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     d = materialize(d.where(real))        # read by the summary and the main branch
 
-    summ = (d.groupBy("output_id", CHUNK_COL)
+    summ = (d.groupBy(*keys, CHUNK_COL)
             .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_start").alias("_fs"), F.max("_start").alias("_ls"),
                  F.sum("_xs").alias("_inner")))
-    wk = Window.partitionBy("output_id").orderBy(CHUNK_COL)
-    wkd = Window.partitionBy("output_id").orderBy(F.col(CHUNK_COL).desc())
+    wk = Window.partitionBy(*keys).orderBy(CHUNK_COL)
+    wkd = Window.partitionBy(*keys).orderBy(F.col(CHUNK_COL).desc())
     summ = summ.withColumns({
         "_c_pm": F.max("_ls").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
         "_c_nm": F.min("_fs").over(wkd.rowsBetween(Window.unboundedPreceding, -1)),
-        "_n": F.sum("_cnt").over(Window.partitionBy("output_id")),
+        "_n": F.sum("_cnt").over(Window.partitionBy(*keys)),
     })
     tail_len = F.coalesce(F.col("_c_nm"), F.col("_n")) - F.col("_ls")
     summ = summ.withColumn("_cx", F.col("_inner") + F.when(F.col("_ls").isNotNull() & (tail_len > threshold),
                                                            tail_len - 2).otherwise(F.lit(0)))
     summ = summ.withColumns({
         "_c_x": F.coalesce(F.sum("_cx").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "_t_x": F.sum("_cx").over(Window.partitionBy("output_id")),
-    }).select("output_id", CHUNK_COL, "_c_pm", "_c_nm", "_n", "_c_x", "_t_x")
+        "_t_x": F.sum("_cx").over(Window.partitionBy(*keys)),
+    }).select(*keys, CHUNK_COL, "_c_pm", "_c_nm", "_n", "_c_x", "_t_x")
 
-    d = d.join(summ, ["output_id", CHUNK_COL])
+    d = d.join(summ, [*keys, CHUNK_COL])
     run_start = F.coalesce(F.col("_pm"), F.col("_c_pm"))
     run_len = F.coalesce(F.col("_nm"), F.col("_c_nm"), F.col("_n")) - run_start
     k = F.col("line_no") - run_start

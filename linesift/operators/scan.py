@@ -15,17 +15,18 @@ so one huge output (or one hot user) would serialize the job.
 4. the summary is joined back on ``(key, chunk)`` and the final value is an
    in-chunk window plus the carry.
 
-The input is repartitioned by ``(key, chunk)`` and materialized once with a
-reliable ``checkpoint()`` (into ``spark.checkpoint.dir``): the summary branch
-and the main branch both read it, so nested scans never recompute their input,
-lineage is cut at every level (a lost executor costs one level, not the whole
-chain), and the checkpoint keeps the hash partitioning, so neither the summary
-aggregate nor the in-chunk windows shuffle the big table again.
+The input is repartitioned by ``(key, chunk)`` and persisted (``materialize``):
+the summary branch and the main branch both read it, and the persisted frame
+keeps the hash partitioning, so neither the summary aggregate nor the in-chunk
+windows shuffle the big table again.  Operators that stack scans also ``cut``
+their plan: they write a table under ``spark.checkpoint.dir`` and read it back,
+so lineage ends there and a lost executor costs one level.
 
 Every window on the big table is partitioned by ``(key, chunk)``: at most
-``chunk_rows`` rows per window partition, whatever the key skew.  The big table
-is shuffled once, by ``(key, chunk)``; later scans on the same chunking reuse
-that partitioning (only the summary side is exchanged).
+``chunk_rows`` rows per window partition, whatever the key skew.
+
+Rows with a NULL key form a group of their own, and rows with a NULL position
+come first in their group: no row is dropped.
 """
 
 from __future__ import annotations
@@ -39,21 +40,22 @@ CHUNK_COL = "_chunk"
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once for its several readers.
+_PERSISTED: list[DataFrame] = []
 
-    ``LINESIFT_MATERIALIZE=persist`` (default): lazy ``persist(MEMORY_AND_DISK)``,
-    spilled to disk under memory pressure; a lost executor's blocks are
-    recomputed from lineage.  ``=checkpoint``: reliable eager checkpoint into
-    ``spark.checkpoint.dir`` (cuts lineage; for very long chains)."""
-    import os
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once for its several readers: lazy ``persist``, spilled to
+    disk under memory pressure; a lost executor's blocks are recomputed.
+    ``release`` frees the blocks when the result has been written."""
     from pyspark import StorageLevel
-    if os.environ.get("LINESIFT_MATERIALIZE", "persist") == "checkpoint":
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Unpersist what the operators have persisted so far."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,25 +63,39 @@ def cut(df: DataFrame) -> DataFrame:
     back: the result is a leaf (plan and lineage cut).  Used at the entry of
     operators that stack several two-level scans, so their plans do not grow
     with the input's plan.  (Every reader repartitions anyway, so the table
-    need not keep a partitioning.)  ``LINESIFT_CUT=checkpoint`` uses
-    ``DataFrame.checkpoint`` instead."""
-    import os
+    need not keep a partitioning.)  The folder goes when the application ends."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
-    base = ensure_checkpoint_dir(df.sparkSession)
-    if os.environ.get("LINESIFT_CUT", "table") == "checkpoint":
-        return df.checkpoint(eager=True)
-    path = f"{base.rstrip('/')}/linesift-cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linesift-cut-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# What stands for NULL beside a flag, by type; other types are compared as text.
+_ZERO = {"string": "", "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0.0, "float": 0.0}
+
+
+def null_safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add non-null stand-ins for ``keys`` (a value and an is-null flag each), so
+    that plain equi-joins and partitionings keep the rows with NULL keys."""
+    cols, names = {}, []
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType.simpleString()
+        value = F.coalesce(F.col(k), F.lit(_ZERO[kind]).cast(kind)) if kind in _ZERO else F.coalesce(F.col(k).cast("string"), F.lit(""))
+        cols |= {f"_key{i}": value, f"_null{i}": F.col(k).isNull()}
+        names += [f"_key{i}", f"_null{i}"]
+    return df.withColumns(cols), names
 
 
 def with_chunk(df: DataFrame, pos: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add the chunk column (no-op if present)."""
     if CHUNK_COL in df.columns:
         return df
-    return df.withColumn(CHUNK_COL, F.floor(F.col(pos) / F.lit(chunk_rows)).cast("long"))
+    return df.withColumn(CHUNK_COL, F.coalesce(F.floor(F.col(pos) / F.lit(chunk_rows)).cast("long"), F.lit(-1).cast("long")))
 
 
 def segmented_scan(
@@ -110,10 +126,8 @@ def segmented_scan(
     next_min = dict(next_min or {})
     total_sum = dict(total_sum or {})
     previous = dict(previous or {})
-    keys = list(keys)
 
-    d = with_chunk(df, pos, chunk_rows)
-    d = d.where(F.col(CHUNK_COL).isNotNull() & F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    d, keys = null_safe_keys(with_chunk(df, pos, chunk_rows), keys)
     tmp = {}
     for group in (running_sum, running_max, next_min, total_sum):
         for out, expr in group.items():
@@ -175,4 +189,4 @@ def segmented_scan(
     d = d.withColumns(dict(outs))
     drop = [c for c in d.columns if c.startswith(("_v_", "_s_", "_m_", "_r_", "_t_", "_p_",
                                                     "_cs_", "_cm_", "_cr_", "_ct_", "_cp_"))]
-    return d.drop(*drop)
+    return d.drop(*drop, *keys)

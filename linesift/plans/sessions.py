@@ -54,7 +54,7 @@ sess AS (
   FROM _n WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 ),
 sess2 AS (
-  SELECT *, md5(CAST(user_id AS VARCHAR) || '|' || strftime(session_start, '%Y-%m-%d %H:%M:%S.%f')) AS session_id
+  SELECT *, md5(coalesce(CAST(user_id AS VARCHAR), '') || '|' || session_no || '|' || epoch_us(session_start)) AS session_id
   FROM sess
 )"""
 
@@ -71,13 +71,13 @@ def sessionize_events(spark, sf_dir):
 
 @register("session_facts", f"WITH {_SQL_EV.strip()},{_sql_sessionized('ev').strip()}" + """
 SELECT user_id, session_no, session_id, min(ts) AS started_at, max(ts) AS last_used_at,
-       CAST(count(*) AS BIGINT) AS calls, arg_max(context_root, ts) AS last_context_root
+       CAST(count(*) AS BIGINT) AS calls, last(context_root ORDER BY ts, event_id) AS last_context_root
 FROM sess2 GROUP BY user_id, session_no, session_id""")
 def session_facts_q(spark, sf_dir):
     """W1 + W2: one row per session."""
     s = sessionize(_events(spark, sf_dir), "user_id", gap_seconds=GAP_SECONDS, context_col="context_root",
                    order_col="event_id")
-    return session_facts(s, "user_id", context_col="context_root")
+    return session_facts(s, "user_id", context_col="context_root", order_col="event_id")
 
 
 @register("resolved_sessions", f"""WITH {_SQL_EV.strip()},
@@ -92,3 +92,27 @@ def resolved_sessions(spark, sf_dir):
     r = resolve_session_id(_events(spark, sf_dir), "user_id", gap_seconds=GAP_SECONDS,
                            context_col="context_root", order_col="event_id")
     return r.select("event_id", "session_id", "source")
+
+
+# Every 97th event has no user, every 101st no time.
+_SQL_SPARSE = """
+ev AS (
+  SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 101 <> 0 THEN ts END AS ts,
+         CASE WHEN event_type = 'signup' THEN 'onboarding' ELSE 'product' END AS context_root
+  FROM events
+),
+timed AS (SELECT * FROM ev WHERE ts IS NOT NULL)"""
+
+
+@register("sessionize_sparse", f"WITH {_SQL_SPARSE.strip()},{_sql_sessionized('timed').strip()}" + """
+SELECT event_id, user_id, ts, is_new, session_no, session_start, session_id FROM sess2
+UNION ALL
+SELECT event_id, user_id, ts, false, NULL, NULL, NULL FROM ev WHERE ts IS NULL""")
+def sessionize_sparse(spark, sf_dir):
+    """W1 with missing users and times: every event comes out."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 97 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 101 != 0, F.col("ts")).alias("ts"),
+        F.when(F.col("event_type") == "signup", "onboarding").otherwise("product").alias("context_root"))
+    s = sessionize(ev, "user_id", gap_seconds=GAP_SECONDS, context_col="context_root", order_col="event_id")
+    return s.select("event_id", "user_id", "ts", "is_new", "session_no", "session_start", "session_id")

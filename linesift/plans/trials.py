@@ -1,7 +1,7 @@
 """Registered experiment queries.
 
-* Trials: ``orders`` grouped by month = trial; status F = baseline, O =
-  treatment (P orders take no part); per run: input tokens = sum of floor(total
+* Trials: ``orders`` grouped by month = trial; even order keys = baseline, odd =
+  treatment; per run: input tokens = sum of floor(total
   price), output tokens = orders, commands = distinct customers, return code 1
   when more than a quarter of the orders are urgent.
 * Agent events: ``conversations`` as event logs, one run per conversation;
@@ -23,10 +23,10 @@ W = DEFAULT_WRAPPER
 
 
 def trial_runs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O"))
+    o = table(spark, sf_dir, "orders")
     trial = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).cast("int")
     return (o.groupBy(trial.alias("trial"),
-                      F.when(F.col("o_orderstatus") == "F", X.BASELINE).otherwise(X.TREATMENT).alias("variant"))
+                      F.when(F.col("o_orderkey") % 2 == 0, X.BASELINE).otherwise(X.TREATMENT).alias("variant"))
             .agg(F.sum(F.floor("o_totalprice")).cast("long").alias("input_tokens"),
                  F.count(F.lit(1)).alias("output_tokens"),
                  F.countDistinct("o_custkey").alias("command_count"),
@@ -37,12 +37,12 @@ def trial_runs(spark, sf_dir):
 _SQL_RUNS = """
 runs AS (
   SELECT CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS trial,
-         CASE WHEN o_orderstatus = 'F' THEN 'baseline' ELSE 'treatment' END AS variant,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS variant,
          CAST(sum(floor(o_totalprice)) AS BIGINT) AS input_tokens,
          CAST(count(*) AS BIGINT) AS output_tokens,
          CAST(count(DISTINCT o_custkey) AS BIGINT) AS command_count,
          CASE WHEN count(*) FILTER (WHERE o_orderpriority = '1-URGENT') * 4 > count(*) THEN 1 ELSE 0 END AS returncode
-  FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2
+  FROM orders GROUP BY 1, 2
 ),
 paired AS (
   SELECT trial,

@@ -60,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local"):        # other hosts cannot see a folder of this one
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all hosts share")
     path = tempfile.mkdtemp(prefix="linesift-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
