@@ -16,12 +16,12 @@ from ..operators import trials as X
 from ..operators.checklist import checklist_status
 from ..operators.usage import savings_by_command, savings_by_session
 from ..session import ensure_checkpoint_dir
-from ..sources.logs import (read_documents, read_invocations, read_message_events, read_thread_events,
+from ..sources.logs import (read_cases, read_documents, read_invocations, read_message_events, read_thread_events,
                             to_log_records, write_events, write_invocations)
 from ..sources.reports import aggregate_report_rows, trial_report_json, trial_report_rows
 from . import checklists, trials
 from .catalog import ORACLE, register, rounded, sql_effective, sql_invocations, sql_savings_cols, with_ctes
-from .inputs import event_invocations
+from .inputs import event_invocations, table
 
 
 def scratch(spark, name: str) -> str:
@@ -52,7 +52,7 @@ win AS (SELECT * FROM inv WHERE session_id = 's7'
                                          sql_effective("win")) + f"""
 SELECT command, {sql_savings_cols()} FROM eff2 GROUP BY command""")
 def log_session_slice(spark, sf_dir):
-    """K1 -> S1 + S2 (one session, by partition pruning) + S3 (inclusive range) -> A7."""
+    """K1 -> S1 + S2 (one session) + S3 (inclusive range, prunes days) -> A7."""
     inv = read_invocations(spark, _write_log(spark, sf_dir), session_id="s7",
                            since="2024-01-05 00:00:00", until="2024-01-25 00:00:00")
     return rounded(savings_by_command(inv))
@@ -60,7 +60,7 @@ def log_session_slice(spark, sf_dir):
 
 @register("thread_log_roundtrip", ORACLE["thread_run_facts"])
 def thread_log_roundtrip(spark, sf_dir):
-    """Flavour A events written as one JSONL log per run, read back with S4, reduced by X1."""
+    """Flavour A events written as JSON lines, read back with S4, reduced by X1."""
     path = scratch(spark, "thread-events")
     write_events(trials.thread_events(spark, sf_dir), path)
     facts = X.thread_run_facts(read_thread_events(spark, path).withColumn("run_id", F.col("run_id").cast("long")))
@@ -69,7 +69,7 @@ def thread_log_roundtrip(spark, sf_dir):
 
 @register("message_log_roundtrip", ORACLE["message_run_facts"])
 def message_log_roundtrip(spark, sf_dir):
-    """Flavour B events written as one JSONL log per run, read back with S5, reduced by X2."""
+    """Flavour B events written as JSON lines, read back with S5, reduced by X2."""
     path = scratch(spark, "message-events")
     write_events(trials.message_events(spark, sf_dir), path)
     facts = X.message_run_facts(read_message_events(spark, path).withColumn("run_id", F.col("run_id").cast("long")))
@@ -104,3 +104,40 @@ def trial_report_rows_q(spark, sf_dir):
     rows = trial_report_rows(d).select(F.col("trial").cast("string").alias("key"), "row")
     agg = aggregate_report_rows(X.aggregate_deltas(d)).select(F.col("metric").alias("key"), "row")
     return rows.unionByName(agg)
+
+
+# Log lines that a reader must survive, made from events: good records, a mistyped
+# field, a tab before the record, and every 10th line no JSON object at all.
+_LINE = """CASE CAST(event_id % 10 AS INT)
+  WHEN 1 THEN '{bad json ' || event_id
+  WHEN 2 THEN '[1, 2]'
+  WHEN 3 THEN ''
+  WHEN 4 THEN {tab} || '{{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '.0}}'
+  WHEN 5 THEN '{{"session_id":"00' || user_id || '","command":"' || event_type || '","args":"x","stdout_lines":"many"}}'
+  ELSE '{{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '}}' END"""
+
+
+@register("log_bad_lines", """
+SELECT '00' || user_id AS session_id, event_type AS command, count(*) AS calls,
+       CAST(sum(CASE WHEN event_id % 10 <> 5 THEN event_id % 50 END) AS BIGINT) AS raw_lines
+FROM events WHERE event_id % 10 NOT IN (1, 2, 3) GROUP BY 1, 2""")
+def log_bad_lines(spark, sf_dir):
+    """S1 on a log with bad, mistyped and indented lines and ids with leading zeros."""
+    path = scratch(spark, "bad-log")
+    sql = _LINE.replace("{bad", "\x00bad").format(tab="'\t'").replace("\x00bad", "{bad")
+    table(spark, sf_dir, "events").select(F.expr(sql).alias("value")).write.text(path)
+    inv = read_invocations(spark, path)
+    return inv.groupBy("session_id", "command").agg(F.count(F.lit(1)).alias("calls"), F.sum("stdout_lines").alias("raw_lines"))
+
+
+@register("cases_roundtrip", """
+SELECT 'echo ' || role AS command, len(string_split(text, ' ')) AS n_args, count(*) AS cases
+FROM conversations WHERE turn % 4 <> 3 GROUP BY 1, 2""")
+def cases_roundtrip(spark, sf_dir):
+    """Cases written as JSON lines among empty commands and bad lines."""
+    path = scratch(spark, "cases")
+    c = table(spark, sf_dir, "conversations")
+    case = F.to_json(F.struct(F.when(F.col("turn") % 4 == 3, "").otherwise(F.concat(F.lit("echo "), "role")).alias("command"),
+                              F.split("text", " ").alias("args")))
+    c.select(F.explode(F.array(case, F.lit("{broken"), F.lit(""), F.lit("7"))).alias("value")).write.text(path)
+    return read_cases(spark, path).groupBy("command", F.size("args").alias("n_args")).agg(F.count(F.lit(1)).alias("cases"))

@@ -11,9 +11,6 @@ from . import sessions as batch_sessions
 from .catalog import ORACLE, register, rounded, sql_effective, sql_invocations, with_ctes
 from .inputs import table
 
-# Replays keep every event: the watermark only bounds state, never drops rows here.
-REPLAY_WATERMARK = "36500 days"
-
 
 def events_stream(spark, sf_dir):
     """S8 over the driver's parquet: the events file as a stream source."""
@@ -31,19 +28,18 @@ _n AS (
               OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
   FROM _f
 )
-SELECT * FROM (
+SELECT *, session_end > (SELECT max(ts) FROM events) AS open FROM (
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL {batch_sessions.GAP_SECONDS} SECOND AS session_end,
          CAST(count(*) AS BIGINT) AS events, min(ts) AS first_ts, max(ts) AS last_ts
-  FROM _n GROUP BY user_id, s)
-WHERE session_end <= (SELECT max(ts) FROM events)""")
+  FROM _n GROUP BY user_id, s)""")
 def stream_sessions_q(spark, sf_dir):
-    """Session windows (6 h gap) per user over the replayed stream, append
-    mode with a zero-delay watermark: a session is emitted once the newest event
-    time passes its end, so the replay returns every session closed by the last
-    event (those still open stay in the state store)."""
-    s = stream_sessions(events_stream(spark, sf_dir), "user_id", gap_seconds=batch_sessions.GAP_SECONDS,
-                        watermark="0 seconds")
-    res = drain(spark, s, "append", "w4")
+    """Session windows (6 h gap) per user over the replayed stream.  Complete
+    mode returns every session, flagged ``open`` while the newest event has not
+    passed its end (append mode would hold those back)."""
+    s = stream_sessions(events_stream(spark, sf_dir), "user_id", gap_seconds=batch_sessions.GAP_SECONDS)
+    res = drain(spark, s, "complete", "w4")
+    newest = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("_newest"))
+    res = res.join(F.broadcast(newest)).withColumn("open", F.col("session_end") > F.col("_newest")).drop("_newest")
     return res.withColumns({c: F.col(c).cast("timestamp_ntz")
                             for c in ("session_start", "session_end", "first_ts", "last_ts")})
 
@@ -55,7 +51,7 @@ def stream_user_sessions(spark, sf_dir):
         "context_root", F.when(F.col("event_type") == "signup", "onboarding").otherwise("product"))
     s = stream_assign_sessions(ev.select("event_id", "user_id", "ts", "context_root"), "user_id",
                                gap_seconds=batch_sessions.GAP_SECONDS, context_col="context_root",
-                               order_col="event_id", watermark=REPLAY_WATERMARK)
+                               order_col="event_id")
     res = drain(spark, s, "append", "w5")
     return res.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "context_root", "is_new",
                       "session_no", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "session_id")
@@ -78,18 +74,18 @@ def stream_savings_q(spark, sf_dir):
         F.when(F.col("event_type") == "view", F.lit(None).cast("long"))
          .when(F.col("event_type") == "click", k).otherwise(F.floor(k / 2).cast("long")).alias("compressed_lines"),
         ((F.col("event_type") == "error") & (k < 10)).alias("full"))
-    res = drain(spark, stream_savings(inv, watermark=REPLAY_WATERMARK), "update", "w6", latest_by=["day", "command"])
+    res = drain(spark, stream_savings(inv), "update", "w6", latest_by=["day", "command"])
     return rounded(res)
 
 
 @register("stream_log_savings", ORACLE["stream_savings"])
 def stream_log_savings(spark, sf_dir):
-    """K1 -> S8 -> W6: the invocation log written as JSON folders per session,
+    """K1 -> S8 -> W6: the invocation log written as JSON folders per day,
     tailed as a file stream, running savings per day and command."""
     from ..sources.logs import stream_invocations
     from .edges import _write_log
     path = _write_log(spark, sf_dir)
     inv = stream_invocations(spark, path, max_files_per_trigger=64)
-    res = drain(spark, stream_savings(inv, watermark=REPLAY_WATERMARK), "update", "w6log",
+    res = drain(spark, stream_savings(inv), "update", "w6log",
                 latest_by=["day", "command"])
     return rounded(res)

@@ -1,18 +1,24 @@
 """Sources (S1-S8) and sinks (K1) of invocation logs and agent event logs.
 
 Layouts read:
-* the tool's own layout: one ``<session>.jsonl`` file per session;
-* our sink's layout: ``session_id=<id>/part-*.json`` (written by
-  ``write_invocations``), where choosing a session is partition pruning.
+* the tool's own layout: one ``<session>.jsonl`` file per session, chosen by the
+  file's stem whatever the records inside say;
+* our sink's layout: ``day=<date>/part-*`` (written by ``write_invocations``),
+  where a time range prunes folders and a session is chosen by the id inside
+  the record.  Ids never become folder names.
+
+Every line is read as text and parsed field by field (``try_parse_json``): a
+mistyped field is NULL, a line that is no JSON object is skipped, in batch and in
+streams alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import split_lines, token_estimate
+from ..functions.text import token_estimate
 
 # The invocation record (13 fixed + 2 optional fields), read leniently.
 INVOCATION_SCHEMA = T.StructType([
@@ -62,11 +68,19 @@ MESSAGE_EVENT_SCHEMA = T.StructType([
 CASE_SCHEMA = T.StructType([T.StructField("command", T.StringType()),
                             T.StructField("args", T.ArrayType(T.StringType()))])
 
-_CORRUPT = "_corrupt"
+# White space around a line's JSON.
+_BLANK = " \t\n\r\x0b\x0c"
 
 
-def _lenient(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+def json_object(value: Column) -> Column:
+    """The line as a VARIANT if it is a JSON object, else NULL."""
+    v = F.try_parse_json(F.btrim(value, F.lit(_BLANK)))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
+def _field(v: Column, f: T.StructField) -> Column:
+    """One field, NULL where it is missing or of another type (3.0 is a 3)."""
+    return F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
 
 
 def parse_ts(c: Column) -> Column:
@@ -74,34 +88,29 @@ def parse_ts(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
+def _parse_invocations(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    d = raw.withColumn("_v", json_object(F.col("value"))).where(F.col("_v").isNotNull())
+    d = d.select(*keep, *[_field(F.col("_v"), f) for f in INVOCATION_SCHEMA.fields])
+    return d.withColumn("ts", parse_ts(F.col("timestamp")))
+
+
 def read_invocations(spark: SparkSession, path: str, session_id: str | None = None,
                      since=None, until=None) -> DataFrame:
-    """S1 (+ S2 session, S3 inclusive time range).  Blank lines give no row;
-    bad JSON, bare scalars and non-object lines are skipped.
-
-    Lines are read as text (partition folders ``session_id=<id>`` are still
-    discovered, so choosing a session prunes folders) and parsed with
-    ``from_json``; a line is kept when it is a JSON object that parsed."""
+    """S1 (+ S2 session, S3 inclusive time range).  Blank lines, bad JSON and
+    lines that are no object give no row; every other line gives one."""
     raw = spark.read.text(path)
-    partitioned = "session_id" in raw.columns                    # found by partition discovery
-    if session_id is not None and partitioned:
-        raw = raw.where(F.col("session_id") == session_id)        # partition pruning
-    elif session_id is not None:
-        raw = spark.read.option("pathGlobFilter", f"{session_id}.jsonl").text(path)
-    value = F.trim(F.col("value"))
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = raw.where(value.startswith("{")).withColumn("_e", F.from_json("value", _lenient(INVOCATION_SCHEMA), opts))
-    parsed = parsed.where(F.col("_e").isNotNull() & F.col(f"_e.{_CORRUPT}").isNull())
-    cols = []
-    for f in INVOCATION_SCHEMA.fields:
-        c = F.col(f"_e.{f.name}")
-        if f.name == "session_id" and "session_id" in raw.columns:
-            c = F.coalesce(c, F.col("session_id").cast("string"))
-        cols.append(c.alias(f.name))
-    df = parsed.select(*cols)
+    if "day" in raw.columns:                                     # our sink's folders: prune days
+        day = F.col("day").cast("string")
+        if since is not None:
+            raw = raw.where((day != "unknown") & (day >= F.date_format(F.lit(since).cast("timestamp"), "yyyy-MM-dd")))
+        if until is not None:
+            raw = raw.where((day == "unknown") | (day <= F.date_format(F.lit(until).cast("timestamp"), "yyyy-MM-dd")))
+    raw = raw.select("value", F.col("_metadata.file_name").alias("_file"))
+    df = _parse_invocations(raw, ("_file",))
     if session_id is not None:
-        df = df.where(F.col("session_id") == session_id)
-    df = df.withColumn("ts", parse_ts(F.col("timestamp")))
+        own = F.col("_file").endswith(".jsonl")                  # a file per session
+        df = df.where(F.when(own, F.col("_file") == f"{session_id}.jsonl").otherwise(F.col("session_id") == session_id))
+    df = df.drop("_file")
     if since is not None:
         df = df.where(F.col("ts").isNotNull() & (F.col("ts") >= F.lit(since).cast("timestamp")))
     if until is not None:
@@ -110,16 +119,13 @@ def read_invocations(spark: SparkSession, path: str, session_id: str | None = No
 
 
 def stream_invocations(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Tail a log directory as a stream.  Producers must add new files
-    (``write_invocations`` does); Spark's file source treats a seen file as final."""
-    r = spark.readStream.schema(INVOCATION_SCHEMA).option("recursiveFileLookup", "true")
+    """Tail a log directory as a stream, parsed as in S1.  Producers must add
+    new files (``write_invocations`` does); Spark's file source treats a seen
+    file as final."""
+    r = spark.readStream.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.json(path)
-    # our sink keeps the session in the folder name (session_id=<id>)
-    folder = F.regexp_extract(F.input_file_name(), "session_id=([^/]+)", 1)
-    return df.withColumns({"session_id": F.coalesce(F.col("session_id"), F.when(folder != "", folder)),
-                           "ts": parse_ts(F.col("timestamp"))})
+    return _parse_invocations(r.text(path))
 
 
 def to_log_records(facts: DataFrame) -> DataFrame:
@@ -141,34 +147,41 @@ def to_log_records(facts: DataFrame) -> DataFrame:
 
 
 def write_invocations(records: DataFrame, path: str) -> None:
-    """K1: append records as JSON lines, one folder per session (NULL fields are
-    omitted by the JSON writer).  No repartition by session: every task writes
-    its own file per session it holds, so a hot session is spread over tasks."""
-    records.write.mode("append").partitionBy("session_id").json(path)
+    """K1: append records as JSON lines, one folder per UTC day (NULL fields are
+    omitted by the JSON writer).  The session id stays inside the record.  No
+    repartition: every task writes its own file per day it holds, so a hot
+    session or day is spread over tasks."""
+    day = F.coalesce(F.date_format(parse_ts(F.col("timestamp")), "yyyy-MM-dd"), F.lit("unknown"))
+    records.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of every JSONL file with its position: ``file, line_no, value``.
-    A log file is read whole (one file = one run), so line order is kept."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return (files.select("file", F.posexplode(split_lines(F.col("value"))).alias("line_no", "value"))
-            .withColumn("value", F.regexp_replace("value", "[\\r\\n]+$", ""))
-            .where(F.trim("value") != ""))
+    """Every worded line of every JSONL file with its 0-based position:
+    ``file, line_no, value``.  Files are split like any text input; a split's
+    lines are numbered from the counts of the file's earlier splits."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    d = lines.join(blocks, ["file", "block"])
+    return d.select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "value") \
+        .where(F.btrim("value", F.lit(_BLANK)) != "")
 
 
 def _run_id(file: Column) -> Column:
-    """Run id from the file path: the ``run_id=<x>`` folder if present, else the file stem."""
-    part = F.regexp_extract(file, "run_id=([^/]+)", 1)
-    stem = F.regexp_extract(file, "([^/]+?)(\\.[^./]*)?$", 1)
-    return F.when(part != "", part).otherwise(stem)
+    """Run id of a log file: its stem."""
+    return F.regexp_extract(file, "([^/]+?)(\\.[^./]*)?$", 1)
 
 
 def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    lines = read_jsonl_lines(spark, path)
-    parsed = lines.select(_run_id(F.col("file")).alias("run_id"), "line_no",
-                          F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"),
-                          F.col("value").startswith("{").alias("_obj"))
-    return parsed.where(F.col("_obj") & F.col("e").isNotNull()).select("run_id", "line_no", "e.*")
+    """A record's own ``run_id`` and ``line_no`` (our sink) go before the file's stem and position."""
+    lines = read_jsonl_lines(spark, path).withColumn("_v", json_object(F.col("value"))).where(F.col("_v").isNotNull())
+    return lines.select(
+        F.coalesce(F.try_variant_get("_v", "$.run_id", "string"), _run_id(F.col("file"))).alias("run_id"),
+        F.coalesce(F.try_variant_get("_v", "$.line_no", "bigint"), F.col("line_no")).alias("line_no"),
+        F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).select("run_id", "line_no", "e.*")
 
 
 def read_thread_events(spark: SparkSession, path: str) -> DataFrame:
@@ -183,22 +196,17 @@ def read_message_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark cases; blank/bad lines and empty commands skipped."""
-    lines = read_jsonl_lines(spark, path)
-    parsed = lines.select("file", "line_no", F.from_json("value", CASE_SCHEMA).alias("c"),
-                          F.col("value").startswith("{").alias("_obj"))
-    return (parsed.where(F.col("_obj") & (F.coalesce(F.col("c.command"), F.lit("")) != ""))
-            .select(F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("case_id"),
-                    F.col("c.command").alias("command"),
-                    F.coalesce(F.col("c.args"), F.array().cast("array<string>")).alias("args")))
+    lines = read_jsonl_lines(spark, path).withColumn("_v", json_object(F.col("value"))).where(F.col("_v").isNotNull())
+    command, args = (_field(F.col("_v"), f) for f in CASE_SCHEMA.fields)
+    d = lines.select(F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("case_id"), command, args)
+    return d.where(F.col("command") != "").withColumn("args", F.coalesce("args", F.array().cast("array<string>")))
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Write event rows (``run_id, line_no`` + event fields) as one JSONL log per
-    run, lines in ``line_no`` order (the reader's unit is one run's log file, as
-    an agent session writes it; one run is one task here)."""
-    cols = [c for c in events.columns if c not in ("run_id", "line_no")]
-    (events.repartition("run_id").sortWithinPartitions("run_id", "line_no")
-     .select("run_id", *cols).write.mode("overwrite").partitionBy("run_id").json(path))
+    """Append event rows (``run_id, line_no`` + event fields) as JSON lines.  Run
+    and position stay inside the record, so a long run is no single task and a
+    run no folder."""
+    events.write.mode("append").json(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

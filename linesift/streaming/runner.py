@@ -1,11 +1,11 @@
-"""Run a streaming query to completion into a table (replays and tests).
+"""Run a streaming query to its end into a table (replays and tests).
 
 ``drain`` starts the query with ``trigger(availableNow=True)``, writes every
-micro-batch with ``foreachBatch`` as parquet (tagged with its batch id) into a
-folder under ``spark.checkpoint.dir`` (the query's own checkpoint lives next
-to it, so a restarted driver resumes instead of recomputing), waits for the
-end and reads the folder back.  In update mode a key may be emitted by several
-batches: ``latest_by`` keeps each key's last version.
+micro-batch with ``foreachBatch`` as parquet into a folder of its batch under
+``spark.checkpoint.dir`` (a repeated batch replaces its folder), waits for the end
+and reads the folders back.  In update mode a key may be emitted by several
+batches: ``latest_by`` keeps each key's last version.  In complete mode the last
+batch is the result.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -24,16 +25,20 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append", name: st
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linesift-{name}-{uuid.uuid4().hex}"
     out, ckpt = f"{base}/out", f"{base}/ckpt"
 
+    batches: list[int] = []
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{out}/{batch_id}")
+        batches.append(batch_id)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:                          # no batch produced rows
+    if not batches:
         return spark.createDataFrame([], stream.schema)
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    last = batches[-1:] if mode == "complete" else sorted(set(batches))
+    res = spark.read.schema(schema).parquet(*[f"{out}/{b}" for b in last])
     if latest_by:
         w = Window.partitionBy(*latest_by).orderBy(F.desc("_batch"))
         res = res.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")

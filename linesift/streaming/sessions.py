@@ -5,11 +5,12 @@
   matching the strict ``>`` of the batch rule).  No context rule.
 * W5 ``stream_assign_sessions``: the full batch rule (gap and context change)
   decided online per key with ``applyInPandasWithState``: the state keeps the
-  last event time, context, session number and start; it expires through an
-  event-time timeout once the watermark passes last event + gap.  Every event
-  is emitted with its session (append).  Events of a key must arrive in time
-  order across micro-batches (the tool stamps them with the current clock);
-  within a micro-batch they are sorted.
+  last event time, context, session number and start of a key, 32 bytes and the
+  context, for as long as the query lives.  (It must outlive the gap: the next
+  session's number and the context rule need it.)  Every event is emitted with its
+  session (append).  Events of a key must arrive in time order across
+  micro-batches (the tool stamps them with the current clock); within a
+  micro-batch they are sorted.
 * W6 ``stream_savings``: per (day, command) savings sums, update mode.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.usage import day_label
 from ..operators.sessions import DEFAULT_GAP_SECONDS, session_id_expr
 from ..operators.usage import with_effective
 
@@ -40,66 +42,58 @@ def stream_sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: in
 _STATE = "last_us long, last_ctx string, session_no long, start_us long"
 
 
-def _assign(gap_us: int, key: str, order_col: str | None):
+def _assign(gap_us: int, order_col: str | None):
     def fn(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches), ignore_index=True)
-        sort = ["_us"] + ([order_col] if order_col else [])
-        pdf = pdf.sort_values(sort, kind="stable").reset_index(drop=True)
-        if state.exists:
-            last_us, last_ctx, no, start_us = state.get
-        else:
-            last_us, last_ctx, no, start_us = None, None, 0, None
-        new_flags, nos, starts = [], [], []
-        for us, ctx in zip(pdf["_us"].tolist(), pdf["_ctx"].tolist()):
-            ctx = None if (ctx is None or (isinstance(ctx, float) and pd.isna(ctx))) else ctx
-            new = (last_us is None or (gap_us > 0 and us - last_us > gap_us)
-                   or (last_ctx is not None and ctx != last_ctx))
-            if new:
-                no += 1
-                start_us = us
-            new_flags.append(new)
-            nos.append(no)
-            starts.append(start_us)
-            last_us, last_ctx = us, ctx
-        state.update((last_us, last_ctx, no, start_us))
-        state.setTimeoutTimestamp(int(last_us // 1000 + max(gap_us, 1) // 1000 + 1))
-        out = pdf.drop(columns=["_us"]).copy()
-        out["is_new"] = new_flags
-        out["session_no"] = nos
-        out["_start_us"] = starts
-        yield out
+        timed = pdf["_us"].notna()
+        out = pdf[timed].sort_values(["_us"] + ([order_col] if order_col else []), kind="stable").reset_index(drop=True)
+        late = pdf[~timed].assign(is_new=False, session_no=None, _start_us=None)
+        if len(out):
+            us = out["_us"].astype("int64")
+            ctx = out["_ctx"].astype(object).where(out["_ctx"].notna(), None)
+            last_us, last_ctx, no, start_us = state.get if state.exists else (None, None, 0, None)
+            before = us.shift(1)
+            before_ctx = ctx.shift(1)
+            if last_us is not None:
+                before.iloc[0], before_ctx.iloc[0] = last_us, last_ctx
+            new = before.isna() | (before_ctx.notna() & (ctx.fillna("") .ne(before_ctx.fillna("")) | ctx.isna()))
+            if gap_us > 0:
+                new |= us - before > gap_us
+            out["is_new"] = new
+            out["session_no"] = no + new.cumsum()
+            start = us.where(new).ffill()
+            out["_start_us"] = start.fillna(start_us if start_us is not None else 0).astype("int64")
+            state.update((int(us.iloc[-1]), ctx.iloc[-1], int(out["session_no"].iloc[-1]), int(out["_start_us"].iloc[-1])))
+        for part in (out, late):
+            if len(part):
+                yield part.drop(columns=["_us"])
     return fn
 
 
 def stream_assign_sessions(events: DataFrame, key: str, ts: str = "ts", gap_seconds: int = DEFAULT_GAP_SECONDS,
-                           context_col: str | None = None, order_col: str | None = None,
-                           watermark: str = "1 hour") -> DataFrame:
+                           context_col: str | None = None, order_col: str | None = None) -> DataFrame:
     """Every event with ``is_new``, ``session_no``, ``session_start`` and
     ``session_id`` (same values as the batch ``sessionize``)."""
-    e = events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", watermark)
-    e = e.withColumns({"_us": F.unix_micros("_t"),
+    e = events.withColumns({"_us": F.unix_micros(F.col(ts).cast("timestamp")),
                        "_ctx": F.col(context_col) if context_col else F.lit(None).cast("string")})
     in_cols = [f for f in e.schema.fields]
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in in_cols if f.name != "_us")
     out_schema += ", is_new boolean, session_no long, _start_us long"
     res = e.groupBy(key).applyInPandasWithState(
-        _assign(int(gap_seconds) * 1_000_000, key, order_col), out_schema, _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        _assign(int(gap_seconds) * 1_000_000, order_col), out_schema, _STATE, "append",
+        GroupStateTimeout.NoTimeout)
     start = F.timestamp_micros("_start_us")
-    res = res.withColumn("session_start", start).withColumn("session_id", session_id_expr(F.col(key), start))
-    return res.drop("_t", "_ctx", "_start_us")
+    res = res.withColumn("session_start", start).withColumn(
+        "session_id", F.when(F.col("session_no").isNotNull(), session_id_expr(F.col(key), F.col("session_no"), start)))
+    return res.drop("_ctx", "_start_us")
 
 
-def stream_savings(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def stream_savings(stream: DataFrame) -> DataFrame:
     """Running raw/effective lines and bytes, calls and bypasses per UTC day
-    and command (update mode: each trigger emits the groups it changed)."""
-    d = with_effective(stream).withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", watermark)
-    return (d.groupBy(F.window("_t", "1 day").alias("w"), "command")
+    and command (update mode: each trigger emits the groups it changed).  Late
+    calls count, and calls without a time are the day ``unknown``, as in the batch
+    report; the state is one row per day and command."""
+    return (with_effective(stream).groupBy(day_label(F.col("ts")).alias("day"), "command")
             .agg(F.count(F.lit(1)).alias("calls"), F.sum("stdout_lines").alias("raw_lines"),
                  F.sum("eff_lines").alias("effective_lines"), F.sum("stdout_bytes").alias("raw_bytes"),
-                 F.sum("eff_bytes").alias("effective_bytes_estimate"), F.count_if("full").alias("full_calls"))
-            .select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "command", "calls", "raw_lines",
-                    "effective_lines", "raw_bytes", "effective_bytes_estimate", "full_calls"))
+                 F.sum("eff_bytes").alias("effective_bytes_estimate"), F.count_if("full").alias("full_calls")))

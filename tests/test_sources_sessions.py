@@ -31,6 +31,65 @@ def test_read_invocations_lenient(spark):
     assert read_invocations(spark, d, until="2026-01-01 10:00:00").count() == 2
 
 
+def test_session_by_stem_and_ids_as_written(spark):
+    """The tool's layout chooses by file stem whatever ids stand inside; our sink's
+    by the id inside the record; ids stay strings with all their characters."""
+    from pyspark.sql import functions as F
+
+    from linesift.sources.logs import to_log_records, write_invocations
+    d = tempfile.mkdtemp(prefix="linesift-test-")
+    _write(os.path.join(d, "abc.jsonl"), '{"command":"x"}\n{"command":"y","session_id":"other"}\n\t{"command":"z","args":"no list","stdout_lines":3.0}\n{bad')
+    _write(os.path.join(d, "007.jsonl"), '{"command":"x","session_id":"007"}\n')
+    got = read_invocations(spark, d, session_id="abc").collect()
+    assert sorted((r.command, r.session_id, r.args, r.stdout_lines) for r in got) == [
+        ("x", None, None, None), ("y", "other", None, None), ("z", None, None, 3)]
+    assert [r.session_id for r in read_invocations(spark, d, session_id="007").collect()] == ["007"]
+    ids = ["007", "42", "a/b:c", "x=y %2F", None]
+    facts = spark.createDataFrame([(i, "cat", 10) for i in ids], "session_id string, command string, stdout_bytes long") \
+        .withColumn("ts", F.when(F.col("session_id") != "42", F.lit("2026-01-01 10:00:00").cast("timestamp"))) \
+        .withColumn("full", F.lit(False))
+    out = os.path.join(d, "sink")
+    write_invocations(to_log_records(facts), out)
+    assert sorted(r.session_id or "" for r in read_invocations(spark, out).collect()) == sorted(i or "" for i in ids)
+    for i in ids[:4]:
+        assert read_invocations(spark, out, session_id=i).count() == 1
+    assert read_invocations(spark, out, since="2026-01-01 09:00:00").count() == 3
+    assert read_invocations(spark, out, until="2026-01-01 09:00:00").count() == 2          # those without a time
+
+
+def test_agent_events_skip_bad_lines(spark):
+    from linesift.sources.logs import read_message_events, read_thread_events
+    d = tempfile.mkdtemp(prefix="linesift-test-")
+    _write(os.path.join(d, "run-1.jsonl"), '{"type":"a","thread_id":"t"}\n{bad\n\n[1]\n {"type":"b","usage":{"input_tokens":"many"}}\n')
+    for read in (read_thread_events, read_message_events):
+        got = read(spark, d).orderBy("line_no").collect()
+        assert [(r.run_id, r.line_no, r.type) for r in got] == [("run-1", 0, "a"), ("run-1", 4, "b")]
+
+
+def test_rows_without_key_or_time_stay(spark):
+    from linesift.operators.runs import collapse_runs
+    from linesift.operators.scan import segmented_scan
+    t = dt.datetime(2026, 1, 1)
+    ev = spark.createDataFrame([(None, t, 1), (None, t + dt.timedelta(seconds=5), 2), (1, None, 3), (1, t, 4), (None, None, 5)],
+                               "k long, ts timestamp, i long")
+    got = {r.i: (r.session_no, r.session_id is not None) for r in sessionize(ev, "k", order_col="i").collect()}
+    assert got == {1: (1, True), 2: (1, True), 3: (None, False), 4: (1, True), 5: (None, False)}
+    same = spark.createDataFrame([(1, t, 1, "a"), (1, t, 2, "b")], "k long, ts timestamp, i long, c string")
+    two = sessionize(same, "k", context_col="c", order_col="i").collect()
+    assert len({r.session_id for r in two}) == 2            # two sessions that start at one instant
+    lines = spark.createDataFrame([(None, i, "x\n") for i in range(6)] + [(1, 0, "y\n")], "output_id long, line_no int, line string")
+    out = {(r.output_id, r.seq): r.line for r in collapse_runs(lines).collect()}
+    assert out == {(None, 0): "x\n", (None, 1): "# ... repeated 6 times\n", (1, 0): "y\n"}
+    d = spark.createDataFrame([(None, 1), (None, 2), ("", 1), ("a", None), ("a", 7)], "k string, p long")
+    sums = sorted((str(r.k), str(r.p), r.n) for r in segmented_scan(d, ["k"], "p", chunk_rows=2, running_sum={"n": F_ONE()}).collect())
+    assert sums == [("", "1", 1), ("None", "1", 1), ("None", "2", 2), ("a", "7", 2), ("a", "None", 1)]
+
+
+def F_ONE():
+    from pyspark.sql import functions as F
+    return F.lit(1)
+
+
 def test_read_cases_and_documents(spark):
     d = tempfile.mkdtemp(prefix="linesift-test-")
     _write(os.path.join(d, "cases.jsonl"),

@@ -30,7 +30,7 @@ def _fixture(spark):
 def test_online_sessions_equal_batch(spark):
     batch, stream = _fixture(spark)
     online = drain(spark, stream_assign_sessions(stream, "user_id", gap_seconds=1800, context_col="ctx",
-                                                 order_col="event_id", watermark="36500 days"), "append", "t5")
+                                                 order_col="event_id"), "append", "t5")
     exp = sessionize(batch, "user_id", gap_seconds=1800, context_col="ctx", order_col="event_id")
     cols = ["event_id", "is_new", "session_no", "session_id"]
     assert sorted(online.select(*cols).collect()) == sorted(exp.select(*cols).collect())
@@ -46,3 +46,46 @@ def test_session_windows_closed(spark):
     want = {(r.user_id, r.s, r.n) for r in exp.collect() if r.e + dt.timedelta(seconds=1800) <= max_ts}
     have = {(r.user_id, r.session_start, r.events) for r in got.collect()}
     assert have == want and len(want) > 0
+
+
+def test_online_sessions_over_many_batches(spark):
+    """24 micro-batches, keys that are silent for many of them, missing users and
+    times, context changes, with and without the gap rule: as in batch."""
+    rnd = random.Random(9)
+    base = dt.datetime(2026, 1, 1)
+    path, rows = tempfile.mkdtemp(prefix="linesift-stream-"), []
+    for batch in range(24):
+        part = []
+        for user in (0, 1, 2, 3, None):
+            if user == 1 and batch not in (0, 20) or user == 2 and batch % 5:
+                continue
+            for _ in range(rnd.randint(1, 4)):
+                t = base + dt.timedelta(hours=batch, seconds=rnd.randrange(3600))
+                part.append((len(rows) + len(part), user, t if rnd.random() < 0.95 else None, rnd.choice(["a", "b", None])))
+        rows += part
+        schema = "event_id long, user_id long, ts timestamp, ctx string"
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    whole = spark.createDataFrame(rows, schema)
+    cols = ["event_id", "is_new", "session_no", "session_start", "session_id"]
+    for gap in (1800, 0):
+        stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        online = drain(spark, stream_assign_sessions(stream, "user_id", gap_seconds=gap, context_col="ctx", order_col="event_id"),
+                       "append", "many")
+        exp = sessionize(whole, "user_id", gap_seconds=gap, context_col="ctx", order_col="event_id")
+        assert sorted(map(str, online.select(*cols).collect())) == sorted(map(str, exp.select(*cols).collect()))
+
+
+def test_savings_stream_keeps_calls_without_time(spark):
+    from linesift.operators.usage import with_effective
+    from linesift.sources.logs import read_invocations, stream_invocations
+    from linesift.streaming.sessions import stream_savings
+    path = tempfile.mkdtemp(prefix="linesift-stream-")
+    for k, lines in enumerate((['{"command":"a","stdout_lines":3,"timestamp":"2026-01-09T00:00:00+00:00"}', "{bad json"],
+                               ['{"command":"a","stdout_lines":4,"timestamp":"2026-01-01T00:00:00+00:00"}', '\t{"command":"a","stdout_lines":5.0}'],
+                               ['{"command":"b","stdout_lines":"x"}', "[]", ""])):
+        with open(f"{path}/{k}.jsonl", "w") as f:
+            f.write("\n".join(lines))
+    got = drain(spark, stream_savings(stream_invocations(spark, path, 1)), "update", "w6", latest_by=["day", "command"])
+    have = {(r.day, r.command): (r.calls, r.raw_lines) for r in got.collect()}
+    assert have == {("2026-01-09", "a"): (1, 3), ("2026-01-01", "a"): (1, 4), ("unknown", "a"): (1, 5), ("unknown", "b"): (1, 0)}
+    assert with_effective(read_invocations(spark, path)).count() == 4
