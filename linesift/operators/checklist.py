@@ -15,26 +15,19 @@ from ..functions.text import py_rstrip, py_strip
 from .lines import to_lines
 from .scan import CHUNK_COL, segmented_scan
 
-def _rstrip(c):
-    return py_rstrip(c)
-
-
-def _strip(c):
-    return py_strip(c)
-
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One pass over the lines: phase/task flags and the running phase index."""
     lines = to_lines(docs.select(F.col(key).alias("output_id"), F.col(text).alias("stdout")), universal=True)
     lines = lines.select(F.col("output_id").alias(key), (F.col("line_no") + 1).alias("line"),
-                         _rstrip(F.col("line")).alias("raw"))
+                         py_rstrip(F.col("line")).alias("raw"))
     heading = F.col("raw").startswith("## ")
-    head_title = _strip(F.substring(F.col("raw"), 4, 1 << 30))
+    head_title = py_strip(F.substring(F.col("raw"), 4, 1 << 30))
     is_phase = heading & head_title.startswith("Phase ")
     lines = lines.withColumns({"_heading": heading, "_phase": is_phase.cast("int"), "_htitle": head_title})
     lines = segmented_scan(lines, [key], "line", running_sum={"phase_index": F.col("_phase")}).drop(CHUNK_COL)
     marker = F.lower(F.substring("raw", 4, 1))
-    title = _strip(F.substring("raw", 7, 1 << 30))
+    title = py_strip(F.substring("raw", 7, 1 << 30))
     task = (~F.col("_heading") & F.col("raw").startswith("- [") & (F.length("raw") >= 7)
             & marker.isin(" ", "x") & (F.substring("raw", 5, 1) == "]") & (F.substring("raw", 6, 1) == " ")
             & (F.col("phase_index") > 0) & (title != ""))
@@ -95,7 +88,21 @@ def checklist_status(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         F.col("current_phase.phase_index").alias("next_task_phase_index"), "current_phase")
 
 
-def checklist_json(status: DataFrame, key: str = "doc_id") -> DataFrame:
-    """K4: one JSON object per document."""
-    cols = [c for c in status.columns if c != key]
-    return status.select(key, F.to_json(F.struct(*cols)).alias("json"))
+def checklist_json(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """K4: one JSON object per document: phase count, all-done flag, current phase,
+    next task, all phases in order (a list as long as the document has phases),
+    and the document's path if there is such a column."""
+    status = checklist_status(docs, key, text)
+    phases = checklist_phases(docs, key, text).drop("next_task_line")
+    own = F.struct(*[c for c in phases.columns if c != key])
+    listed = phases.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("phases"))
+    d = status.join(listed, key, "left")
+    if path:
+        d = d.join(docs.select(F.col(key), F.col(path).alias("tasklist_path")), key, "left")
+    task = F.when(F.col("next_task_title").isNotNull(), F.struct(
+        F.col("next_task_title").alias("title"), F.col("next_task_line").alias("line"), F.col("next_task_phase").alias("phase"),
+        F.col("next_task_phase_index").alias("phase_index")))
+    fields = [F.col("phase_count"), F.col("all_tasks_done"), F.col("current_phase"), task.alias("next_task"),
+              F.coalesce("phases", F.array().cast(d.schema["phases"].dataType)).alias("phases")]
+    return d.select(key, F.to_json(F.struct(*fields, *(["tasklist_path"] if path else [])),
+                                   {"ignoreNullFields": "false"}).alias("json"))

@@ -72,18 +72,22 @@ def message_calls(events: DataFrame) -> DataFrame:
 
 
 def message_run_facts(events: DataFrame, wrapper: str = DEFAULT_WRAPPER) -> DataFrame:
-    """Last session id, last ``result`` usage (input = input + cache read +
-    cache creation), count of Bash calls, wrapper calls, counts by program."""
-    u = _last(F.col("usage"), F.col("type") == "result")
+    """Last session id, usage of the last ``result`` (input = input + cache read
+    + cache creation; 0 where the result has no usage, NULL without a result),
+    count of Bash calls, wrapper calls, counts by program."""
+    is_result = F.col("type") == "result"
     base = events.groupBy("run_id").agg(
-        _last(F.col("session_id"), F.col("type") == "system").alias("session_id"), u.alias("_u"))
+        _last(F.col("session_id"), F.col("type") == "system").alias("session_id"),
+        _last(F.col("usage"), is_result).alias("_u"), F.max(is_result).alias("_ended"))
     z = F.lit(0).cast("long")
+
+    def used(name: str) -> Column:
+        return F.when(F.col("_ended"), F.coalesce(F.col(f"_u.{name}"), z))
+
+    parts = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
     base = base.select(
-        "run_id", "session_id",
-        F.when(F.col("_u").isNotNull(),
-               F.coalesce(F.col("_u.input_tokens"), z) + F.coalesce(F.col("_u.cache_read_input_tokens"), z)
-               + F.coalesce(F.col("_u.cache_creation_input_tokens"), z)).alias("input_tokens"),
-        F.when(F.col("_u").isNotNull(), F.coalesce(F.col("_u.output_tokens"), z)).alias("output_tokens"))
+        "run_id", "session_id", (used(parts[0]) + used(parts[1]) + used(parts[2])).alias("input_tokens"),
+        used(parts[1]).alias(parts[1]), used(parts[2]).alias(parts[2]), used("output_tokens").alias("output_tokens"))
     calls = message_calls(events)
     counts = calls.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("command_count"),

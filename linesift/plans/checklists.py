@@ -103,7 +103,27 @@ def checklist_status_q(spark, sf_dir):
                     F.col("current_phase.pending_tasks").alias("current_phase_pending"))
 
 
-@register("checklist_json")
+@register("checklist_json", _SQL + """,
+_pc AS (SELECT doc_id, count(*) AS n, sum(total_tasks) AS tasks, string_agg(title, '|' ORDER BY phase_index) AS titles,
+               string_agg(CAST(line AS VARCHAR), '|' ORDER BY phase_index) AS lines FROM summary GROUP BY doc_id),
+_nt AS (SELECT doc_id, arg_min(title, line) AS t, min(line) AS l, arg_min(phase_index, line) AS pi
+        FROM tasks WHERE NOT done GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(_pc.n, 0) AS BIGINT) AS phase_count, _nt.doc_id IS NULL AS all_tasks_done, _nt.t AS next_title,
+       CAST(_nt.l AS BIGINT) AS next_line, s.title AS next_phase, CAST(s.pending_tasks AS BIGINT) AS pending_tasks,
+       CAST(coalesce(_pc.n, 0) AS BIGINT) AS n_phases, coalesce(_pc.titles, '') AS titles, coalesce(_pc.lines, '') AS lines,
+       CAST(coalesce(_pc.tasks, 0) AS BIGINT) AS total_tasks, 'doc/' || d.doc_id || '.md' AS path
+FROM documents d LEFT JOIN _pc ON _pc.doc_id = d.doc_id LEFT JOIN _nt ON _nt.doc_id = d.doc_id
+LEFT JOIN summary s ON s.doc_id = d.doc_id AND s.phase_index = _nt.pi""")
 def checklist_json_q(spark, sf_dir):
-    """K4: the status as one JSON object per document (rows-only check)."""
-    return checklist_json(checklist_status(checklist_docs(spark, sf_dir)))
+    """K4: the JSON objects, read back field by field."""
+    docs = checklist_docs(spark, sf_dir).withColumn("path", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    shape = """phase_count long, all_tasks_done boolean, next_task struct<title: string, line: long, phase: string>,
+               current_phase struct<pending_tasks: long>, phases array<struct<title: string, line: string, total_tasks: long>>, tasklist_path string"""
+    j = checklist_json(docs, path="path").select("doc_id", F.from_json("json", shape, {"mode": "FAILFAST"}).alias("j"))
+    return j.select(
+        "doc_id", "j.phase_count", "j.all_tasks_done", F.col("j.next_task.title").alias("next_title"),
+        F.col("j.next_task.line").alias("next_line"), F.col("j.next_task.phase").alias("next_phase"),
+        F.col("j.current_phase.pending_tasks").alias("pending_tasks"), F.size("j.phases").cast("long").alias("n_phases"),
+        F.array_join("j.phases.title", "|").alias("titles"), F.array_join("j.phases.line", "|").alias("lines"),
+        F.aggregate("j.phases.total_tasks", F.lit(0).cast("long"), lambda a, x: a + x).alias("total_tasks"),
+        F.col("j.tasklist_path").alias("path"))

@@ -18,7 +18,7 @@ from ..operators.usage import savings_by_command, savings_by_session
 from ..session import ensure_checkpoint_dir
 from ..sources.logs import (read_cases, read_documents, read_invocations, read_message_events, read_thread_events,
                             to_log_records, write_events, write_invocations)
-from ..sources.reports import aggregate_report_rows, trial_report_json, trial_report_rows
+from ..sources.reports import trial_report_json, trial_report_lines
 from . import checklists, trials
 from .catalog import ORACLE, register, rounded, sql_effective, sql_invocations, sql_savings_cols, with_ctes
 from .inputs import event_invocations, table
@@ -90,20 +90,59 @@ def checklist_files_roundtrip(spark, sf_dir):
                     F.col("current_phase.pending_tasks").alias("current_phase_pending"))
 
 
-@register("trial_report")
+@register("trial_report", with_ctes(trials._SQL_RUNS, trials._SQL_STATS) + """
+SELECT 'trial' AS kind, trial AS index, max(CASE WHEN trial % 2 = 0 THEN 'treatment-first' ELSE 'baseline-first' END) AS "order",
+       CAST(max(baseline) FILTER (WHERE metric = 'input_tokens') AS BIGINT) AS number,
+       round(max(delta_pct) FILTER (WHERE metric = 'output_tokens'), 4) AS pct,
+       (SELECT string_agg(variant || ':' || command_count || ':' || returncode, '|' ORDER BY variant) FROM runs r WHERE r.trial = deltas.trial) AS results
+FROM deltas GROUP BY trial
+UNION ALL
+SELECT 'report', NULL, NULL, (SELECT count(DISTINCT trial) FROM runs), round((SELECT mean_pct FROM stats WHERE metric = 'output_tokens'), 4), NULL""")
 def trial_report(spark, sf_dir):
-    """K2: per-trial and aggregate JSON documents (rows-only check)."""
-    d = X.with_order(X.trial_deltas(trials.trial_runs(spark, sf_dir)))
-    return trial_report_json(d, X.aggregate_deltas(d))
-
-
-@register("trial_report_rows")
+    """K2: the JSON documents with run facts, read back field by field."""
+    runs = trials.trial_runs(spark, sf_dir)
+    d = X.with_order(X.trial_deltas(runs))
+    j = trial_report_json(d, X.aggregate_deltas(d), runs)
+    shape = """`order` string, trial_count long, summary struct<metrics: map<string, struct<baseline: long, delta_pct: double>>>,
+               aggregate map<string, struct<mean_pct: double>>, results array<struct<name: string, command_count: string, returncode: string>>"""
+    j = j.select("kind", "index", F.from_json("json", shape, {"mode": "FAILFAST"}).alias("j"))
+    return rounded(j.select(
+        "kind", "index", F.col("j.order").alias("order"),
+        F.coalesce("j.trial_count", F.col("j.summary.metrics")["input_tokens"]["baseline"]).alias("number"),
+        F.coalesce(F.col("j.aggregate")["output_tokens"]["mean_pct"], F.col("j.summary.metrics")["output_tokens"]["delta_pct"]).alias("pct"),
+        F.when(F.col("j.results").isNotNull(), F.array_join(F.transform("j.results", lambda r: F.concat_ws(
+            ":", r["name"], r["command_count"], r["returncode"])), "|")).alias("results")))
+
+
+def _sql_pct(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'n/a' ELSE printf('%+.1f%%', {c}) END"
+
+
+_CELLS = " || ' | ' || ".join(
+    f"coalesce(CAST(max({side}) FILTER (WHERE metric = '{m}') AS VARCHAR), 'None')" if side != "delta_pct"
+    else _sql_pct(f"max(delta_pct) FILTER (WHERE metric = '{m}')")
+    for m, _ in X.METRICS for side in ("baseline", "treatment", "delta_pct"))
+
+
+@register("trial_report_rows", with_ctes(trials._SQL_RUNS, trials._SQL_STATS) + f"""
+SELECT 1 AS section, CAST(trial AS BIGINT) AS position,
+       '| ' || trial || ' | ' || CASE WHEN trial % 2 = 0 THEN 'treatment-first' ELSE 'baseline-first' END || ' | ' || {_CELLS} || ' |' AS line
+FROM deltas GROUP BY trial
+UNION ALL
+SELECT 2, CASE metric WHEN 'input_tokens' THEN 0 WHEN 'output_tokens' THEN 1 ELSE 2 END,
+       '| ' || label || ' | ' || {_sql_pct('mean_pct')} || ' | ' || {_sql_pct('median_pct')} || ' | '
+       || CASE WHEN stdev IS NULL THEN 'n/a' ELSE printf('%.1fpp', stdev) END || ' |' FROM stats
+UNION ALL SELECT 0, 2, '**Trials:** ' || count(DISTINCT trial) FROM deltas
+UNION ALL SELECT * FROM (VALUES
+  (0, 0, '# Trial Results'), (0, 1, ''), (0, 3, ''), (1, -4, '## Per-trial results'), (1, -3, ''),
+  (1, -2, '| Trial | Order | Input Tokens (baseline) | Input Tokens (treatment) | Delta | Output Tokens (baseline) | Output Tokens (treatment) | Delta | Commands (baseline) | Commands (treatment) | Delta |'),
+  (1, -1, '| ----- | ----- | ----------------------- | ------------------------ | ----- | ------------------------ | ------------------------- | ----- | ------------------- | -------------------- | ----- |'),
+  (2, -5, ''), (2, -4, '## Aggregate (treatment vs baseline delta)'), (2, -3, ''),
+  (2, -2, '| Metric | Mean | Median | Std Dev |'), (2, -1, '| ------ | ---- | ------ | ------- |'))""")
 def trial_report_rows_q(spark, sf_dir):
-    """K3: markdown table rows per trial and for the aggregate (rows-only check)."""
+    """K3: the report's lines in document order."""
     d = X.with_order(X.trial_deltas(trials.trial_runs(spark, sf_dir)))
-    rows = trial_report_rows(d).select(F.col("trial").cast("string").alias("key"), "row")
-    agg = aggregate_report_rows(X.aggregate_deltas(d)).select(F.col("metric").alias("key"), "row")
-    return rows.unionByName(agg)
+    return trial_report_lines(d, X.aggregate_deltas(d))
 
 
 # Log lines that a reader must survive, made from events: good records, a mistyped

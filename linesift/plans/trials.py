@@ -61,6 +61,14 @@ deltas AS (""" + "\n  UNION ALL\n".join(
   FROM paired""" for m, label in X.METRICS) + "\n)"
 
 
+_SQL_STATS = """
+stats AS (
+  SELECT metric, label, count(delta_pct) AS n, avg(delta_pct) AS mean_pct, median(delta_pct) AS median_pct,
+         CASE WHEN count(delta_pct) = 1 THEN 0.0::DOUBLE WHEN count(delta_pct) = 0 THEN NULL ELSE stddev_samp(delta_pct) END AS stdev
+  FROM deltas GROUP BY metric, label
+)"""
+
+
 @register("trial_deltas", with_ctes(_SQL_RUNS) + """
 SELECT trial, metric, label, baseline, treatment, round(delta_pct, 4) AS delta_pct,
        CASE WHEN trial % 2 = 0 THEN 'treatment-first' ELSE 'baseline-first' END AS "order"
@@ -92,9 +100,17 @@ def trial_outcomes(spark, sf_dir):
 
 # ------------------------------------------------------------- agent events
 
+def _commands(c):
+    """Assistant turns as commands: plain, through the wrapper, or in a login shell."""
+    kind = (F.col("conv_id") + F.col("turn")) % 4
+    cmd = F.when(kind == 1, F.concat(F.lit(f"{W} cat "), "text")) \
+        .when(kind == 2, F.concat(F.lit("/bin/zsh -lc '"), "text", F.lit("'"))).otherwise(F.col("text"))
+    return c.withColumn("text", F.when(F.col("role") == "assistant", cmd).otherwise(F.col("text")))
+
+
 def message_events(spark, sf_dir):
-    """Flavour B events (S5 shape) derived from conversations."""
-    c = table(spark, sf_dir, "conversations")
+    """Flavour B events (S5 shape) derived from conversations; every fifth result has no usage."""
+    c = _commands(table(spark, sf_dir, "conversations"))
     typ = F.when(F.col("role") == "system", "system").when(F.col("role") == "assistant", "assistant") \
         .otherwise("result")
     block = "struct<type:string,name:string,input:struct<command:string>>"
@@ -112,12 +128,12 @@ def message_events(spark, sf_dir):
                            F.concat_ws("-", F.lit("sess"), F.col("conv_id").cast("string"),
                                        F.col("turn").cast("string"))).alias("session_id"),
                     F.when(F.col("role") == "assistant", F.struct(content.alias("content"))).alias("message"),
-                    F.when(typ == "result", usage).alias("usage"))
+                    F.when((typ == "result") & (F.col("turn") % 5 != 0), usage).alias("usage"))
 
 
 def thread_events(spark, sf_dir):
     """Flavour A events (S4 shape) derived from conversations."""
-    c = table(spark, sf_dir, "conversations")
+    c = _commands(table(spark, sf_dir, "conversations"))
     typ = F.when(F.col("role") == "system", "thread.started").when(F.col("role") == "assistant", "item.completed") \
         .otherwise("turn.completed")
     return c.select(
@@ -142,18 +158,25 @@ def _sql_program(c: str) -> str:
       ELSE regexp_extract({c}, '^\\s*(\\S+)', 1) END)"""
 
 
-_SQL_CONV = """
-ev AS (SELECT conv_id AS run_id, turn AS line_no, role, text FROM conversations)"""
+_SQL_CONV = f"""
+ev AS (SELECT conv_id AS run_id, turn AS line_no, role,
+              CASE WHEN role <> 'assistant' THEN text WHEN (conv_id + turn) % 4 = 1 THEN '{W} cat ' || text
+                   WHEN (conv_id + turn) % 4 = 2 THEN '/bin/zsh -lc ' || chr(39) || text || chr(39) ELSE text END AS text
+       FROM conversations)"""
 
 
 @register("message_run_facts", with_ctes(_SQL_CONV) + f"""
 SELECT run_id,
   arg_max('sess-' || CAST(run_id AS VARCHAR) || '-' || CAST(line_no AS VARCHAR), line_no)
     FILTER (WHERE role = 'system') AS session_id,
-  arg_max(CAST(length(text) AS BIGINT) + line_no * 100 + 7, line_no) FILTER (WHERE role NOT IN ('system', 'assistant'))
-    AS input_tokens,
-  arg_max(CAST(len(string_split(text, ' ')) AS BIGINT), line_no) FILTER (WHERE role NOT IN ('system', 'assistant'))
-    AS output_tokens,
+  arg_max(CASE WHEN line_no % 5 <> 0 THEN CAST(length(text) AS BIGINT) + line_no * 100 + 7 ELSE 0 END, line_no)
+    FILTER (WHERE role NOT IN ('system', 'assistant')) AS input_tokens,
+  arg_max(CASE WHEN line_no % 5 <> 0 THEN CAST(line_no * 100 AS BIGINT) ELSE 0 END, line_no)
+    FILTER (WHERE role NOT IN ('system', 'assistant')) AS cache_read_input_tokens,
+  arg_max(CAST(CASE WHEN line_no % 5 <> 0 THEN 7 ELSE 0 END AS BIGINT), line_no)
+    FILTER (WHERE role NOT IN ('system', 'assistant')) AS cache_creation_input_tokens,
+  arg_max(CASE WHEN line_no % 5 <> 0 THEN CAST(len(string_split(text, ' ')) AS BIGINT) ELSE 0 END, line_no)
+    FILTER (WHERE role NOT IN ('system', 'assistant')) AS output_tokens,
   CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS command_count,
   CAST(count(*) FILTER (WHERE role = 'assistant' AND (
       list_contains(regexp_split_to_array(regexp_replace(text, '^[ \\t\\n\\r\\x0b\\f]+|[ \\t\\n\\r\\x0b\\f]+$', '', 'g'), '\\s+'), '{W}')

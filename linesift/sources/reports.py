@@ -17,25 +17,59 @@ def format_pct(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string("%+.1f%%", c))
 
 
-def trial_report_json(deltas: DataFrame, aggregate: DataFrame) -> DataFrame:
-    """K2: one JSON document per trial (``kind='trial'``) and one for the
-    aggregate (``kind='aggregate'``)."""
+def trial_report_json(deltas: DataFrame, aggregate: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """K2 as JSON lines: one document per trial (``kind='trial'``: index, order,
+    summary and, with ``runs``, the facts of its runs) and one for the whole report
+    (``kind='report'``: trial count and aggregate).  A trial has as many metrics
+    and runs as there are metrics and variants."""
     metric = F.struct("label", "baseline", "treatment", "delta_pct")
-    per_trial = (deltas.groupBy("trial", "order")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("metric", metric))).alias("metrics"))
-                 .select(F.lit("trial").alias("kind"), F.col("trial").alias("index"),
-                         F.to_json(F.struct(F.col("trial").alias("index"), "order", "metrics")).alias("json")))
-    agg = (aggregate.groupBy()
-           .agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(
-               "label", "count", "mean_pct", "median_pct", "stdev_pct_points")))).alias("aggregate"))
-           .select(F.lit("aggregate").alias("kind"), F.lit(None).cast("int").alias("index"),
-                   F.to_json(F.struct("aggregate")).alias("json")))
+    per_trial = deltas.groupBy("trial", "order").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", metric))).alias("metrics"))
+    fields = [F.col("trial").alias("index"), F.col("order"), F.struct("metrics").alias("summary")]
+    if runs is not None:
+        facts = F.struct(F.col("variant").alias("name"), *[c for c in runs.columns if c not in ("trial", "variant")])
+        per_trial = per_trial.join(runs.groupBy("trial").agg(F.array_sort(F.collect_list(facts)).alias("results")), "trial", "left")
+        fields.append(F.col("results"))
+    as_json = {"ignoreNullFields": "false"}
+    per_trial = per_trial.select(F.lit("trial").alias("kind"), F.col("trial").alias("index"),
+                                 F.to_json(F.struct(*fields), as_json).alias("json"))
+    agg = aggregate.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct(
+        "label", "count", "mean_pct", "median_pct", "stdev_pct_points")))).alias("aggregate"))
+    count = deltas.agg(F.countDistinct("trial").alias("trial_count"))
+    agg = agg.join(count, F.lit(True)).select(              # one row each
+        F.lit("report").alias("kind"), F.lit(None).cast("int").alias("index"),
+        F.to_json(F.struct("trial_count", "aggregate"), as_json).alias("json"))
     return per_trial.unionByName(agg)
 
 
-def write_trial_report(deltas: DataFrame, aggregate: DataFrame, path: str) -> None:
+def write_trial_report(deltas: DataFrame, aggregate: DataFrame, path: str, runs: DataFrame | None = None) -> None:
     """K2 to a folder of JSON lines."""
-    trial_report_json(deltas, aggregate).select("json").write.mode("overwrite").text(path)
+    trial_report_json(deltas, aggregate, runs).select("json").write.mode("overwrite").text(path)
+
+
+# Fixed wording of the report's tables.
+TRIAL_HEAD = "| Trial | Order |" + "".join(f" {m} (baseline) | {m} (treatment) | Delta |" for m in ("Input Tokens", "Output Tokens", "Commands"))
+AGGREGATE_HEAD = "| Metric | Mean | Median | Std Dev |"
+
+
+def _rule(head: str) -> str:
+    return "|" + "|".join(" " + "-" * len(cell.strip()) + " " for cell in head.strip("|").split("|")) + "|"
+
+
+def trial_report_lines(deltas: DataFrame, aggregate: DataFrame, title: str = "Trial Results") -> DataFrame:
+    """K3, the whole document: (section, position, line) in document order:
+    heading and trial count, a row per trial, a row per metric."""
+    spark = deltas.sparkSession
+    fixed = spark.createDataFrame([
+        (0, 0, f"# {title}"), (0, 1, ""), (0, 3, ""), (1, -4, "## Per-trial results"), (1, -3, ""), (1, -2, TRIAL_HEAD), (1, -1, _rule(TRIAL_HEAD)),
+        (2, -5, ""), (2, -4, "## Aggregate (treatment vs baseline delta)"), (2, -3, ""), (2, -2, AGGREGATE_HEAD), (2, -1, _rule(AGGREGATE_HEAD))],
+        "section int, position long, line string")
+    count = deltas.agg(F.countDistinct("trial").alias("n")).select(
+        F.lit(0).alias("section"), F.lit(2).cast("long").alias("position"), F.concat(F.lit("**Trials:** "), F.col("n").cast("string")).alias("line"))
+    trials = trial_report_rows(deltas).select(F.lit(1).alias("section"), F.col("trial").cast("long").alias("position"), F.col("row").alias("line"))
+    order = F.coalesce(*[F.when(F.col("metric") == m, F.lit(i)) for i, (m, _) in enumerate(METRICS)])
+    metrics = aggregate_report_rows(aggregate).select(F.lit(2).alias("section"), order.cast("long").alias("position"), F.col("row").alias("line"))
+    return fixed.unionByName(count).unionByName(trials).unionByName(metrics)
 
 
 def trial_report_rows(deltas: DataFrame) -> DataFrame:

@@ -150,4 +150,4 @@ def test_report_sinks(spark):
     trial_docs = sorted(r.json for r in docs if r.kind == "trial")
     assert len(trial_docs) == 2 and '"order":"baseline-first"' in trial_docs[0]
     assert '"order":"treatment-first"' in trial_docs[1]
-    assert ['"aggregate"' in r.json for r in docs if r.kind == "aggregate"] == [True]
+    assert ['"aggregate"' in r.json and '"trial_count":2' in r.json for r in docs if r.kind == "report"] == [True]
