@@ -111,30 +111,45 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
 
 
 def outputs_to_lines(outputs: DataFrame, key: str = "output_id") -> DataFrame:
-    """T0 on blob outputs: lines carrying command, args, full and the E2 binary flag."""
-    from .lines import to_lines
-    cols = {"binary": binary_flag(outputs)}
+    """T0 on blob outputs: lines carrying command, args, full, the E2 binary flag
+    and whether the output came as bytes (``binary_source``)."""
+    from .lines import is_binary_column, to_lines
+    cols = {"binary": binary_flag(outputs), "binary_source": F.lit(is_binary_column(outputs))}
     if "full" not in outputs.columns:
         cols["full"] = F.lit(False)
     o = outputs.withColumns(cols)
-    keep = tuple(c for c in ("command", "args", "full", "binary") if c in o.columns)
+    keep = tuple(c for c in ("command", "args", "full", "binary", "binary_source") if c in o.columns)
     return to_lines(o, key=key, keep=keep)
 
 
-def line_metrics(lines: DataFrame, compacted: DataFrame) -> DataFrame:
+def line_metrics(lines: DataFrame, compacted: DataFrame, outputs: DataFrame | None = None, key: str = "output_id") -> DataFrame:
     """T16 from a line table: the invocation facts per output (lines and bytes
-    in and out, ``compressed_lines`` NULL when unchanged, ``full``)."""
-    meta = [F.first("command", ignorenulls=True).alias("command")] if "command" in lines.columns else []
-    if "full" in lines.columns:
+    in and out, ``compressed_lines`` NULL when unchanged, ``full``).
+
+    A line table has no rows of an empty or missing output; with ``outputs`` each
+    of them is a row, as the log has every call.  Lines of an output that came as
+    bytes hold one character per byte."""
+    cols = set(lines.columns)
+    source = F.max(F.coalesce("binary_source", F.lit(False))) if "binary_source" in cols else F.lit(False)
+    meta = [F.first("command", ignorenulls=True).alias("command")] if "command" in cols else []
+    if "full" in cols:
         meta.append(F.max(F.coalesce("full", F.lit(False))).alias("full"))
+    sizes = [F.sum(F.octet_length("line")).cast("long").alias("_bytes"), F.sum(F.length("line")).cast("long").alias("_chars")]
     raw = lines.groupBy("output_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.count_if(F.col("line").endswith("\n")).alias("stdout_lines"),
-        F.sum(F.octet_length("line")).cast("long").alias("stdout_bytes"), *meta)
-    out = compacted.groupBy("output_id").agg(F.count(F.lit(1)).alias("lines_out"),
-                                             F.sum(F.octet_length("line")).cast("long").alias("bytes_out"))
-    d = raw.join(out, "output_id", "left").withColumns({
-        "lines_out": F.coalesce("lines_out", F.lit(0).cast("long")),
-        "bytes_out": F.coalesce("bytes_out", F.lit(0).cast("long"))})
+        *sizes, source.alias("_source"), *meta)
+    raw = raw.withColumn("stdout_bytes", F.when(F.col("_source"), F.col("_chars")).otherwise(F.col("_bytes"))).drop("_bytes", "_chars")
+    if outputs is not None:
+        given = [F.col(key).alias("output_id"), *[F.col(c) for c in ("command", "full") if c in outputs.columns]]
+        known = [c for c in ("command", "full") if c in outputs.columns]
+        raw = outputs.select(*given).join(raw.drop(*known).withColumnRenamed("output_id", "_oid"), F.col("output_id").eqNullSafe(F.col("_oid")), "left") \
+            .drop("_oid").fillna(0, ["line_count", "stdout_lines", "stdout_bytes"])
+    out = compacted.groupBy(F.col("output_id").alias("_oid")).agg(F.count(F.lit(1)).alias("lines_out"), *sizes)
+    zero = F.lit(0).cast("long")
+    d = raw.join(out, F.col("output_id").eqNullSafe(F.col("_oid")), "left").withColumns({
+        "lines_out": F.coalesce("lines_out", zero),
+        "bytes_out": F.coalesce(F.when(F.col("_source"), F.col("_chars")).otherwise(F.col("_bytes")), zero)})
+    d = d.drop("_oid", "_source", "_bytes", "_chars")
     full = F.coalesce(F.col("full"), F.lit(False)) if "full" in d.columns else F.lit(False)
     return d.withColumns({
         "compressed_lines": F.when(~full & (F.col("lines_out") != F.col("line_count")), F.col("lines_out")),

@@ -10,16 +10,26 @@ terminator kept, as D2.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.text import _SPLIT_BYTES_LINES, _SPLIT_STR_LINES, other_terminators, probably_binary
 
 
+def is_binary_column(outputs: DataFrame, col: str = "stdout") -> bool:
+    return isinstance(outputs.schema[col].dataType, BinaryType)
+
+
+def line_bytes(line: Column, binary_source: bool) -> Column:
+    """A compacted line as the bytes to write: one byte per character where the
+    output came as bytes, UTF-8 otherwise."""
+    return F.encode(line, "ISO-8859-1" if binary_source else "UTF-8")
+
+
 def text_column(outputs: DataFrame, col: str = "stdout"):
     """stdout as a STRING column (byte-per-char for BINARY input)."""
-    if isinstance(outputs.schema[col].dataType, BinaryType):
+    if is_binary_column(outputs, col):
         return F.decode(F.col(col), "ISO-8859-1")
     return F.col(col)
 
@@ -27,7 +37,7 @@ def text_column(outputs: DataFrame, col: str = "stdout"):
 def binary_flag(outputs: DataFrame, col: str = "stdout"):
     """E2 on either STRING (UTF-8 bytes) or BINARY stdout."""
     c = F.col(col)
-    if not isinstance(outputs.schema[col].dataType, BinaryType):
+    if not is_binary_column(outputs, col):
         c = F.encode(c, "UTF-8")
     return probably_binary(c)
 

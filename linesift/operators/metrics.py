@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import HEADER_MIN_LINES_SAVED, header_shown, newline_count, token_estimate
-from .lines import text_column
+from .lines import is_binary_column, text_column
 
 METRIC_COLS = ["output_id", "command", "line_count", "stdout_lines", "stdout_bytes", "estimated_tokens",
                "lines_out", "bytes_out", "compressed_lines", "header_shown"]
@@ -20,8 +20,7 @@ def output_facts(outputs: DataFrame, key: str = "output_id") -> DataFrame:
             .otherwise(F.size(F.split(text, "\\r\\n|\\r|\\n", -1))).alias("_pieces"),
             (F.substring(text, -1, 1).rlike("^[\\r\\n]$") | (F.length(text) == 0)).alias("_ends_eol"),
             newline_count(text).cast("long").alias("stdout_lines"),
-            (F.length(text) if outputs.schema["stdout"].dataType.typeName() == "binary"
-             else F.octet_length(text)).cast("long").alias("stdout_bytes")]
+            F.octet_length("stdout").cast("long").alias("stdout_bytes")]
     for extra in ("args", "full", "session_id", "ts"):
         if extra in outputs.columns:
             cols.append(F.col(extra))
@@ -38,7 +37,8 @@ def compaction_metrics(outputs: DataFrame, compacted: DataFrame, key: str = "out
     not change, as the log writes it."""
     facts = output_facts(outputs, key)
     out = (compacted.groupBy(F.col(key).alias("output_id"))
-           .agg(F.count(F.lit(1)).alias("lines_out"), F.sum(F.octet_length("line")).cast("long").alias("bytes_out")))
+           .agg(F.count(F.lit(1)).alias("lines_out"), F.sum(F.length("line") if is_binary_column(outputs) else F.octet_length("line"))
+                .cast("long").alias("bytes_out")))
     d = facts.join(out, "output_id", "left")
     d = d.withColumns({
         "lines_out": F.coalesce(F.col("lines_out"), F.lit(0).cast("long")),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lines import to_lines
 from ..operators.metrics import compaction_metrics
-from ..operators.runs import collapse_runs
+from ..operators.runs import collapse_runs, truncate_tail
 from ..operators.usage import savings_by_command
 from .catalog import (register, rounded, sql_collapse, sql_effective, sql_lines, sql_savings_cols,
                       with_ctes)
@@ -34,6 +34,13 @@ def generic_compaction(spark, sf_dir):
     return _doc_compacted(spark, sf_dir, 200)[1]
 
 
+@register("generic_compaction_short", with_ctes(_DOC_LINES, sql_collapse(20)) + """
+SELECT output_id, seq, kind, src_line_no, line, n_omitted FROM compacted""")
+def generic_compaction_short(spark, sf_dir):
+    """T1, then T2 on its own (``truncate_tail``) at 20 rows, which long documents pass."""
+    return truncate_tail(_doc_compacted(spark, sf_dir, None)[1], limit=20)
+
+
 _SAVINGS_BY_SOURCE_SQL = with_ctes(_DOC_LINES, sql_collapse(200), """
 _out AS (SELECT output_id, count(*) AS lines_out FROM compacted GROUP BY output_id),
 _cnt AS (SELECT output_id, count(*) AS line_count FROM lines GROUP BY output_id),

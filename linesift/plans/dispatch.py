@@ -134,3 +134,17 @@ def compact_all(spark, sf_dir):
     facts = line_metrics(lines, compacted)
     return rounded(savings_by_command(facts.select("command", "stdout_lines", "stdout_bytes", "compressed_lines",
                                                    "full", F.lit(None).cast("string").alias("session_id"))))
+
+
+@register("binary_output_bytes", """
+SELECT page_id AS output_id, n AS stdout_bytes, n AS bytes_out, page_id % 2 = 0 AS "full"
+FROM (SELECT page_id, CAST(CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 0 ELSE strlen(html) END AS BIGINT) AS n FROM pages)""")
+def binary_output_bytes(spark, sf_dir):
+    """T0 + T16 on outputs that come as bytes, some empty and some missing:
+    every call has its facts, and unchanged outputs their exact bytes."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("output_id"), F.lit("curl").alias("command"), (F.col("page_id") % 2 == 0).alias("full"),
+        F.when(F.col("page_id") % 7 == 0, F.lit(b"")).when(F.col("page_id") % 11 != 0, F.encode("html", "UTF-8")).alias("stdout"))
+    lines = outputs_to_lines(pages)
+    compacted = lines.select("output_id", "line")               # what a bypass gives
+    return line_metrics(lines, compacted, pages).select("output_id", "stdout_bytes", "bytes_out", "full")
