@@ -71,6 +71,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _head_bin(bins: list[tuple[int, int]], head: int) -> int:
+    """Least bin of counts (1/16 of a power of two wide) so that the words in it and
+    above are at most ``head``: only the head itself is then sent to the driver."""
+    total, cut = 0, max((b for b, _ in bins), default=0) + 1
+    for b, n in sorted(bins, reverse=True):
+        total += n
+        if total > head:
+            break
+        cut = b
+    return cut
+
+
 def _encode(head: list[str]):
     """Rows: the class sequence, and the words outside the head with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +289,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts = d.where("NOT held").select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = scratch.keep(counts, "counts")
     all_tokens, vocabulary = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()               # at most ``head`` rows
-    words, c = [r["word"] for r in top], np.array([r["c"] for r in top], np.float64)
+    counts = counts.withColumn("bin", F.floor(16 * F.log2("c")).cast("int"))
+    cut = _head_bin([(r["bin"], r["n"]) for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()], head)
+    top = sorted(((r["c"], r["word"]) for r in counts.where(F.col("bin") >= cut).collect()), key=lambda r: (-r[0], r[1]))
+    words, c = [w for _, w in top], np.array([n for n, _ in top], np.float64)      # at most ``head`` of them
     tail_tokens, tail_words = all_tokens - int(c.sum()), vocabulary - len(words)
     kind = docs.schema[id_col].dataType.simpleString()
     seqs = scratch.keep(d.mapInArrow(
@@ -295,10 +309,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         _score(model, base, known), f"row long, id {kind}, held boolean, n_tokens long, hmm double, base double, known long")
 
     # words outside the head: their factors by a join with the corpus counts
-    rest = counts
-    if top:
-        c_last, w_last = F.lit(top[-1]["c"]), F.lit(top[-1]["word"])
-        rest = counts.where((F.col("c") < c_last) | ((F.col("c") == c_last) & (F.col("word") > w_last)))
+    rest = counts.where(F.col("bin") < cut).select("word", "c")
     rare = seqs.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")) \
         .select("row", F.col("z.words").alias("word"), F.col("z.times").alias("k"))
     n = F.coalesce("c", F.lit(0))
