@@ -12,7 +12,8 @@ threshold.  The result is exact up to hash collisions.
    out of prefixes), then goes by hash.
 2. Blocks.  Sets that share a prefix shingle hang on the smallest set of that
    shingle; the connected components of these stars are blocks.  Sets that share
-   nothing, most of a corpus, end here.
+   nothing, most of a corpus, end here.  Blocks beyond a task's bound are cut again
+   by an order made from a sample of their own sets.
 3. Trees.  Blocks are dealt to tasks of bounded size; a block beyond the bound is
    cut by set size into chunks, the upper nodes of its tree; when the chunks are
    compared in themselves and with the block's least set, only sets that are not
@@ -46,9 +47,10 @@ from .common import Scratch, binary, fresh
 from .components import components
 
 WORDS = 5
-SAMPLE_DOCS = 5000          # documents (about) that tell common shingles from rare ones
-COMMON_IN = 4               # sample documents that make a shingle common
-MOST_COMMON = 100_000       # common shingles kept: 800 kB for each task
+SAMPLE_DOCS = 15_000        # documents (about) that tell common shingles from rare ones
+COMMON_IN = 3               # sample documents that make a shingle common
+MOST_COMMON = 400_000       # common shingles kept: 3.2 MB for each task
+REFINE = 2                  # rounds in which blocks beyond the bound are cut again
 TASK_SHINGLES = 1_500_000   # shingles (about) of a chunk, and of the small blocks in a task
 CACHE_WORDS = 500_000
 
@@ -107,14 +109,9 @@ def _sets(common: np.ndarray, words: int, percent: int):
                 size, key, prefix = [], [], []
                 for text in batch.column("text").to_pylist():
                     s = shingles(text, words)
-                    n = len(s)
-                    size.append(n)
-                    key.append(_fingerprint(s) if n else None)
-                    if len(common) and n:
-                        where = np.searchsorted(common, s)
-                        known = common[np.minimum(where, len(common) - 1)] == s
-                        s = np.concatenate([s[~known], s[known]])
-                    prefix.append(s[:n - _need(n, percent) + 1].view(np.int64) if n else s.view(np.int64))
+                    size.append(len(s))
+                    key.append(_fingerprint(s) if len(s) else None)
+                    prefix.append(_prefix(s, common, percent))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("h"), pa.array(size, pa.int64()), pa.array(key, pa.int64()),
                      pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32),
@@ -131,16 +128,52 @@ def _all_shingles(words: int):
     return run
 
 
-def common_shingles(docs: DataFrame, n_docs: int, words: int) -> np.ndarray:
-    """Sorted shingles that recur in a sample of about SAMPLE_DOCS documents."""
-    share = max(1, n_docs // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.col("h"), F.lit(share)) == 0)
-    found = sample.select("text").mapInArrow(_all_shingles(words), "token long") \
-        .groupBy("token").count().where(F.col("count") >= COMMON_IN) \
-        .orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()
+def common_shingles(texts: DataFrame, hash_col: str, n: int, words: int) -> np.ndarray:
+    """Sorted shingles that recur in a sample of about SAMPLE_DOCS of the ``n`` texts."""
+    share = max(1, n // SAMPLE_DOCS)
+    sample = texts.where(F.pmod(F.col(hash_col), F.lit(share)) == 0)
+    counts = sample.select("text").mapInArrow(_all_shingles(words), "token long").groupBy("token").count() \
+        .where(F.col("count") >= COMMON_IN)
+    found = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()
     return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
 
 
+def _prefixes(common: np.ndarray, words: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                prefix = [_prefix(shingles(t, words), common, percent) for t in batch.column("text").to_pylist()]
+                rows = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)), batch.column("s").take(pa.array(rows))],
+                    names=["token", "s"])
+    return run
+
+
+def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The set's prefix: common shingles stand last, others in hash order."""
+    n = len(s)
+    if len(common) and n:
+        where = np.searchsorted(common, s)
+        known = common[np.minimum(where, len(common) - 1)] == s
+        s = np.concatenate([s[~known], s[known]])
+    return (s[:n - _need(n, percent) + 1] if n else s).view(np.int64)
+
+
+def _blocks(posting: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(s, block): the components of sets that share a prefix shingle; sets that
+    share none are left out."""
+    shared = scratch.keep(posting.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+                          .where("lo < hi").select("token", "lo"), f"{name}-shared")
+    stars = posting.join(shared, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b"))
+    found = components(stars, scratch, name)
+    scratch.drop(f"{name}-shared")
+    scratch.free_shuffles()
+    return found.select(F.col("node").alias("s"), F.col("root").alias("block")) \
+        .unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("block")).distinct())
+
+
 class SignatureTree:
     """Sets as leaves under nodes with OR bitmaps, size ranges and excess."""
 
@@ -337,6 +370,26 @@ def _block_links(d: DataFrame, members: DataFrame, scratch: Scratch, words: int,
     return edges.unionByName(compare(again, "root", "links-2"))
 
 
+def _refine(d: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int, name: str) -> DataFrame:
+    """Cut blocks beyond the bound again, by prefixes under an order that puts last
+    what is common inside those blocks: shared passages that chain sets which are
+    not alike.  Sets that then share no prefix shingle with any other are done."""
+    big = scratch.keep(members.groupBy("block").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("c"))
+                       .where(F.col("m") > TASK_SHINGLES), f"{name}-big")
+    n = big.agg(F.sum("c")).first()[0] or 0
+    if not n:
+        return members
+    inside = members.join(big.select("block"), "block", "left_semi").select("s", F.col("id").alias("mid"), F.col("h").alias("mh"))
+    texts = scratch.keep(d.join(inside, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh"))).select("s", "text"), f"{name}-texts")
+    scratch.free_shuffles()
+    common = common_shingles(texts, "s", n, words)
+    again = _blocks(texts.mapInArrow(_prefixes(common, words, percent), "token long, s long"), scratch, name)
+    scratch.drop(f"{name}-texts")
+    cut = members.drop("block").join(again, "s")
+    small = members.join(big.select("block"), "block", "left_anti")
+    return scratch.keep(small.unionByName(cut.select(*small.columns)), f"{name}-members")
+
+
 def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  percent: int = 80, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows are (id, h, n, s) with h the text's hash and s the
@@ -346,25 +399,18 @@ def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch = scratch or Scratch(spark, "jaccard")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), binary(text_col).alias("text"))
     n_docs = docs.select(F.lit(1)).count()
-    common = common_shingles(d, n_docs, words)
+    common = common_shingles(d, "h", n_docs, words)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.keep(d.mapInArrow(_sets(common, words, percent), f"id {kind}, h long, n long, s long, prefix array<long>"), "sets")
     known = rows.where("s IS NOT NULL")
-
-    posting = known.select(F.explode("prefix").alias("token"), "s")
-    shared = scratch.keep(posting.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-                          .where("lo < hi").select("token", "lo"), "shared")
-    stars = posting.join(shared, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b"))
-    blocks = components(stars, scratch, "blocks")
+    blocks = _blocks(known.select(F.explode("prefix").alias("token"), "s"), scratch, "blocks")
 
     # one row of each set: its least (id, h); and the sets of blocks
     one = scratch.keep(known.groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("id", "h")).alias("first"))
                        .select("s", "n", "first.id", "first.h"), "one")
-    inside = blocks.select(F.col("node").alias("s"), F.col("root").alias("block")) \
-        .unionByName(blocks.select(F.col("root").alias("s"), F.col("root").alias("block")).distinct())
-    members = scratch.keep(one.join(inside, "s"), "members")
-    scratch.drop("shared")
-    scratch.free_shuffles()
+    members = scratch.keep(one.join(blocks, "s"), "members")
+    for k in range(REFINE):
+        members = _refine(d, members, scratch, words, percent, f"refine-{k}")
     found = components(_block_links(d, members, scratch, words, percent), scratch, "links")
 
     classes = one.join(found.select(F.col("node").alias("s"), "root"), "s", "left") \

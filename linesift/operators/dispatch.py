@@ -59,8 +59,16 @@ def _unchanged(lines: DataFrame) -> DataFrame:
                         F.lit(0).cast("long").alias("n_omitted"))
 
 
-def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """Compacted rows (D3) for every output of ``lines``."""
+def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
+            options: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+    """Compacted rows (D3) for every output of ``lines``.
+
+    ``options`` are keyword arguments by strategy: ``generic``, ``search``,
+    ``listing``, ``diff``, ``log``, ``outline`` and ``view`` take those of their
+    operator, ``file`` takes ``outline_threshold``.
+    """
+    o = {k: dict(v) for k, v in (options or {}).items()}
+    threshold = o.get("file", {}).get("outline_threshold", OUTLINE_THRESHOLD)
     cols = set(lines.columns)
     d = lines
     if "command" not in cols:
@@ -79,15 +87,15 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
         return d.where(F.col("_strategy") == name)
 
     out = [_unchanged(part("bypass").select(*base)),
-           collapse_runs(part("generic").select(*base)),
-           compact_search_hits(part("search").select(*base)),
-           compact_listing(part("listing").select(*base))]
+           collapse_runs(part("generic").select(*base), **o.get("generic", {})),
+           compact_search_hits(part("search").select(*base), **o.get("search", {})),
+           compact_listing(part("listing").select(*base), **o.get("listing", {}))]
 
     vcs = part("vcs").select(*base)
     shape = classify_vcs(vcs)
     vcs = vcs.join(shape, "output_id")
-    out += [compact_diff(vcs.where(F.col("shape") == "diff").select(*base)),
-            cap_log_entries(vcs.where(F.col("shape") == "log").select(*base)),
+    out += [compact_diff(vcs.where(F.col("shape") == "diff").select(*base), **o.get("diff", {})),
+            cap_log_entries(vcs.where(F.col("shape") == "log").select(*base), **o.get("log", {})),
             _unchanged(vcs.where(F.col("shape") == "other").select(*base))]
 
     files = part("file")
@@ -96,10 +104,10 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
     has_arg = F.size(F.coalesce("_args", F.array().cast("array<string>"))) > 0
     meta = meta.select("output_id", F.when(has_arg, F.element_at("_args", -1)).alias("filename"),
                        F.when(has_arg, F.col("_n")).alias("total_lines"))
-    big = F.coalesce(F.col("filename").endswith(".py") & (F.col("total_lines") > OUTLINE_THRESHOLD), F.lit(False))
+    big = F.coalesce(F.col("filename").endswith(".py") & (F.col("total_lines") > threshold), F.lit(False))
     fl = files.select(*base).join(meta.select("output_id", big.alias("_big")), "output_id")
-    out += [outline(fl.where("_big").select(*base), meta.where(big)),
-            document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big))]
+    out += [outline(fl.where("_big").select(*base), meta.where(big), **o.get("outline", {})),
+            document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big), **o.get("view", {}))]
 
     for cmd, fn in sorted((strategies or {}).items()):
         out.append(fn(part("x:" + cmd).select(*base)).select(*D3))

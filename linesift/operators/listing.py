@@ -109,10 +109,12 @@ def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, pe
     # the rank filter right above the window is planned as a WindowGroupLimit
     ranked = unique.withColumn("_r", F.row_number().over(Window.partitionBy("output_id").orderBy("first_line")))
     ranked = ranked.where(F.col("_r") <= max_entries)
-    uniq_rows = ranked.join(facts.where(F.col("mode").isin("unique", "head")).select("output_id"), "output_id").select(
+    # the last row of a cut list counts what it leaves out (no note is written)
+    left_out = F.when((F.col("mode") == "head") & (F.col("_r") == max_entries), F.col("n_unique") - max_entries).otherwise(0)
+    uniq_rows = ranked.join(facts.where(F.col("mode").isin("unique", "head")).select("output_id", "mode", "n_unique"), "output_id").select(
         "output_id", (F.col("_r") - 1).cast("long").alias("seq"), F.lit("line").alias("kind"),
         F.col("first_line").alias("src_line_no"), F.concat(F.col("entry"), F.lit("\n")).alias("line"),
-        F.lit(0).cast("long").alias("n_omitted"))
+        left_out.cast("long").alias("n_omitted"))
 
     gf = facts.where(F.col("mode") == "grouped")
     header = gf.select("output_id", F.lit(0).cast("long").alias("seq"), F.lit("note").alias("kind"),

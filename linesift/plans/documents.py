@@ -120,7 +120,7 @@ cfiles AS (
 )"""
 
 
-def _sql_view(src: str, files: str) -> str:
+def _sql_view(src: str, files: str, limit: int = 100) -> str:
     return f"""
 _vk AS (
   SELECT l.output_id, l.line_no, l.line, f.filename, f.total_lines,
@@ -132,13 +132,13 @@ _vk AS (
 ),
 viewout AS (
   SELECT output_id, CAST(k - 1 AS BIGINT) AS seq, 'line' AS kind, line_no AS src_line_no, line, CAST(0 AS BIGINT) AS n_omitted
-  FROM _vk WHERE k <= 100
+  FROM _vk WHERE k <= {limit}
   UNION ALL
-  SELECT output_id, CAST(least(nk, 100) AS BIGINT), 'note', CAST(NULL AS INTEGER),
+  SELECT output_id, CAST(least(nk, {limit}) AS BIGINT), 'note', CAST(NULL AS INTEGER),
          chr(10) || '# linesift: ' || filename || ' has ' || CAST(total_lines AS VARCHAR) || ' lines total — for more: tail -n +'
-         || CAST(least(nk, 100) + 1 AS VARCHAR) || ' ' || filename || ' | head -100' || chr(10),
-         CAST(total_lines - least(nk, 100) AS BIGINT)
-  FROM _vk WHERE k = 1 AND total_lines > 0 AND least(nk, 100) >= 100 AND total_lines > 100
+         || CAST(least(nk, {limit}) + 1 AS VARCHAR) || ' ' || filename || ' | head -{limit}' || chr(10),
+         CAST(total_lines - least(nk, {limit}) AS BIGINT)
+  FROM _vk WHERE k = 1 AND total_lines > 0 AND least(nk, {limit}) >= {limit} AND total_lines > {limit}
 )"""
 
 
@@ -275,6 +275,14 @@ def document_view_q(spark, sf_dir):
     return document_view(sl, sf).unionByName(outline(bl, bf))
 
 
+@register("document_view_short", with_ctes(_DL, _VIEW, _sql_view("vlines", "vfiles", 10)) + """
+SELECT * FROM viewout""")
+def document_view_short(spark, sf_dir):
+    """T12 at 10 lines, which many documents pass."""
+    lines, files = view_files(spark, sf_dir)
+    return document_view(lines, files, limit=10)
+
+
 @register("document_resume_points", with_ctes(_DL, _VIEW, _sql_view("vlines", "vfiles")) + """
 SELECT output_id, CAST(max(src_line_no) + 2 AS BIGINT) AS resume_line_no FROM viewout
 WHERE kind = 'line' AND output_id IN (SELECT output_id FROM viewout WHERE kind = 'note')

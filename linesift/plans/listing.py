@@ -122,7 +122,8 @@ listing_out AS (
          CAST(0 AS BIGINT) AS n_omitted
   FROM _parsed p JOIN mode m ON m.output_id = p.output_id WHERE m.mode = 'verbatim'
   UNION ALL
-  SELECT u.output_id, CAST(u.r - 1 AS BIGINT), 'line', u.first_line, u.entry || chr(10), CAST(0 AS BIGINT)
+  SELECT u.output_id, CAST(u.r - 1 AS BIGINT), 'line', u.first_line, u.entry || chr(10),
+         CAST(CASE WHEN m.mode = 'head' AND u.r = 40 THEN m.n_unique - 40 ELSE 0 END AS BIGINT)
   FROM (SELECT *, row_number() OVER (PARTITION BY output_id ORDER BY first_line) AS r FROM uniq) u
   JOIN mode m ON m.output_id = u.output_id WHERE m.mode IN ('unique', 'head') AND u.r <= 40
   UNION ALL

@@ -138,3 +138,19 @@ def test_dispatch_and_binary(spark):
     assert flags["5"] and not flags["6"]
     m = {r.output_id: r for r in line_metrics(lines, compact(lines)).collect()}
     assert m["2"].compressed_lines == 2 and m["3"].compressed_lines is None and m["3"].full
+
+
+def test_dispatcher_passes_thresholds(spark):
+    """Every cap can be lifted or lowered by the dispatcher's caller."""
+    rows = [("rg", i, f"f.py:{i}:hit {i}\n") for i in range(7)] + [("make", i, f"line {i}\n") for i in range(30)]
+    lines = spark.createDataFrame([(c, i, t, c) for c, i, t in rows], "output_id string, line_no int, line string, command string")
+    got = compact(lines, options={"search": {"cap": 10}, "generic": {"limit": 5}}).collect()
+    assert sum(r.output_id == "rg" for r in got) == 7 and not any(r.kind == "note" and r.output_id == "rg" for r in got)
+    assert sum(r.output_id == "make" for r in got) == 6
+
+
+def test_cut_listing_counts_what_it_leaves_out(spark):
+    from linesift.operators.listing import compact_listing
+    lines = spark.createDataFrame([(1, i, f"name{i}.x{i}\n") for i in range(60)], "output_id long, line_no int, line string")
+    got = compact_listing(lines).collect()
+    assert len(got) == 40 and sum(r.n_omitted for r in got) == 20
