@@ -4,8 +4,10 @@
 2. Every node is projected on random directions, one per tree and level.  Level by
    level a group (label, dimension, tree, path) with more than ``leaf`` nodes is
    cut at its median; nodes within ``margin`` of the cut go to both sides (spill).
-   The margin follows the largest distance of a linked pair, so a pair is parted
-   rarely, and in all trees hardly ever.  A group that a cut would hardly shrink,
+   The margin follows the largest distance of a linked pair: a level parts a pair
+   at the threshold with a chance of about 4 % and closer pairs less, all trees
+   together hardly ever, while a level adds about 12 % of copies only (a wide
+   margin would multiply the vectors by a power of their number).  A group that a cut would hardly shrink,
    such as one dense cluster, is left whole and tried again in the next
    direction.  A level is one aggregation (medians are mergeable) and one join
    with the table of cuts.
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-TREES = 6
+TREES = 8
 LEAF = 512
 MOST_LEVELS = 32
-SHRINK = 0.8                # a cut must leave at most this share on either side
+SPILL = 0.4                 # margin of a cut, in typical projected distances of the farthest linked pair
+SHRINK = 0.7                # a cut must leave at most this share on either side
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -125,16 +128,16 @@ def _compare(threshold: float):
 def forest(nodes: DataFrame, scratch: Scratch, *, threshold: float, trees: int = TREES, leaf: int = LEAF, seed: int = 7) -> DataFrame:
     """(node, code) for every leaf that a node falls into."""
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    levels = max(1, min(MOST_LEVELS, 4 + math.ceil(math.log(max(1.0, counts / leaf)) / math.log(1 / 0.65)))) if counts > leaf else 0
+    levels = max(1, min(MOST_LEVELS, 4 + math.ceil(math.log(max(1.0, counts / leaf)) / math.log(1 / 0.6)))) if counts > leaf else 0
     state = nodes.select("node", "label", "dim", "v").mapInArrow(
         _project(trees, max(levels, 1), seed), f"node long, label {nodes.schema['label'].dataType.simpleString()}, dim int, tree int, p array<float>")
     state = scratch.keep(state.withColumn("path", F.lit(1).cast("long")), "level-0")
     keys = ["label", "dim", "tree", "path"]
     # a linked pair is at most this far apart; random directions see 1/sqrt(dim) of it
-    margin = F.lit(0.75 * math.sqrt(2 - 2 * threshold)) / F.sqrt("dim")
+    margin = F.lit(SPILL * math.sqrt(2 - 2 * threshold)) / F.sqrt("dim")
     idle = 0
     for k in range(levels):
-        q = F.percentile_approx(F.col("p")[k], F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8)), F.lit(2000))
+        q = F.percentile_approx(F.col("p")[k], F.array(F.lit(1 - SHRINK), F.lit(0.5), F.lit(SHRINK)), F.lit(2000))
         cuts = state.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), q.alias("q")).where(F.col("c") > leaf) \
             .select(*keys, (F.col("q")[1] - margin).alias("lo"), (F.col("q")[1] + margin).alias("hi"), "q") \
             .where("q[0] < lo AND hi < q[2]").drop("q")
