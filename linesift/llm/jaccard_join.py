@@ -6,14 +6,13 @@ threshold.  The result is exact up to hash collisions.
 
 1. Sets.  One pass gives each row its set's size, a 64-bit fingerprint (copies
    share it and are one set from here on) and the set's prefix: the first
-   n - ceil(t*n) + 1 shingles in one global order.  Sets that link share a
-   prefix shingle.  The order puts shingles that a bounded sample of documents
-   shows to be common last (any order is exact; this one keeps shared passages
-   out of prefixes), then goes by hash.
-2. Blocks.  Sets that share a prefix shingle hang on the smallest set of that
-   shingle; the connected components of these stars are blocks.  Sets that share
-   nothing, most of a corpus, end here.  Blocks beyond a task's bound are cut again
-   by an order made from a sample of their own sets.
+   n - ceil(t*n) + k shingles in one global order, with k about n/20.  Sets that
+   link share k prefix shingles.  The order goes by the count in a bounded sample
+   of documents, then by hash (any order is exact; this one keeps shared passages
+   out of prefixes).
+2. Blocks.  Sets that share fewer than k of their prefix shingles with any others,
+   most of a corpus, end here.  The others hang on the smallest set of each prefix
+   shingle; the connected components of these stars are blocks.
 3. Trees.  Blocks are dealt to tasks of bounded size; a block beyond the bound is
    cut by set size into chunks, the upper nodes of its tree; when the chunks are
    compared in themselves and with the block's least set, only sets that are not
@@ -47,10 +46,9 @@ from .common import Scratch, binary, fresh
 from .components import components
 
 WORDS = 5
-SAMPLE_DOCS = 15_000        # documents (about) that tell common shingles from rare ones
+SAMPLE_DOCS = 5_000         # documents (about) that tell common shingles from rare ones
 COMMON_IN = 3               # sample documents that make a shingle common
-MOST_COMMON = 400_000       # common shingles kept: 3.2 MB for each task
-REFINE = 2                  # rounds in which blocks beyond the bound are cut again
+MOST_COMMON = 400_000       # common shingles kept: 6.4 MB for each task
 TASK_SHINGLES = 1_500_000   # shingles (about) of a chunk, and of the small blocks in a task
 CACHE_WORDS = 500_000
 
@@ -101,7 +99,7 @@ def _need(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _sets(common: np.ndarray, words: int, percent: int):
+def _sets(common: Common, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -128,47 +126,58 @@ def _all_shingles(words: int):
     return run
 
 
-def common_shingles(texts: DataFrame, hash_col: str, n: int, words: int) -> np.ndarray:
-    """Sorted shingles that recur in a sample of about SAMPLE_DOCS of the ``n`` texts."""
+Common = tuple[np.ndarray, np.ndarray]          # sorted shingles and their counts in a sample
+
+
+def common_shingles(texts: DataFrame, hash_col: str, n: int, words: int) -> Common:
+    """Shingles that recur in a sample of about SAMPLE_DOCS of the ``n`` texts."""
     share = max(1, n // SAMPLE_DOCS)
     sample = texts.where(F.pmod(F.col(hash_col), F.lit(share)) == 0)
     counts = sample.select("text").mapInArrow(_all_shingles(words), "token long").groupBy("token").count() \
         .where(F.col("count") >= COMMON_IN)
-    found = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()
-    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
+    found = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()
+    token = np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.array([r["count"] for r in found], np.int64)[order]
 
 
-def _prefixes(common: np.ndarray, words: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                prefix = [_prefix(shingles(t, words), common, percent) for t in batch.column("text").to_pylist()]
-                rows = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)), batch.column("s").take(pa.array(rows))],
-                    names=["token", "s"])
-    return run
-
-
-def _prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """The set's prefix: common shingles stand last, others in hash order."""
+def _prefix(s: np.ndarray, common: Common, percent: int) -> np.ndarray:
+    """The set's prefix in the global order: shingles that are not common by hash,
+    then common ones from rare to frequent.  A passage that several groups of copies
+    share is more frequent than the groups' own shingles, so it comes after them."""
     n = len(s)
-    if len(common) and n:
-        where = np.searchsorted(common, s)
-        known = common[np.minimum(where, len(common) - 1)] == s
-        s = np.concatenate([s[~known], s[known]])
-    return (s[:n - _need(n, percent) + 1] if n else s).view(np.int64)
-
-
-def _blocks(posting: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(s, block): the components of sets that share a prefix shingle; sets that
-    share none are left out."""
-    shared = scratch.keep(posting.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-                          .where("lo < hi").select("token", "lo"), f"{name}-shared")
-    stars = posting.join(shared, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b"))
-    found = components(stars, scratch, name)
-    scratch.drop(f"{name}-shared")
+    token, count = common
+    if len(token) and n:
+        where = np.minimum(np.searchsorted(token, s), len(token) - 1)
+        s = s[np.argsort(np.where(token[where] == s, count[where], 0), kind="stable")]
+    return (s[:n - _need(n, percent) + _shared(n)] if n else s).view(np.int64)
+
+
+def _shared(n):
+    """How many prefix shingles two linked sets of size n share at least."""
+    return n // 20 + (n < 20)
+
+
+def _blocks(posting: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(s, block): components of sets that share a prefix shingle, among the sets
+    that share enough of theirs with others to be linked at all.
+
+    ``sizes`` (s, n).  A set's partner is no smaller than ``percent`` of it, so
+    at least ``_shared`` of that size many of its prefix shingles are the partner's
+    too.  Sets below that are dropped, then once more among those that stay."""
+    least = F.ceil(F.col("n") * percent / 100)
+    need = sizes.select("s", F.when(least < 20, 1).otherwise(F.floor(least / 20)).alias("need"))
+    hits = posting
+    for k in range(2):
+        shared = scratch.keep(hits.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+                              .where("lo < hi").select("token"), f"shared-{k}")
+        hits = scratch.keep(hits.join(shared, "token"), f"hits-{k}")
+        scratch.free_shuffles()
+        enough = scratch.keep(hits.groupBy("s").agg(F.count(F.lit(1)).alias("c")).join(need, "s").where("c >= need").select("s"), f"enough-{k}")
+        hits = hits.join(enough, "s")
+    stars = scratch.keep(hits.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("token", "lo"), "stars")
+    found = components(hits.join(stars, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b")), scratch, "blocks")
+    scratch.drop("shared-0", "shared-1", "hits-0", "hits-1", "enough-0", "enough-1", "stars")
     scratch.free_shuffles()
     return found.select(F.col("node").alias("s"), F.col("root").alias("block")) \
         .unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("block")).distinct())
@@ -370,26 +379,6 @@ def _block_links(d: DataFrame, members: DataFrame, scratch: Scratch, words: int,
     return edges.unionByName(compare(again, "root", "links-2"))
 
 
-def _refine(d: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int, name: str) -> DataFrame:
-    """Cut blocks beyond the bound again, by prefixes under an order that puts last
-    what is common inside those blocks: shared passages that chain sets which are
-    not alike.  Sets that then share no prefix shingle with any other are done."""
-    big = scratch.keep(members.groupBy("block").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("c"))
-                       .where(F.col("m") > TASK_SHINGLES), f"{name}-big")
-    n = big.agg(F.sum("c")).first()[0] or 0
-    if not n:
-        return members
-    inside = members.join(big.select("block"), "block", "left_semi").select("s", F.col("id").alias("mid"), F.col("h").alias("mh"))
-    texts = scratch.keep(d.join(inside, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh"))).select("s", "text"), f"{name}-texts")
-    scratch.free_shuffles()
-    common = common_shingles(texts, "s", n, words)
-    again = _blocks(texts.mapInArrow(_prefixes(common, words, percent), "token long, s long"), scratch, name)
-    scratch.drop(f"{name}-texts")
-    cut = members.drop("block").join(again, "s")
-    small = members.join(big.select("block"), "block", "left_anti")
-    return scratch.keep(small.unionByName(cut.select(*small.columns)), f"{name}-members")
-
-
 def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  percent: int = 80, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows are (id, h, n, s) with h the text's hash and s the
@@ -403,14 +392,11 @@ def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.keep(d.mapInArrow(_sets(common, words, percent), f"id {kind}, h long, n long, s long, prefix array<long>"), "sets")
     known = rows.where("s IS NOT NULL")
-    blocks = _blocks(known.select(F.explode("prefix").alias("token"), "s"), scratch, "blocks")
-
     # one row of each set: its least (id, h); and the sets of blocks
     one = scratch.keep(known.groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("id", "h")).alias("first"))
                        .select("s", "n", "first.id", "first.h"), "one")
-    members = scratch.keep(one.join(blocks, "s"), "members")
-    for k in range(REFINE):
-        members = _refine(d, members, scratch, words, percent, f"refine-{k}")
+    posting = known.select("s", F.explode("prefix").alias("token")).select("token", "s")
+    members = scratch.keep(one.join(_blocks(posting, one.select("s", "n"), scratch, percent), "s"), "members")
     found = components(_block_links(d, members, scratch, words, percent), scratch, "links")
 
     classes = one.join(found.select(F.col("node").alias("s"), "root"), "s", "left") \
