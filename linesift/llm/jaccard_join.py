@@ -11,8 +11,9 @@ threshold.  The result is exact up to hash collisions.
    of documents, then by hash (any order is exact; this one keeps shared passages
    out of prefixes).
 2. Blocks.  Sets that share fewer than k of their prefix shingles with any others,
-   most of a corpus, end here.  The others hang on the smallest set of each prefix
-   shingle; the connected components of these stars are blocks.
+   most of a corpus, end here.  The shingles of the others are counted exactly; by
+   prefixes in the order from rare to frequent they hang on the smallest set of
+   each prefix shingle, and the connected components of these stars are blocks.
 3. Trees.  Blocks are dealt to tasks of bounded size; a block beyond the bound is
    cut by set size into chunks, the upper nodes of its tree; when the chunks are
    compared in themselves and with the block's least set, only sets that are not
@@ -158,9 +159,8 @@ def _shared(n):
     return n // 20 + (n < 20)
 
 
-def _blocks(posting: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(s, block): components of sets that share a prefix shingle, among the sets
-    that share enough of theirs with others to be linked at all.
+def _candidates(posting: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(s): the sets that share enough prefix shingles with others to be linked.
 
     ``sizes`` (s, n).  A set's partner is no smaller than ``percent`` of it, so
     at least ``_shared`` of that size many of its prefix shingles are the partner's
@@ -175,10 +175,39 @@ def _blocks(posting: DataFrame, sizes: DataFrame, scratch: Scratch, percent: int
         scratch.free_shuffles()
         enough = scratch.keep(hits.groupBy("s").agg(F.count(F.lit(1)).alias("c")).join(need, "s").where("c >= need").select("s"), f"enough-{k}")
         hits = hits.join(enough, "s")
-    stars = scratch.keep(hits.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("token", "lo"), "stars")
-    found = components(hits.join(stars, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b")), scratch, "blocks")
-    scratch.drop("shared-0", "shared-1", "hits-0", "hits-1", "enough-0", "enough-1", "stars")
+    scratch.drop("shared-0", "shared-1", "hits-0", "hits-1", "enough-0")
+    return enough
+
+
+def _set_tokens(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+                rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("s").take(pa.array(rows))], names=["token", "s"])
+    return run
+
+
+def _blocks(texts: DataFrame, sizes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """(s, block) for the candidates' ``texts`` (s, text): components of sets that
+    share a prefix shingle when shingles are ordered from rare to frequent, by exact
+    counts among the candidates.  A set's own shingles come first and have no
+    partner, so only what is left of the prefix is posted."""
+    token = texts.mapInArrow(_set_tokens(words), "token long, s long")
+    often = scratch.keep(token.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+                         .where("lo < hi").select("token", "df"), "often")
+    have = token.join(often, "token").join(sizes.select("s", "n"), "s")
+    w = Window.partitionBy("s")
+    have = have.withColumn("k", F.row_number().over(w.orderBy("df", "token"))).withColumn("m", F.count(F.lit(1)).over(w))
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("m"))
+    posted = scratch.keep(have.where(F.col("k") <= room).select("token", "s"), "posted")
     scratch.free_shuffles()
+    stars = scratch.keep(posted.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi").select("token", "lo"), "stars")
+    found = components(posted.join(stars, "token").where("s > lo").select(F.col("s").alias("a"), F.col("lo").alias("b")), scratch, "blocks")
+    scratch.drop("often", "posted", "stars")
     return found.select(F.col("node").alias("s"), F.col("root").alias("block")) \
         .unionByName(found.select(F.col("root").alias("s"), F.col("root").alias("block")).distinct())
 
@@ -334,7 +363,7 @@ def _nodes(chunks: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.keep(chunks.groupBy("block", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), name)
 
 
-def _block_links(d: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+def _block_links(texts: DataFrame, members: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """Edges (a, b) between sets that make all linked sets of a block one component.
 
     First every set is compared inside its chunk, to which the block's least set
@@ -349,9 +378,8 @@ def _block_links(d: DataFrame, members: DataFrame, scratch: Scratch, words: int,
     nodes = _nodes(big, scratch, "nodes")
 
     def compare(placed: DataFrame, known: str, name: str) -> DataFrame:
-        p = placed.select("s", "block", "n", "task", F.col("side"), F.col(known).alias("known"), F.col("id").alias("mid"), F.col("h").alias("mh"))
-        texts = d.join(p, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")))
-        out = scratch.keep(texts.select("task", "s", "block", "n", "side", "known", "text").groupBy("task")
+        p = placed.select(F.col("s"), "block", "n", "task", "side", F.col(known).alias("known"))
+        out = scratch.keep(texts.join(p, "s").select("task", "s", "block", "n", "side", "known", "text").groupBy("task")
                            .applyInArrow(_task(words, percent), "a long, b long"), name)
         scratch.free_shuffles()
         return out
@@ -396,8 +424,13 @@ def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     one = scratch.keep(known.groupBy("s").agg(F.min("n").alias("n"), F.min(F.struct("id", "h")).alias("first"))
                        .select("s", "n", "first.id", "first.h"), "one")
     posting = known.select("s", F.explode("prefix").alias("token")).select("token", "s")
-    members = scratch.keep(one.join(_blocks(posting, one.select("s", "n"), scratch, percent), "s"), "members")
-    found = components(_block_links(d, members, scratch, words, percent), scratch, "links")
+    chosen = scratch.keep(one.join(_candidates(posting, one.select("s", "n"), scratch, percent), "s"), "chosen")
+    texts = scratch.keep(d.join(chosen.select("s", F.col("id").alias("mid"), F.col("h").alias("mh")), F.col("id").eqNullSafe(F.col("mid"))
+                                & (F.col("h") == F.col("mh"))).select("s", "text").dropDuplicates(["s"]), "texts")
+    scratch.free_shuffles()
+    members = scratch.keep(chosen.join(_blocks(texts, chosen, scratch, words, percent), "s"), "members")
+    found = components(_block_links(texts, members.select("s", "n", "block"), scratch, words, percent), scratch, "links")
+    scratch.drop("texts")
 
     classes = one.join(found.select(F.col("node").alias("s"), "root"), "s", "left") \
         .select("s", "id", "h", F.coalesce("root", "s").alias("root"))
