@@ -3,14 +3,17 @@
 1. Copies (equal label and components) become one node with a count.
 2. Every node is projected on random directions, one per tree and level.  Level by
    level a group (label, dimension, tree, path) with more than ``leaf`` nodes is
-   cut at its median; nodes within ``margin`` of the cut go to both sides (spill).
-   The margin follows the largest distance of a linked pair: a level parts a pair
-   at the threshold with a chance of about 4 % and closer pairs less, all trees
-   together hardly ever, while a level adds about 12 % of copies only (a wide
-   margin would multiply the vectors by a power of their number).  A group that a cut would hardly shrink,
-   such as one dense cluster, is left whole and tried again in the next
-   direction.  A level is one aggregation (medians are mergeable) and one join
-   with the table of cuts.
+   cut at its median; nodes within a margin of the cut go to both sides (spill).
+   The margin follows the largest distance of a linked pair and the group's own
+   density at the median: it is the least at which a pair at the threshold is
+   parted with a chance of at most ``CHANCE``, so a group whose vectors share a
+   direction gets a margin wide against its spread.  The number of trees follows
+   the number of levels: all of them together part such a pair with a chance of
+   at most ``MISS``.  A group that a cut would hardly shrink, such as one dense
+   cluster or a label of much alike vectors, is left whole and tried again in the
+   next direction; a label that some tree leaves whole is compared in that tree
+   alone, exactly.  A level is one aggregation (medians are mergeable) and one
+   join with the table of cuts.
 3. Leaves are compared all against all, in double precision.  A leaf beyond
    ``leaf`` nodes, a large cluster, is dealt in chunks and compared pair of chunks
    by pair of chunks, so a task stays bounded.  A pair may share several leaves:
@@ -39,11 +42,28 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-TREES = 8
+TREES = 8                   # at least
 LEAF = 512
 MOST_LEVELS = 32
-SPILL = 0.4                 # margin of a cut, in typical projected distances of the farthest linked pair
-SHRINK = 0.7                # a cut must leave at most this share on either side
+SPILL = 0.4                 # least margin of a cut, in typical projected distances of the farthest linked pair
+CHANCE = 0.04               # a cut parts a pair at the threshold at most this often
+MISS = 0.005                # all trees together do so at most this often
+SHRINK = 0.65               # a cut must leave at most this share on either side
+
+
+def beyond(u: float) -> float:
+    """E max(0, |z| - u) of a standard normal z: by how much a pair's projected distance exceeds both margins."""
+    return 2 * (math.exp(-u * u / 2) / math.sqrt(2 * math.pi) - u * math.erfc(u / math.sqrt(2)) / 2)
+
+
+# margins in projected distances, and the length beyond both sides that is parted
+MARGINS = [(m / 100, beyond(m / 50)) for m in range(round(100 * SPILL), 201, 2)]
+
+
+def trees_for(levels: int, least: int = TREES) -> int:
+    """Trees that together part a pair at most with chance ``MISS``, if each cuts ``levels`` times."""
+    parted = 1 - (1 - CHANCE) ** levels
+    return max(least, math.ceil(math.log(MISS) / math.log(parted))) if levels else 1
 
 
 def unit(values: np.ndarray) -> np.ndarray:
@@ -129,18 +149,23 @@ def forest(nodes: DataFrame, scratch: Scratch, *, threshold: float, trees: int =
     """(node, code) for every leaf that a node falls into."""
     counts = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     levels = max(1, min(MOST_LEVELS, 4 + math.ceil(math.log(max(1.0, counts / leaf)) / math.log(1 / 0.6)))) if counts > leaf else 0
+    trees = trees_for(levels, trees)
     state = nodes.select("node", "label", "dim", "v").mapInArrow(
         _project(trees, max(levels, 1), seed), f"node long, label {nodes.schema['label'].dataType.simpleString()}, dim int, tree int, p array<float>")
     state = scratch.keep(state.withColumn("path", F.lit(1).cast("long")), "level-0")
     keys = ["label", "dim", "tree", "path"]
     # a linked pair is at most this far apart; random directions see 1/sqrt(dim) of it
-    margin = F.lit(SPILL * math.sqrt(2 - 2 * threshold)) / F.sqrt("dim")
+    far = F.lit(math.sqrt(2 - 2 * threshold)) / F.sqrt("dim")
+    density = F.greatest(*[F.lit(mass) / F.greatest(F.col("q")[b] - F.col("q")[a], F.lit(1e-30)) for mass, a, b in ((0.4, 0, 4), (0.2, 1, 3))])
+    margins = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(y).alias("y")) for m, y in MARGINS])
+    margin = F.get(F.filter(margins, lambda x: x["y"] * F.col("far") * F.col("density") <= CHANCE), F.lit(0))["m"] * F.col("far")
     idle = 0
     for k in range(levels):
-        q = F.percentile_approx(F.col("p")[k], F.array(F.lit(1 - SHRINK), F.lit(0.5), F.lit(SHRINK)), F.lit(2000))
+        q = F.percentile_approx(F.col("p")[k], F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5, 0.6, 0.7, 1 - SHRINK, SHRINK)]), F.lit(2000))
         cuts = state.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), q.alias("q")).where(F.col("c") > leaf) \
-            .select(*keys, (F.col("q")[1] - margin).alias("lo"), (F.col("q")[1] + margin).alias("hi"), "q") \
-            .where("q[0] < lo AND hi < q[2]").drop("q")
+            .select(*keys, "q", far.alias("far"), density.alias("density")).withColumn("margin", margin) \
+            .select(*keys, (F.col("q")[2] - F.col("margin")).alias("lo"), (F.col("q")[2] + F.col("margin")).alias("hi"), "q") \
+            .where("q[5] < lo AND hi < q[6]").drop("q")
         cuts = scratch.keep(cuts, f"cuts-{k}")
         idle = 0 if cuts.head(1) else idle + 1
         if idle == 4:                       # four directions in a row cut nothing
@@ -152,7 +177,9 @@ def forest(nodes: DataFrame, scratch: Scratch, *, threshold: float, trees: int =
             lambda x: x.isNotNull()))
         state = state.join(cuts, keys, "left").select("node", "label", "dim", "tree", "p", F.explode(sides).alias("path"))
         state = scratch.keep(state, f"level-{k + 1}")
-    return state.select("node", F.xxhash64(*keys).alias("code"))
+    # what one tree leaves whole is compared whole there: the other trees add nothing
+    whole = state.where("path = 1").groupBy("label", "dim").agg(F.min("tree").alias("whole"))
+    return state.join(whole, ["label", "dim"], "left").where("whole IS NULL OR tree = whole").select("node", F.xxhash64(*keys).alias("code"))
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -18,6 +19,7 @@ from helpers import SCHEMA, classes, documents, jaccard_classes, shingle_set, wo
 
 from linesift.llm import (embedding_dedup, hmm_scoring, importance, jaccard_join, line_templates, packing, quality_rules,  # noqa: E402
                           source_mixing, url_filters, warc_revisits)
+from linesift.llm.common import Scratch  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -123,6 +125,31 @@ def test_embedding_groups(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_a_concentrated_label(spark):
+    """Vectors with a common direction (mean cosine 0.9): pairs at the threshold share a leaf, however large the label."""
+    n, dim, pairs = 100_000, 64, 1000
+    rng = np.random.default_rng(3)
+    common = np.zeros(dim)
+    common[0] = 3
+    x = embedding_dedup.unit(common + rng.standard_normal((n, dim)) / math.sqrt(dim))
+    step = rng.standard_normal((pairs, dim))
+    step -= (step * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    x[pairs:2 * pairs] = 0.935 * x[:pairs] + math.sqrt(1 - 0.935 ** 2) * embedding_dedup.unit(step)
+    table = pa.table({"node": pa.array(np.arange(n)), "label": pa.array(np.zeros(n, np.int64)), "dim": pa.array(np.full(n, dim, np.int32)),
+                      "v": pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype=np.int32), x.astype(np.float32).ravel())})
+    nodes = spark.createDataFrame(table).repartition(8)
+    leaves = embedding_dedup.forest(nodes, Scratch(spark, "concentrated"), threshold=0.93).where(f"node < {2 * pairs}").toPandas()
+    codes = leaves.groupby("node")["code"].agg(set)
+    assert sum(bool(codes[k] & codes[pairs + k]) for k in range(pairs)) >= 0.995 * pairs
+
+
+def test_trees_follow_levels():
+    for levels in (1, 8, 15, 24, 32):
+        parted = 1 - (1 - embedding_dedup.CHANCE) ** levels
+        assert parted ** embedding_dedup.trees_for(levels) <= embedding_dedup.MISS
+    assert embedding_dedup.trees_for(32) > embedding_dedup.trees_for(8)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 def brute_lines(rows):
