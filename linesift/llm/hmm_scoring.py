@@ -73,7 +73,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _head_bin(bins: list[tuple[int, int]], head: int) -> int:
     """Least bin of counts (1/16 of a power of two wide) so that the words in it and
-    above are at most ``head``: only the head itself is then sent to the driver."""
+    above are at most ``head``: these go to the driver whole, and the first words of
+    the bins below fill up the head."""
     total, cut = 0, max((b for b, _ in bins), default=0) + 1
     for b, n in sorted(bins, reverse=True):
         total += n
@@ -292,6 +293,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counts = counts.withColumn("bin", F.floor(16 * F.log2("c")).cast("int"))
     cut = _head_bin([(r["bin"], r["n"]) for r in counts.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()], head)
     top = sorted(((r["c"], r["word"]) for r in counts.where(F.col("bin") >= cut).collect()), key=lambda r: (-r[0], r[1]))
+    below = counts.where(F.col("bin") < cut).orderBy(F.desc("c"), "word")
+    edge = below.limit(head - len(top)).collect() if len(top) < min(head, vocabulary) else []      # the rest of the head, in the same order
+    top += [(r["c"], r["word"]) for r in edge]
     words, c = [w for _, w in top], np.array([n for n, _ in top], np.float64)      # at most ``head`` of them
     tail_tokens, tail_words = all_tokens - int(c.sum()), vocabulary - len(words)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -309,7 +313,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         _score(model, base, known), f"row long, id {kind}, held boolean, n_tokens long, hmm double, base double, known long")
 
     # words outside the head: their factors by a join with the corpus counts
-    rest = counts.where(F.col("bin") < cut).select("word", "c")
+    last = edge[-1] if edge else None
+    rest = counts.where(F.col("bin") < cut)
+    if last:
+        rest = rest.where((F.col("c") < last["c"]) | (F.col("c") == last["c"]) & (F.col("word") > last["word"]))
+    rest = rest.select("word", "c")
     rare = seqs.select("row", F.explode(F.arrays_zip("words", "times")).alias("z")) \
         .select("row", F.col("z.words").alias("word"), F.col("z.times").alias("k"))
     n = F.coalesce("c", F.lit(0))

@@ -591,6 +591,26 @@ def test_language_model(docs, head):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def test_head_takes_part_of_a_tied_bin(spark, monkeypatch):
+    """Words of equal counts: the head is full, by count and then word, and scores stay finite."""
+    seen = []
+    encode = hmm_scoring._encode
+    monkeypatch.setattr(hmm_scoring, "_encode", lambda head: seen.append(head) or encode(head))
+    df = spark.createDataFrame([(i, "top top " + " ".join(f"w{i:02}{k}" for k in range(5))) for i in range(20)], "doc_id long, text string")
+    rows = [tuple(r) for r in df.collect()]
+    train = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            train.update([*t.split(), ""])
+    for head in (0, 2, 10, 1000):
+        got = hmm_scoring.score_texts(df, head=head, states=2, rounds=1).collect()
+        assert seen[-1] == sorted(train, key=lambda w: (-train[w], w))[:head]
+        expected = brute_base(rows)
+        for r in got:
+            assert (r["n_known"], r["train_tokens"]) == expected[r["doc_id"]][0][2:4]
+            assert r["base_score"] == pytest.approx(expected[r["doc_id"]][0][4], rel=1e-9)
+
+
 def test_language_model_is_a_distribution(spark):
     """Over all next words, unseen ones together included, probabilities add up to one."""
     rows = [(i, "a b c" if i % 2 else "a b d e") for i in range(40)]
