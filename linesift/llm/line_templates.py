@@ -113,7 +113,7 @@ def drop_recurring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     pairs = found.select("o", "h", F.explode(F.arrays_zip("keys", "lines", "longs")).alias("z")) \
         .select("o", "h", F.col("z.keys").alias("key"), F.col("z.lines").alias("line"), F.col("z.longs").alias("long"))
     once = found.select("o", "h", F.explode(F.array_distinct(F.arrays_zip("keys", "longs"))).alias("z")) \
-        .select("o", F.col("z.keys").alias("key"), F.col("z.longs").alias("long"))
+        .select("o", F.col("z.keys").alias("key"), F.col("z.longs").alias("long")).distinct()
     recurring = scratch.keep(
         once.groupBy("key", "long").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"), F.max("o").alias("last"))
         .where(F.expr(f"first < last AND n >= CASE WHEN long THEN {DOCS_LONG} ELSE {DOCS_SHORT} END")).select("key", "first"), "recurring")

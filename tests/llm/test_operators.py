@@ -202,6 +202,12 @@ def test_line_dedup(spark):
     assert line_templates.drop_recurring(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    rows = [(1, "one short line here")] * 4 + [(2, "one short line here\nother words stand alone")] + [(1, "one short line here\nmore of document one")]
+    got = sorted(rows_of(line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))), key=str)
+    assert [r for r in got if r[0]] == sorted([r for r in rows if r[0]], key=str)
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------
 
 def test_jaccard_components(docs, empty):
