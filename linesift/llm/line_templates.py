@@ -19,7 +19,8 @@ documents share is one row of the joined table.
 
 Defined results: a null text stays null and has no lines; blank lines and lines
 under ``LEAST_TOKENS`` tokens that are no fields stay; repeated rows (same id and text) are one
-document; documents with a null id come after all others.  Extra columns are
+document; documents with a null id come after all others, by the hash of their text,
+so null ids with different texts are different documents.  Extra columns are
 carried, whatever their names; an empty table gives an empty result.
 """
 
@@ -110,14 +111,17 @@ def drop_recurring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         d.select(F.col(o).alias("o"), F.col(h).alias("h"), F.col(text_col).cast("binary").alias("text"))
         .mapInArrow(_line_templates, "o long, h long, n_lines long, keys array<long>, lines array<int>, longs array<boolean>"), "templates")
     # a document counts once for a template, repeated rows once altogether
-    pairs = found.select("o", "h", F.explode(F.arrays_zip("keys", "lines", "longs")).alias("z")) \
-        .select("o", "h", F.col("z.keys").alias("key"), F.col("z.lines").alias("line"), F.col("z.longs").alias("long"))
-    once = found.select("o", "h", F.explode(F.array_distinct(F.arrays_zip("keys", "longs"))).alias("z")) \
-        .select("o", F.col("z.keys").alias("key"), F.col("z.longs").alias("long")).distinct()
+    # documents are told apart by id (o), those without one by text (t)
+    found = found.withColumn("t", F.when(F.col("o") == LAST, F.col("h")).otherwise(F.lit(0).cast("long")))
+    pairs = found.select("o", "h", "t", F.explode(F.arrays_zip("keys", "lines", "longs")).alias("z")) \
+        .select("o", "h", "t", F.col("z.keys").alias("key"), F.col("z.lines").alias("line"), F.col("z.longs").alias("long"))
+    once = found.select("o", "t", F.explode(F.array_distinct(F.arrays_zip("keys", "longs"))).alias("z")) \
+        .select("o", "t", F.col("z.keys").alias("key"), F.col("z.longs").alias("long")).distinct()
     recurring = scratch.keep(
-        once.groupBy("key", "long").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"), F.max("o").alias("last"))
-        .where(F.expr(f"first < last AND n >= CASE WHEN long THEN {DOCS_LONG} ELSE {DOCS_SHORT} END")).select("key", "first"), "recurring")
-    gone = pairs.select("key", "o", "h", "line").join(recurring, "key").where("o <> first") \
+        once.groupBy("key", "long").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"), F.min("t").alias("first_t"))
+        .where(F.expr(f"n >= CASE WHEN long THEN {DOCS_LONG} ELSE {DOCS_SHORT} END")).select("key", "first", "first_t"), "recurring")
+    # only where no document of the template has an id does the text decide which is first
+    gone = pairs.select("key", "o", "h", "t", "line").join(recurring, "key").where(f"o <> first OR (first = {LAST} AND t <> first_t)") \
         .groupBy("o", "h").agg(F.collect_set("line").alias("drop"))
     per_doc = found.select("o", "h", "n_lines").distinct().join(gone, ["o", "h"], "left") \
         .select(F.col("o").alias("_do"), F.col("h").alias("_dh"), F.col("n_lines").alias(total), F.col("drop").alias(drop))

@@ -203,9 +203,13 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_counts_documents(spark):
+    """Repeated rows are one document; texts without id are documents of their own."""
     rows = [(1, "one short line here")] * 4 + [(2, "one short line here\nother words stand alone")] + [(1, "one short line here\nmore of document one")]
+    rows += [(None, f"t{c} alone\nthis longer passage is shared by rows without any id at all") for c in "abc"] * 2
     got = sorted(rows_of(line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))), key=str)
     assert [r for r in got if r[0]] == sorted([r for r in rows if r[0]], key=str)
+    texts = [t for d, t in got if d is None]
+    assert len(texts) == 6 and len({t for t in texts if "passage" in t}) == 1 and sum("passage" in t for t in texts) == 2
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
