@@ -102,7 +102,7 @@ def text_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(t))
     d = d.select(
         *keep, F.expr(f"filter(split({t}, r'{SEP}'), w -> w <> '')").alias("_w"),
-        F.expr(f"filter(split({t}, '\\n'), l -> trim(BOTH ' \\t\\u000B\\f\\r' FROM l) <> '')").alias("_l"),
+        F.expr(f"filter(split({t}, '\\n'), l -> trim(BOTH ' \\t\\u000B\\u000C\\r' FROM l) <> '')").alias("_l"),
         F.expr(f"char_length({t}) - char_length(translate({t}, '{SYMBOLS}', ''))").cast("long").alias("n_symbols"))
     d = d.select(
         *keep, "_w", "n_symbols", F.size("_w").cast("long").alias("n_words"),

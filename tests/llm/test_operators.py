@@ -284,6 +284,13 @@ def test_quality_statistics(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+def test_blank_lines_of_every_separator(spark):
+    texts = ["\f\nword\n\f\n\f", "f\nf\n f \nword", "\n".join([" ", "\t", "\v", "\f", "\r", " \t\v\f\r", "f"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dup_lines"]) for r in quality_rules.text_statistics(df, "text", ["doc_id"]).collect()}
+    assert got == {0: (1, 0), 1: (4, 1), 2: (1, 0)}
+
+
 def test_quality_outliers_against_numpy(spark):
     rnd = random.Random(2)
     rows = []
