@@ -3,13 +3,13 @@
 1. Tokenizing, per partition: a document's ids, then the end id; documents
    longer than a sequence are cut into full pieces and a rest.
 2. The lengths' histogram (at most ``max_len`` rows, whatever the corpus) goes to
-   the driver.  ``plan_patterns`` solves the configuration LP over it: columns
-   are the ways to fill one sequence, rows the lengths to be covered.
-   Multiplicative weights price the lengths, a knapsack dynamic programme finds
-   the best-priced column, and covered lengths lose price.  The fractional
-   solution is rounded down to whole runs of patterns; what is left is filled
-   best-fit, again in runs of equal sequences, so the plan has at most a few
-   rows per length.
+   the driver.  ``plan_patterns`` runs ``rounds`` rounds on the configuration LP
+   over it: columns are the ways to fill one sequence, rows the lengths to be
+   covered.  Prices on the lengths, a knapsack dynamic programme that finds the
+   best-priced column, and covered lengths lose price.  A round uses up the
+   scarcest length of its column, so these rounds do not solve the LP: with
+   thousands of lengths most pieces are still left.  They are placed best-fit, in
+   runs of equal sequences, so the plan has at most a few rows per length.
 3. Pieces of one length are interchangeable: each gets a rank in its length
    (salted, so a very common length is no single task), and the plan turns
    (length, rank) into (sequence, offset) by arithmetic.
@@ -153,9 +153,9 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, cap: int) -> np.ndarray:
 
 
 def _fractional(sizes: np.ndarray, demand: np.ndarray, cap: int, rounds: int, eps: float) -> list[tuple[np.ndarray, float]]:
-    """Columns of the configuration LP with their weights, by multiplicative
-    weights: each round covers as much as the scarcest length of the best-priced
-    column allows, and the lengths it covers lose price."""
+    """Some columns of the configuration LP with their weights, no solution of it:
+    each round covers as much as the scarcest length of the best-priced column
+    allows, and the lengths it covers lose price."""
     prices = (sizes / cap) ** 1.15         # near the size: every full sequence is about as good
     found: dict[bytes, list] = {}
     left = demand.astype(float)
