@@ -16,6 +16,11 @@ from ..session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Bytes of terms: ASCII letters (lowered), digits and all bytes of characters beyond
+# ASCII stay, every other byte becomes a space.
+TERM_BYTES = bytes((c | 32 if 65 <= c <= 90 else c) if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

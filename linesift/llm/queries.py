@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, hmm_scoring, importance, jaccard_join, line_templates, packing, quality_rules, source_mixing, url_filters, warc_revisits
+from . import (ball_search, embedding_dedup, hmm_scoring, importance, jaccard_join, line_templates, packing, part_codes, quality_rules,
+               source_mixing, toxicity, url_filters, warc_revisits)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,18 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc_revisits.resolve_revisits(warc_revisits.captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(lines, ";"))
+
+
+@query(part_codes.oracle())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(ball_search.ORACLE)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
