@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming.runner import drain
-from ..streaming.sessions import stream_assign_sessions, stream_savings, stream_sessions
+from ..streaming.runner import drain, fold_sink, fresh_folder, read_sink, run_into
+from ..streaming.sessions import open_sessions, stream_assign_sessions, stream_savings, stream_sessions
 from . import sessions as batch_sessions
 from .catalog import ORACLE, register, rounded, sql_effective, sql_invocations, with_ctes
 from .inputs import table
@@ -33,13 +33,13 @@ SELECT *, session_end > (SELECT max(ts) FROM events) AS open FROM (
          CAST(count(*) AS BIGINT) AS events, min(ts) AS first_ts, max(ts) AS last_ts
   FROM _n GROUP BY user_id, s)""")
 def stream_sessions_q(spark, sf_dir):
-    """Session windows (6 h gap) per user over the replayed stream.  Complete
-    mode returns every session, flagged ``open`` while the newest event has not
-    passed its end (append mode would hold those back)."""
-    s = stream_sessions(events_stream(spark, sf_dir), "user_id", gap_seconds=batch_sessions.GAP_SECONDS)
-    res = drain(spark, s, "complete", "w4")
-    newest = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("_newest"))
-    res = res.join(F.broadcast(newest)).withColumn("open", F.col("session_end") > F.col("_newest")).drop("_newest")
+    """Session windows (6 h gap) per user over the replayed stream in append mode:
+    the sessions that the watermark closed, and those that the state still holds,
+    flagged ``open``."""
+    s = stream_sessions(events_stream(spark, sf_dir), "user_id", gap_seconds=batch_sessions.GAP_SECONDS, watermark="0 seconds")
+    run = run_into(spark, s, fresh_folder(spark, "w4"))
+    closed = read_sink(spark, run.folder, s.schema).withColumn("open", F.lit(False))
+    res = closed.unionByName(open_sessions(spark, run.checkpoint, "user_id").withColumn("open", F.lit(True)))
     return res.withColumns({c: F.col(c).cast("timestamp_ntz")
                             for c in ("session_start", "session_end", "first_ts", "last_ts")})
 
@@ -81,11 +81,12 @@ def stream_savings_q(spark, sf_dir):
 @register("stream_log_savings", ORACLE["stream_savings"])
 def stream_log_savings(spark, sf_dir):
     """K1 -> S8 -> W6: the invocation log written as JSON folders per day,
-    tailed as a file stream, running savings per day and command."""
+    tailed as a file stream into a sink that keeps each group's last version."""
     from ..sources.logs import stream_invocations
     from .edges import _write_log
     path = _write_log(spark, sf_dir)
-    inv = stream_invocations(spark, path, max_files_per_trigger=64)
-    res = drain(spark, stream_savings(inv), "update", "w6log",
-                latest_by=["day", "command"])
-    return rounded(res)
+    res = stream_savings(stream_invocations(spark, path, max_files_per_trigger=64))
+    folder = fresh_folder(spark, "w6log")
+    run_into(spark, res, folder, "update")
+    fold_sink(spark, folder, res.schema, ["day", "command"])
+    return rounded(read_sink(spark, folder, res.schema, "update", ["day", "command"]))
