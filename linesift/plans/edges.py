@@ -28,10 +28,10 @@ def scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/linesift-{name}-{uuid.uuid4().hex}"
 
 
-def _write_log(spark, sf_dir) -> str:
+def _write_log(spark, sf_dir, buckets: int | None = None) -> str:
     path = scratch(spark, "log")
     inv = event_invocations(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    write_invocations(to_log_records(inv), path)
+    write_invocations(to_log_records(inv), path, buckets)
     return path
 
 
@@ -52,8 +52,8 @@ win AS (SELECT * FROM inv WHERE session_id = 's7'
                                          sql_effective("win")) + f"""
 SELECT command, {sql_savings_cols()} FROM eff2 GROUP BY command""")
 def log_session_slice(spark, sf_dir):
-    """K1 -> S1 + S2 (one session) + S3 (inclusive range, prunes days) -> A7."""
-    inv = read_invocations(spark, _write_log(spark, sf_dir), session_id="s7",
+    """K1 -> S1 + S2 (one session, prunes its bucket) + S3 (inclusive range, prunes days) -> A7."""
+    inv = read_invocations(spark, _write_log(spark, sf_dir, buckets=4), session_id="s7",
                            since="2024-01-05 00:00:00", until="2024-01-25 00:00:00")
     return rounded(savings_by_command(inv))
 
@@ -145,28 +145,37 @@ def trial_report_rows_q(spark, sf_dir):
     return trial_report_lines(d, X.aggregate_deltas(d))
 
 
-# Log lines that a reader must survive, made from events: good records, a mistyped
-# field, a tab before the record, and every 10th line no JSON object at all.
-_LINE = """CASE CAST(event_id % 10 AS INT)
+# Log lines that a reader must survive, made from events.  Kept: good records, a
+# mistyped field, white space around the record (tab, no-break space), a key that
+# repeats (the last counts), NaN for a number and in a string.  Skipped: bad JSON, a
+# list, nothing, two records, text after a record.
+_LINE = """CASE CAST(event_id % 16 AS INT)
   WHEN 1 THEN '{bad json ' || event_id
   WHEN 2 THEN '[1, 2]'
   WHEN 3 THEN ''
-  WHEN 4 THEN {tab} || '{{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '.0}}'
-  WHEN 5 THEN '{{"session_id":"00' || user_id || '","command":"' || event_type || '","args":"x","stdout_lines":"many"}}'
-  ELSE '{{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '}}' END"""
+  WHEN 4 THEN TAB || '{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '.0}'
+  WHEN 5 THEN '{"session_id":"00' || user_id || '","command":"' || event_type || '","args":"x","stdout_lines":"many"}'
+  WHEN 6 THEN '{"session_id":"x","stdout_lines":1,"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '}'
+  WHEN 7 THEN '{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":NaN}'
+  WHEN 8 THEN NBSP || '{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '}' || NBSP
+  WHEN 9 THEN '{"session_id":"00' || user_id || '","command":"' || event_type || '"} {"command":"two"}'
+  WHEN 10 THEN '{"session_id":"00' || user_id || '","command":"' || event_type || '"} tail'
+  WHEN 11 THEN '{"session_id":"00' || user_id || '","cwd":"NaN, \\\\"Infinity","command":"' || event_type || '","exit_code":-Infinity,"stdout_lines":' || (event_id % 50) || '}'
+  WHEN 12 THEN '{"session_id":"00' || user_id || '","command":"' || event_type || '"}] }'
+  ELSE '{"session_id":"00' || user_id || '","command":"' || event_type || '","stdout_lines":' || (event_id % 50) || '}' END"""
 
 
 @register("log_bad_lines", """
-SELECT '00' || user_id AS session_id, event_type AS command, count(*) AS calls,
-       CAST(sum(CASE WHEN event_id % 10 <> 5 THEN event_id % 50 END) AS BIGINT) AS raw_lines
-FROM events WHERE event_id % 10 NOT IN (1, 2, 3) GROUP BY 1, 2""")
+SELECT '00' || user_id AS session_id, event_type AS command, CASE WHEN event_id % 16 = 11 THEN 'NaN, "Infinity' END AS cwd, count(*) AS calls,
+       CAST(sum(CASE WHEN event_id % 16 NOT IN (5, 7) THEN event_id % 50 END) AS BIGINT) AS raw_lines
+FROM events WHERE event_id % 16 NOT IN (1, 2, 3, 9, 10, 12) GROUP BY 1, 2, 3""")
 def log_bad_lines(spark, sf_dir):
-    """S1 on a log with bad, mistyped and indented lines and ids with leading zeros."""
+    """S1 on a log with every kind of line above and ids with leading zeros."""
     path = scratch(spark, "bad-log")
-    sql = _LINE.replace("{bad", "\x00bad").format(tab="'\t'").replace("\x00bad", "{bad")
+    sql = _LINE.replace("TAB", "'\t'").replace("NBSP", "'\u00a0'")
     table(spark, sf_dir, "events").select(F.expr(sql).alias("value")).write.text(path)
     inv = read_invocations(spark, path)
-    return inv.groupBy("session_id", "command").agg(F.count(F.lit(1)).alias("calls"), F.sum("stdout_lines").alias("raw_lines"))
+    return inv.groupBy("session_id", "command", "cwd").agg(F.count(F.lit(1)).alias("calls"), F.sum("stdout_lines").alias("raw_lines"))
 
 
 @register("cases_roundtrip", """

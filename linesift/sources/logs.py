@@ -2,14 +2,19 @@
 
 Layouts read:
 * the tool's own layout: one ``<session>.jsonl`` file per session, chosen by the
-  file's stem whatever the records inside say;
-* our sink's layout: ``day=<date>/part-*`` (written by ``write_invocations``),
-  where a time range prunes folders and a session is chosen by the id inside
-  the record.  Ids never become folder names.
-
-Every line is read as text and parsed field by field (``try_parse_json``): a
-mistyped field is NULL, a line that is no JSON object is skipped, in batch and in
-streams alike.
+  file's stem whatever the records inside say; only that file is listed and read;
+* our sink's layout: ``day=<date>/part-*`` (written by ``write_invocations``), or
+  ``day=<date>/bucket=<k>-of-<n>/part-*`` with sessions hashed to buckets; a time
+  range prunes days, a session its bucket, and is chosen by the id inside the
+  record.  Ids never become folder names.
+
+Every line is read as text and parsed field by field (``try_parse_json``), in batch
+and in streams alike: a line is one JSON object as Python's ``json.loads`` takes it
+after ``strip`` (Unicode white space around it, keys that repeat, of which the last
+counts, NaN and infinities).  A mistyped field, and a number that is none, is NULL (
+3.0 and "3" are a 3);
+any other line is skipped.  Repeated keys ask for the session's
+``spark.sql.variant.allowDuplicateKeys``, which the readers switch on.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import token_estimate
+from ..functions.text import py_strip, token_estimate
 
 # The invocation record (13 fixed + 2 optional fields), read leniently.
 INVOCATION_SCHEMA = T.StructType([
@@ -68,14 +73,31 @@ MESSAGE_EVENT_SCHEMA = T.StructType([
 CASE_SCHEMA = T.StructType([T.StructField("command", T.StringType()),
                             T.StructField("args", T.ArrayType(T.StringType()))])
 
-# White space around a line's JSON.
-_BLANK = " \t\n\r\x0b\x0c"
+# Tokens that json.loads takes for numbers and JSON has not; strings are skipped.
+_STRING_OR_NAN = '("(?:[^"\\\\]|\\\\.)*+")|(-?Infinity|NaN)'
+_MARK = "\x01"                   # stands in no JSON text, where control characters are escaped
+
+
+def _text(value: Column) -> Column:
+    """The stripped line with null for NaN and infinities outside strings."""
+    line = py_strip(value)
+    marked = F.regexp_replace(line, _STRING_OR_NAN, f"$1{_MARK}$2")
+    fixed = F.regexp_replace(F.replace(marked, F.lit(f'"{_MARK}'), F.lit('"')), f"{_MARK}(-?Infinity|NaN)", "null")
+    return F.when((line.contains("NaN") | line.contains("Infinity")) & ~line.contains(_MARK), fixed).otherwise(line)
 
 
 def json_object(value: Column) -> Column:
-    """The line as a VARIANT if it is a JSON object, else NULL."""
-    v = F.try_parse_json(F.btrim(value, F.lit(_BLANK)))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    """The line as a VARIANT if it is one JSON object and nothing else, else NULL.
+    (The parser stops after a value; inside brackets it must come to their end.)"""
+    line = _text(value)
+    v = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    one = line.startswith("{") & line.endswith("}") & F.try_variant_get(v, "$[1]", "variant").isNull()
+    closed = F.when(line.rlike("\\}\\s*\\]"), F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}"))).isNotNull()).otherwise(True)
+    return F.when(one & closed, F.try_variant_get(v, "$[0]", "variant"))
+
+
+def _allow_repeated_keys(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
 def _field(v: Column, f: T.StructField) -> Column:
@@ -98,19 +120,27 @@ def read_invocations(spark: SparkSession, path: str, session_id: str | None = No
                      since=None, until=None) -> DataFrame:
     """S1 (+ S2 session, S3 inclusive time range).  Blank lines, bad JSON and
     lines that are no object give no row; every other line gives one."""
+    _allow_repeated_keys(spark)
     raw = spark.read.text(path)
-    if "day" in raw.columns:                                     # our sink's folders: prune days
+    if "day" in raw.columns:                                     # our sink's folders: prune days and buckets
         day = F.col("day").cast("string")
         if since is not None:
             raw = raw.where((day != "unknown") & (day >= F.date_format(F.lit(since).cast("timestamp"), "yyyy-MM-dd")))
         if until is not None:
             raw = raw.where((day == "unknown") | (day <= F.date_format(F.lit(until).cast("timestamp"), "yyyy-MM-dd")))
-    raw = raw.select("value", F.col("_metadata.file_name").alias("_file"))
-    df = _parse_invocations(raw, ("_file",))
-    if session_id is not None:
-        own = F.col("_file").endswith(".jsonl")                  # a file per session
-        df = df.where(F.when(own, F.col("_file") == f"{session_id}.jsonl").otherwise(F.col("session_id") == session_id))
-    df = df.drop("_file")
+        if session_id is not None and "bucket" in raw.columns:
+            n = F.substring_index("bucket", "-of-", -1).cast("int")
+            raw = raw.where(F.col("bucket") == _bucket(F.lit(session_id), n))
+        df = _parse_invocations(raw.select("value"))
+        if session_id is not None:
+            df = df.where(F.col("session_id") == session_id)
+    elif session_id is None:
+        df = _parse_invocations(raw.select("value"))
+    elif "/" in session_id:                                      # no file has such a name
+        df = _parse_invocations(raw.select("value").limit(0))
+    else:                                                        # a file per session
+        named = spark.read.option("pathGlobFilter", _glob(session_id) + ".jsonl").text(path)
+        df = _parse_invocations(named.select("value"))
     if since is not None:
         df = df.where(F.col("ts").isNotNull() & (F.col("ts") >= F.lit(since).cast("timestamp")))
     if until is not None:
@@ -118,10 +148,20 @@ def read_invocations(spark: SparkSession, path: str, session_id: str | None = No
     return df
 
 
+def _bucket(session_id: Column, n: Column) -> Column:
+    return F.concat(F.pmod(F.xxhash64(F.coalesce(session_id, F.lit(""))), n).cast("string"), F.lit("-of-"), n.cast("string"))
+
+
+def _glob(name: str) -> str:
+    """A file name pattern that matches ``name`` alone."""
+    return "".join("\\" + c if c in "\\[]{}*?,^-" else c for c in name)
+
+
 def stream_invocations(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Tail a log directory as a stream, parsed as in S1.  Producers must add
     new files (``write_invocations`` does); Spark's file source treats a seen
     file as final."""
+    _allow_repeated_keys(spark)
     r = spark.readStream.option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -146,19 +186,23 @@ def to_log_records(facts: DataFrame) -> DataFrame:
                       for n in names])
 
 
-def write_invocations(records: DataFrame, path: str) -> None:
+def write_invocations(records: DataFrame, path: str, buckets: int | None = None) -> None:
     """K1: append records as JSON lines, one folder per UTC day (NULL fields are
     omitted by the JSON writer).  The session id stays inside the record.  No
     repartition: every task writes its own file per day it holds, so a hot
-    session or day is spread over tasks."""
+    session or day is spread over tasks.  With ``buckets``, sessions are hashed to so
+    many folders of each day, of which a session's reader opens one; a folder must be
+    written with or without buckets throughout."""
     day = F.coalesce(F.date_format(parse_ts(F.col("timestamp")), "yyyy-MM-dd"), F.lit("unknown"))
-    records.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
+    folders = {"day": day} | ({"bucket": _bucket(F.col("session_id"), F.lit(buckets))} if buckets else {})
+    records.withColumns(folders).write.mode("append").partitionBy(*folders).json(path)
 
 
 def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every worded line of every JSONL file with its 0-based position:
     ``file, line_no, value``.  Files are split like any text input; a split's
     lines are numbered from the counts of the file's earlier splits."""
+    _allow_repeated_keys(spark)
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"), "value")
@@ -167,12 +211,13 @@ def read_jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select("file", "block", "first", before.alias("before"))
     d = lines.join(blocks, ["file", "block"])
     return d.select("file", (F.col("before") + F.col("row") - F.col("first")).alias("line_no"), "value") \
-        .where(F.btrim("value", F.lit(_BLANK)) != "")
+        .where(py_strip(F.col("value")) != "")
 
 
 def _run_id(file: Column) -> Column:
-    """Run id of a log file: its stem."""
-    return F.regexp_extract(file, "([^/]+?)(\\.[^./]*)?$", 1)
+    """Run id of a log file: its stem (paths in ``_metadata`` are percent-escaped)."""
+    name = F.regexp_extract(file, "([^/]+?)(\\.[^./]*)?$", 1)
+    return F.coalesce(F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), name)
 
 
 def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -181,7 +226,7 @@ def _events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return lines.select(
         F.coalesce(F.try_variant_get("_v", "$.run_id", "string"), _run_id(F.col("file"))).alias("run_id"),
         F.coalesce(F.try_variant_get("_v", "$.line_no", "bigint"), F.col("line_no")).alias("line_no"),
-        F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).select("run_id", "line_no", "e.*")
+        F.from_json(_text(F.col("value")), schema, {"mode": "PERMISSIVE"}).alias("e")).select("run_id", "line_no", "e.*")
 
 
 def read_thread_events(spark: SparkSession, path: str) -> DataFrame:

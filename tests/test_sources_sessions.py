@@ -7,7 +7,7 @@ import random
 import tempfile
 
 from linesift.operators.sessions import resolve_session_id, session_facts, sessionize
-from linesift.sources.logs import read_cases, read_documents, read_invocations
+from linesift.sources.logs import read_cases, read_documents, read_invocations, write_invocations
 
 
 def _write(path, text):
@@ -156,3 +156,53 @@ def test_driver_contract(spark):
     df = e.entry(spark)
     rows = df.collect()
     assert len(rows) > 0 and "command" in df.columns and "saved_tokens_estimate" in df.columns
+
+
+LINES = ['{"command":"a","stdout_lines":1}', '{"command":"b","command":"c"}', '{"command":"d","stdout_lines":NaN}', ' {"command":"e"} ',
+         '{"command":"f","cwd":"NaN and \\"Infinity\\"","exit_code":-Infinity}', '{"command":"g"} x', '{"command":"h"} {"command":"i"}', '{"command":"j"}] }',
+         '{"command":"k"}} ]', '{"command":"l","args":[{"x":1}]}', '{"command":"m","args":["}]"]}', "{'command':'n'}", '{"command":"o",}', "", "  ", "7", "[]",
+         '["{}"]', '{"command":"p","cwd":"tab\tinside"}', "{}", '{"command":"q","stdout_lines":"3"}', '{"command":"r","x":{"a":1,"a":2}}',
+         '{"command":"s"},{"command":"t"}', '{"command":"u","cwd":"\\u0001NaN"}']
+
+
+def test_log_lines_as_python_reads_them(spark, tmp_path):
+    import json
+    (tmp_path / "one.jsonl").write_text("\n".join(LINES), encoding="utf-8")
+    want = []
+    for line in LINES:
+        try:
+            record = json.loads(line.strip())
+        except ValueError:
+            continue
+        if isinstance(record, dict):
+            n = record.get("stdout_lines")
+            want.append((record.get("command"), record.get("cwd"), int(n) if isinstance(n, (int, str)) else None))
+    got = [(r.command, r.cwd, r.stdout_lines) for r in read_invocations(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sessions_of_any_name(spark, tmp_path):
+    """The tool's layout reads one file, chosen by its stem; our sink's reads one
+    bucket of each day."""
+    names = ["a b", "x%y", "a+b", "[z]*", "{p,q}", "ü", "ab", "007", "7", "back\\slash", "q?", "x%20y", "x y"]
+    for n in names:
+        (tmp_path / f"{n}.jsonl").write_text('{"session_id":"inside","command":"c %s"}\n' % n.replace("\\", "/"), encoding="utf-8")
+    (tmp_path / "ab.txt").write_text('{"command":"other"}\n')
+    for n in names:
+        df = read_invocations(spark, str(tmp_path), session_id=n)
+        assert [r.command for r in df.collect()] == [f"c {n}".replace("\\", "/")], n
+        assert len(df.inputFiles()) == 1
+    assert read_invocations(spark, str(tmp_path), session_id="a/b").count() == 0
+    assert read_invocations(spark, str(tmp_path), session_id="none").count() == 0
+    ids = [*names, "a/b", "p:q", None]
+    records = spark.createDataFrame([(f"2026-01-0{d + 1}T00:00:00+00:00", i, "c", d) for i in ids for d in range(3)],
+                                    "timestamp string, session_id string, command string, stdout_lines long")
+    for buckets in (None, 4):
+        path = str(tmp_path / f"sink-{buckets}")
+        write_invocations(records, path, buckets)
+        for i in ids[:-1]:
+            df = read_invocations(spark, path, session_id=i, since="2026-01-02 00:00:00")
+            assert sorted((r.session_id, r.stdout_lines) for r in df.collect()) == [(i, 1), (i, 2)], i
+        assert read_invocations(spark, path).count() == len(records.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
