@@ -87,6 +87,28 @@ def row_key(id_col: str, text_col: str) -> Column:
                              F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.md5(F.col(text_col)))))
 
 
+FILTER_WORDS = 1 << 18          # words of 62 bits of a row filter: 16 million bits
+
+
+def likely_rows(df: DataFrame, hashed: Column, keys: DataFrame, keys_hashed: Column, n_keys: int) -> DataFrame:
+    """The rows of ``df`` whose 64-bit hash may be that of one of ``keys``: a bitmap of
+    at most FILTER_WORDS rows is broadcast, so that a join that follows shuffles few
+    other rows.  It loses none.  Beyond 16 keys a word it would pass most rows, and
+    ``df`` comes back as it is."""
+    if n_keys > 16 * FILTER_WORDS:
+        return df
+    word, bits = fresh(df, "_word", "_bits")
+
+    def place(h: Column) -> tuple[Column, Column]:
+        bit = F.pow(F.lit(2.0), F.pmod(h, F.lit(62))).cast("long")
+        return F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)), bit
+
+    at, bit = place(keys_hashed)
+    have = keys.select(at.alias(word), bit.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
+    at, bit = place(hashed)
+    return df.withColumn(word, at).join(F.broadcast(have), word).where(F.col(bits).bitwiseAND(bit) != 0).drop(word, bits)
+
+
 def salts(count: Column, least: int = 512) -> Column:
     """Into how many parts a group of ``count`` rows is cut: parts of at most
     max(least, sqrt(count)) rows, so neither a part nor the list of a group's

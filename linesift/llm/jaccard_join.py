@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, binary, fresh
+from .common import Scratch, binary, fresh, likely_rows
 from .components import components
 
 WORDS = 5
@@ -425,8 +425,10 @@ def jaccard_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                        .select("s", "n", "first.id", "first.h"), "one")
     posting = known.select("s", F.explode("prefix").alias("token")).select("token", "s")
     chosen = scratch.keep(one.join(_candidates(posting, one.select("s", "n"), scratch, percent), "s"), "chosen")
-    texts = scratch.keep(d.join(chosen.select("s", F.col("id").alias("mid"), F.col("h").alias("mh")), F.col("id").eqNullSafe(F.col("mid"))
-                                & (F.col("h") == F.col("mh"))).select("s", "text").dropDuplicates(["s"]), "texts")
+    firsts = chosen.select("s", F.col("id").alias("mid"), F.col("h").alias("mh"))
+    theirs = likely_rows(d, F.xxhash64("id", "h"), firsts, F.xxhash64("mid", "mh"), chosen.count())     # few other texts are shuffled
+    texts = scratch.keep(theirs.join(firsts, F.col("id").eqNullSafe(F.col("mid")) & (F.col("h") == F.col("mh")))
+                         .select("s", "text").dropDuplicates(["s"]), "texts")
     scratch.free_shuffles()
     members = scratch.keep(chosen.join(_blocks(texts, chosen, scratch, words, percent), "s"), "members")
     found = components(_block_links(texts, members.select("s", "n", "block"), scratch, words, percent), scratch, "links")

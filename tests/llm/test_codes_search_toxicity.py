@@ -283,3 +283,16 @@ def test_term_selection_bounds_the_sample(spark):
     x = d.selectExpr("doc_id AS id", "CAST(text AS BINARY) AS text")
     machine, slots, _ = toxicity._learn(x, y, Scratch(spark, "t"), "doc_id", "toxic", 100)
     assert machine is not None and 0 < (slots >= 0).sum() <= toxicity.TERMS
+
+
+# helpers ---------------------------------------------------------------------------------------------------------
+
+def test_row_filter_loses_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from linesift.llm.common import likely_rows
+    df = spark.range(20_000).withColumnRenamed("id", "_word")
+    keys = df.where("_word % 50 = 7")
+    got = {r[0] for r in likely_rows(df, F.xxhash64("_word"), keys, F.xxhash64("_word"), 400).collect()}
+    assert {k for k in range(20_000) if k % 50 == 7} <= got and len(got) < 1000
+    assert likely_rows(df, F.xxhash64("_word"), keys, F.xxhash64("_word"), 1 << 40) is df
