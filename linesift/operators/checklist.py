@@ -4,6 +4,10 @@ Input ``docs(doc_id, text)``.  A ``## Phase ...`` heading opens a phase (other
 ``## `` headings do not close it); a task is ``- [ ] title`` / ``- [x] title``
 (marker space, x or X at column 0, exactly one space after ``]``, non-empty
 title) inside a phase.  Lines are 1-based, split as str.splitlines.
+
+A document is its id and text: documents that share an id, or have none, are told
+apart by their texts, and rows equal in both are one document (C1, C2), whose status
+every such row gets (C3, K4).
 """
 
 from __future__ import annotations
@@ -13,25 +17,37 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_rstrip, py_strip
 from .lines import to_lines
-from .scan import CHUNK_COL, segmented_scan
+from .scan import CHUNK_COL, WRAPPED, segmented_scan
+
+
+_DOC = "_document"
+
+
+def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Add the document's identity, which is never NULL."""
+    return docs.withColumn(_DOC, F.struct(F.col(key).alias(WRAPPED), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text")))
+
 
+def _id(key: str):
+    return F.col(f"{_DOC}.{WRAPPED}").alias(key)
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+
+def _lines(docs: DataFrame, text: str) -> DataFrame:
     """One pass over the lines: phase/task flags and the running phase index."""
-    lines = to_lines(docs.select(F.col(key).alias("output_id"), F.col(text).alias("stdout")), universal=True)
-    lines = lines.select(F.col("output_id").alias(key), (F.col("line_no") + 1).alias("line"),
+    lines = to_lines(docs.select(F.col(_DOC).alias("output_id"), F.col(text).alias("stdout")), universal=True)
+    lines = lines.select(F.col("output_id").alias(_DOC), (F.col("line_no") + 1).alias("line"),
                          py_rstrip(F.col("line")).alias("raw"))
     heading = F.col("raw").startswith("## ")
     head_title = py_strip(F.substring(F.col("raw"), 4, 1 << 30))
     is_phase = heading & head_title.startswith("Phase ")
     lines = lines.withColumns({"_heading": heading, "_phase": is_phase.cast("int"), "_htitle": head_title})
-    lines = segmented_scan(lines, [key], "line", running_sum={"phase_index": F.col("_phase")}).drop(CHUNK_COL)
+    lines = segmented_scan(lines, [_DOC], "line", running_sum={"phase_index": F.col("_phase")}, distinct=True).drop(CHUNK_COL)
     marker = F.lower(F.substring("raw", 4, 1))
     title = py_strip(F.substring("raw", 7, 1 << 30))
     task = (~F.col("_heading") & F.col("raw").startswith("- [") & (F.length("raw") >= 7)
             & marker.isin(" ", "x") & (F.substring("raw", 5, 1) == "]") & (F.substring("raw", 6, 1) == " ")
             & (F.col("phase_index") > 0) & (title != ""))
-    return lines.select(key, "phase_index", "line", (F.col("_phase") == 1).alias("is_phase"),
+    return lines.select(_DOC, "phase_index", "line", (F.col("_phase") == 1).alias("is_phase"),
                         F.col("_htitle").alias("phase_title"), task.alias("is_task"),
                         F.when(task, title).alias("title"), (task & (marker == "x")).alias("done"))
 
@@ -42,9 +58,9 @@ def checklist_tasks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     phases: ``doc_id, phase_index, title, line``;
     tasks:  ``doc_id, phase_index, title, done, line``.
     """
-    lines = _lines(docs, key, text)
-    phases = lines.where("is_phase").select(key, "phase_index", F.col("phase_title").alias("title"), "line")
-    tasks = lines.where("is_task").select(key, "phase_index", "title", "done", "line")
+    lines = _lines(_documents(docs, key, text), text)
+    phases = lines.where("is_phase").select(_id(key), "phase_index", F.col("phase_title").alias("title"), "line")
+    tasks = lines.where("is_task").select(_id(key), "phase_index", "title", "done", "line")
     return phases, tasks
 
 
@@ -53,15 +69,19 @@ def checklist_phases(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     One hash aggregate over the phase and task lines (a phase row carries the
     title and line, task rows the counts), so the lines are scanned once."""
-    lines = _lines(docs, key, text).where(F.col("is_phase") | F.col("is_task"))
+    return _phases(_documents(docs, key, text), text).select(_id(key), "*").drop(_DOC)
+
+
+def _phases(docs: DataFrame, text: str) -> DataFrame:
+    lines = _lines(docs, text).where(F.col("is_phase") | F.col("is_task"))
     open_t = F.col("is_task") & ~F.col("done")
-    agg = lines.groupBy(key, "phase_index").agg(
+    agg = lines.groupBy(_DOC, "phase_index").agg(
         F.max(F.when(F.col("is_phase"), F.col("phase_title"))).alias("title"),
         F.max(F.when(F.col("is_phase"), F.col("line"))).alias("line"),
         F.count_if("is_task").alias("total_tasks"), F.count_if("done").alias("completed_tasks"),
         F.min_by(F.when(open_t, F.col("title")), F.when(open_t, F.col("line"))).alias("next_task"),
         F.min(F.when(open_t, F.col("line"))).alias("next_task_line"))
-    return agg.select(key, "phase_index", "title", "line", "total_tasks", "completed_tasks",
+    return agg.select(_DOC, "phase_index", "title", "line", "total_tasks", "completed_tasks",
                       (F.col("total_tasks") - F.col("completed_tasks")).alias("pending_tasks"),
                       ((F.col("total_tasks") > 0) & (F.col("total_tasks") == F.col("completed_tasks"))).alias("completed"),
                       "next_task", "next_task_line")
@@ -71,17 +91,21 @@ def checklist_status(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """Per document: phase count, all-done flag, next task (title, line,
     phase title, phase index) and the current phase (the next task's phase),
     from the per-phase summary (one row per phase)."""
-    ph = checklist_phases(docs, key, text)
-    phase = F.struct(*[c for c in ph.columns if c not in (key, "next_task_line")])
-    per_doc = ph.groupBy(key).agg(
+    return _status(_documents(docs, key, text), text, key).drop(_DOC)
+
+
+def _status(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+    ph = _phases(docs, text)
+    phase = F.struct(*[c for c in ph.columns if c not in (_DOC, "next_task_line")])
+    per_doc = ph.groupBy(_DOC).agg(
         F.count(F.lit(1)).alias("phase_count"),
         F.min_by(F.when(F.col("next_task").isNotNull(), phase),
                  F.when(F.col("next_task").isNotNull(), F.col("phase_index"))).alias("current_phase"),
         F.min_by(F.when(F.col("next_task").isNotNull(), F.col("next_task_line")),
                  F.when(F.col("next_task").isNotNull(), F.col("phase_index"))).alias("_line"))
-    d = docs.select(F.col(key)).join(per_doc, key, "left")
+    d = docs.select(_DOC, *columns).join(per_doc, _DOC, "left")
     return d.select(
-        key, F.coalesce("phase_count", F.lit(0).cast("long")).alias("phase_count"),
+        _DOC, *columns, F.coalesce("phase_count", F.lit(0).cast("long")).alias("phase_count"),
         F.col("current_phase").isNull().alias("all_tasks_done"),
         F.col("current_phase.next_task").alias("next_task_title"), F.col("_line").alias("next_task_line"),
         F.col("current_phase.title").alias("next_task_phase"),
@@ -92,13 +116,13 @@ def checklist_json(docs: DataFrame, key: str = "doc_id", text: str = "text", pat
     """K4: one JSON object per document: phase count, all-done flag, current phase,
     next task, all phases in order (a list as long as the document has phases),
     and the document's path if there is such a column."""
-    status = checklist_status(docs, key, text)
-    phases = checklist_phases(docs, key, text).drop("next_task_line")
-    own = F.struct(*[c for c in phases.columns if c != key])
-    listed = phases.groupBy(key).agg(F.array_sort(F.collect_list(own)).alias("phases"))
-    d = status.join(listed, key, "left")
+    named = _documents(docs, key, text)
+    phases = _phases(named, text).drop("next_task_line")
+    own = F.struct(*[c for c in phases.columns if c != _DOC])
+    listed = phases.groupBy(_DOC).agg(F.array_sort(F.collect_list(own)).alias("phases"))
     if path:
-        d = d.join(docs.select(F.col(key), F.col(path).alias("tasklist_path")), key, "left")
+        named = named.withColumn("tasklist_path", F.col(path))
+    d = _status(named, text, key, *(["tasklist_path"] if path else [])).join(listed, _DOC, "left")
     task = F.when(F.col("next_task_title").isNotNull(), F.struct(
         F.col("next_task_title").alias("title"), F.col("next_task_line").alias("line"), F.col("next_task_phase").alias("phase"),
         F.col("next_task_phase_index").alias("phase_index")))

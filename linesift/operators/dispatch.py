@@ -29,6 +29,7 @@ from .hits import compact_search_hits
 from .lines import binary_flag, text_column
 from .listing import compact_listing
 from .runs import collapse_runs
+from .scan import keeps_null_keys, unwrap_keys, wrap_key
 from .vcs import cap_log_entries, classify_vcs, compact_diff
 
 # Fixed command routing of the reference.
@@ -59,6 +60,7 @@ def _unchanged(lines: DataFrame) -> DataFrame:
                         F.lit(0).cast("long").alias("n_omitted"))
 
 
+@keeps_null_keys("lines")
 def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
             options: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
     """Compacted rows (D3) for every output of ``lines``.
@@ -110,7 +112,7 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
             document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big), **o.get("view", {}))]
 
     for cmd, fn in sorted((strategies or {}).items()):
-        out.append(fn(part("x:" + cmd).select(*base)).select(*D3))
+        out.append(wrap_key(fn(unwrap_keys(part("x:" + cmd).select(*base))).select(*D3), "output_id"))
 
     res = out[0].select(*D3)
     for o in out[1:]:

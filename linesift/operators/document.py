@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact_hint, py_lstrip, py_strip, ws_lstrip, ws_rstrip, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, keeps_null_keys, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 CAT_LIMIT = 100
@@ -45,6 +45,7 @@ def _d3(df: DataFrame, seq, kind, src, line, omitted) -> DataFrame:
                      omitted.cast("long").alias("n_omitted"))
 
 
+@keeps_null_keys("lines", "files")
 def document_view(lines: DataFrame, files: DataFrame, limit: int = CAT_LIMIT, key: str = "output_id",
                   marker: str = DEFAULT_MARKER, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T12.  ``files(output_id, filename, total_lines)``: filename may be NULL
@@ -67,6 +68,7 @@ def document_view(lines: DataFrame, files: DataFrame, limit: int = CAT_LIMIT, ke
     return rows.unionByName(notes)
 
 
+@keeps_null_keys("compacted")
 def resume_points(compacted: DataFrame) -> DataFrame:
     """QUIRK 6, correct column: for every document view that was cut (it has a
     continuation note), ``resume_line_no`` = 1-based source line after the last
@@ -82,6 +84,7 @@ def is_entry(stripped: Column) -> Column:
     return stripped.startswith("class ") | stripped.startswith("def ") | stripped.startswith("async def ")
 
 
+@keeps_null_keys("lines", "entries")
 def outline_hints(lines: DataFrame, entries: DataFrame, lookahead: int = HINT_LOOKAHEAD,
                   hint_chars: int = HINT_CHARS) -> DataFrame:
     """T14 for the given entry rows ``(output_id, line_no, line)``.
@@ -160,6 +163,7 @@ def outline_hints(lines: DataFrame, entries: DataFrame, lookahead: int = HINT_LO
     return d.select("output_id", F.col("e_no").alias("line_no"), hint.alias("hint"))
 
 
+@keeps_null_keys("lines", "files")
 def outline(lines: DataFrame, files: DataFrame, key: str = "output_id", marker: str = DEFAULT_MARKER,
             chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T13 + T14: outline rows (D3) for every output of ``lines``;

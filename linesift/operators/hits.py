@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import eol_strip, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, keeps_null_keys, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 MATCH_CAP = 5
@@ -52,6 +52,7 @@ def classify_hits(lines: DataFrame, key: str = "output_id") -> DataFrame:
         F.when(is_hit, ws_strip(F.regexp_extract(raw, HIT_RE, 3))).alias("text_key"))
 
 
+@keeps_null_keys("classified")
 def hit_status(classified: DataFrame, cap: int = MATCH_CAP, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Hits with ``rank`` (of their text among the file's distinct texts),
     ``first`` and ``status`` ('kept', 'duplicate', 'over_cap')."""
@@ -65,6 +66,7 @@ def hit_status(classified: DataFrame, cap: int = MATCH_CAP, chunk_rows: int = DE
     return h.withColumns({"first": first, "status": status})
 
 
+@keeps_null_keys("lines")
 def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = CONTEXT_LINES,
                         key: str = "output_id", marker: str = DEFAULT_MARKER,
                         chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
@@ -107,6 +109,7 @@ def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = C
     return body.unionByName(notes)
 
 
+@keeps_null_keys("status")
 def search_hit_summary(status: DataFrame, marker: str = DEFAULT_MARKER, hints: int = LINE_HINTS) -> DataFrame:
     """T4: per (output, file): kept/total, duplicates, over-cap count, the first
     ``hints`` over-cap line numbers with "(+k more)", and the note text."""

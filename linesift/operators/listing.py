@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import eol_strip, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import materialize
+from .scan import keeps_null_keys, materialize
 
 # Fixed values that must equal the reference's for equal results.
 LISTING_MAX_ENTRIES = 40
@@ -39,6 +39,7 @@ def group_label(entry: Column) -> Column:
             .otherwise(F.lower(F.concat(F.lit("."), F.substring_index(base, ".", -1)))))
 
 
+@keeps_null_keys("lines")
 def parse_listing(lines: DataFrame, key: str = "output_id") -> DataFrame:
     """Per line ``entry`` (NULL when skipped) and the per-output
     ``passthrough`` flag (any ``total`` or long-format line)."""
@@ -59,6 +60,7 @@ def dedup_listing(parsed: DataFrame) -> DataFrame:
             .groupBy("output_id", "entry").agg(F.min("line_no").alias("first_line")))
 
 
+@keeps_null_keys("unique")
 def sample_groups(unique: DataFrame, max_entries: int = LISTING_MAX_ENTRIES,
                   per_group: int = GROUP_SAMPLE_CAP) -> tuple[DataFrame, DataFrame]:
     """(groups, samples).  groups: ``output_id, label, size, g`` (1-based
@@ -73,6 +75,7 @@ def sample_groups(unique: DataFrame, max_entries: int = LISTING_MAX_ENTRIES,
     return groups, s.where(F.col("p") <= max_entries)
 
 
+@keeps_null_keys("lines")
 def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, per_group: int = GROUP_SAMPLE_CAP,
                     key: str = "output_id", marker: str = DEFAULT_MARKER) -> DataFrame:
     """T7 + T8 + T9 -> compacted rows (D3)."""

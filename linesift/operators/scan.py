@@ -31,10 +31,13 @@ come first in their group: no row is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import functools
+import inspect
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHUNK_COL = "_chunk"
 DEFAULT_CHUNK_ROWS = 1 << 16
@@ -84,6 +87,9 @@ def null_safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[
     that plain equi-joins and partitionings keep the rows with NULL keys."""
     cols, names = {}, []
     for i, k in enumerate(keys):
+        if is_wrapped(df.schema[k]):
+            names.append(k)
+            continue
         kind = df.schema[k].dataType.simpleString()
         value = F.coalesce(F.col(k), F.lit(_ZERO[kind]).cast(kind)) if kind in _ZERO else F.coalesce(F.col(k).cast("string"), F.lit(""))
         cols |= {f"_key{i}": value, f"_null{i}": F.col(k).isNull()}
@@ -91,6 +97,49 @@ def null_safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[
     return df.withColumns(cols), names
 
 
+# The first field of a struct that stands for a key: such a struct is never NULL, and
+# equal to another exactly where the keys are equal or both NULL.
+WRAPPED = "_k"
+
+
+def is_wrapped(f: StructField) -> bool:
+    return isinstance(f.dataType, StructType) and f.dataType.names[:1] == [WRAPPED]
+
+
+def wrap_key(df: DataFrame, key: str) -> DataFrame:
+    return df if is_wrapped(df.schema[key]) else df.withColumn(key, F.struct(F.col(key).alias(WRAPPED)))
+
+
+def unwrap_keys(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.col(f"{f.name}.{WRAPPED}") for f in df.schema.fields if is_wrapped(f)})
+
+
+def keeps_null_keys(*frames: str) -> Callable:
+    """For operators that join on ``output_id`` (or their ``key``): the arguments
+    named get their key wrapped, so plain equi-joins keep the rows of a NULL key as an
+    output of its own; the results get it back.  Inside another such operator keys are
+    wrapped already, and stay so."""
+    def deco(fn: Callable) -> Callable:
+        shape = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def run(*args, **kwargs):
+            given = shape.bind(*args, **kwargs)
+            given.apply_defaults()
+            keys = {}
+            for f in frames:
+                df, key = given.arguments[f], given.arguments.get("key", "output_id")
+                keys[f] = key if key in df.columns else "output_id"
+            if all(is_wrapped(given.arguments[f].schema[k]) for f, k in keys.items()):
+                return fn(*given.args, **given.kwargs)
+            for f, k in keys.items():
+                given.arguments[f] = wrap_key(given.arguments[f], k)
+            out = fn(*given.args, **given.kwargs)
+            return tuple(map(unwrap_keys, out)) if isinstance(out, tuple) else unwrap_keys(out)
+        return run
+    return deco
+
+
 def with_chunk(df: DataFrame, pos: str, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add the chunk column (no-op if present)."""
     if CHUNK_COL in df.columns:
@@ -109,6 +158,7 @@ def segmented_scan(
     next_min: Mapping[str, Column] | None = None,
     total_sum: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """Add ordered-scan columns over ``keys`` ordered by ``pos``.
 
@@ -118,7 +168,8 @@ def segmented_scan(
     * ``total_sum``    out -> expr: sum over the whole key.
     * ``previous``     out -> column: value of that column on the previous row.
 
-    ``pos`` must be unique within a key.  ``previous`` follows the previous
+    ``pos`` must be unique within a key; with ``distinct``, rows that repeat a
+    position are the same row and count once.  ``previous`` follows the previous
     existing row, so positions need not be dense.
     """
     running_sum = dict(running_sum or {})
@@ -134,7 +185,10 @@ def segmented_scan(
             name = f"_v_{out}"
             tmp[out] = name
             d = d.withColumn(name, expr)
-    d = materialize(d.repartition(*keys, CHUNK_COL))
+    d = d.repartition(*keys, CHUNK_COL)
+    if distinct:
+        d = d.dropDuplicates([*keys, CHUNK_COL, pos])            # inside the partitions: no shuffle
+    d = materialize(d)
 
     aggs = []
     for out in running_sum:
@@ -189,4 +243,4 @@ def segmented_scan(
     d = d.withColumns(dict(outs))
     drop = [c for c in d.columns if c.startswith(("_v_", "_s_", "_m_", "_r_", "_t_", "_p_",
                                                     "_cs_", "_cm_", "_cr_", "_ct_", "_cp_"))]
-    return d.drop(*drop, *keys)
+    return d.drop(*drop, *(k for k in keys if k.startswith(("_key", "_null"))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_commit_header, is_oneline_commit, strip_graph, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, keeps_null_keys, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 LOG_MAX_ENTRIES = 20
@@ -45,6 +45,7 @@ def classify_vcs(lines: DataFrame, key: str = "output_id") -> DataFrame:
                       .alias("shape"))
 
 
+@keeps_null_keys("lines")
 def cap_log_entries(lines: DataFrame, max_entries: int = LOG_MAX_ENTRIES, key: str = "output_id",
                     chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Keep the first ``max_entries`` commit entries with all their lines.
@@ -88,6 +89,7 @@ HUNK_HEADER_RE = "^@@ -\\d+(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@"
 FILES_NOTE = "{marker} {n} files changed — file headers compressed\n"
 
 
+@keeps_null_keys("lines")
 def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int = DIFF_CONTEXT,
                  multifile: int = DIFF_MULTIFILE, key: str = "output_id", marker: str = DEFAULT_MARKER,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
