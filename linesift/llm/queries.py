@@ -79,7 +79,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
-@query(r"""
+# What SQL can say of op7's result: all but the shards, which its tree draws (tests/llm holds them).
+MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || CASE WHEN text IS NULL THEN 'null' ELSE md5(text) END) || 'mix-1') AS place
@@ -98,10 +99,13 @@ r AS (SELECT d.doc_id, d.size, t.words, t.target, t.whole, t.target - t.whole *
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, words AS source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
-""")
+"""
+
+
+@query()
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents")) \
-        .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+        .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 @query()

@@ -405,6 +405,62 @@ def test_quota_tree():
     assert (q == source_mixing.split_quotas(have, 5, 1)).all()
 
 
+def test_subtrees_are_the_tree():
+    have = np.array([70, 3, 1000, 333], np.int64)
+    whole = source_mixing.split_quotas(have, 53, 9)
+    parts = source_mixing.split_tree((0, 53, have), 9, 7)
+    assert all(hi - lo <= 7 for lo, hi, _ in parts) and len(parts) > 7
+    assert np.array_equal(whole, np.concatenate([[h for _, _, h in source_mixing.split_tree(p, 9)] for p in parts]))
+
+
+def test_quotas_follow_the_hypergeometric_distribution():
+    have = np.array([30, 60, 10], np.int64)
+    first = np.array([source_mixing.split_quotas(have, 4, seed)[1] for seed in range(4000)])       # 25 blocks of 100
+    n, total = 25, have.sum()
+    assert np.allclose(first.mean(axis=0), n * have / total, atol=0.15)
+    want = n * have / total * (1 - have / total) * (total - n) / (total - 1)
+    assert np.allclose(first.var(axis=0), want, rtol=0.12)
+
+
+def test_shards_take_disjoint_runs_of_blocks(spark, monkeypatch):
+    """The query's shards hold the tree's quotas, whatever part of the tree tasks split."""
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), "en", f"s{i % 3}" if i % 10 else None, 5) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    monkeypatch.setattr(source_mixing, "BLOCK_DOCS", 10)
+    seen = []
+    for top in (1024, 2):
+        monkeypatch.setattr(source_mixing, "TOP_NODES", top)
+        got = source_mixing.mix_sources(docs, shard_words=700).collect()
+        assert all(len(r["shards"]) == r["copies"] for r in got)
+        seen.append({(r["id"], tuple(r["shards"])) for r in got})
+    assert seen[0] == seen[1]
+    shards = 1 + max(s for r in got for s in r["shards"])
+    assert shards == math.ceil(1.5 * sum(r["size"] for r in got) / 700)
+    words = Counter(s for r in got for s in r["shards"] for _ in range(r["size"]))
+    assert len(words) == shards and max(words.values()) < 2.5 * min(words.values())          # a shard is about as many blocks as another
+
+
+def test_mix_query_equals_its_sql(spark):
+    import duckdb
+
+    from linesift.llm import queries
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = sorted((a, b, c, round(d, 4), e) for a, b, c, d, e in con.execute(queries.MIX_SQL).fetchall())
+    got = queries.op7_source_mixing(spark, sf).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size, round(r.target, 4), r.taken) for r in got) == want
+    assert all(r["size"] * len(r.shards) == r.taken for r in got)
+
+
+def test_one_text_in_two_sources(spark):
+    rows = [(1, "one two three four", "s1"), (1, "one two three four", "s2")] + [(k, f"t{k} u v w", "s1") for k in range(2, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = Counter({(r["id"], r["source"]): r["copies"] for r in source_mixing.mix_sources(docs).collect()})
+    drawn = Counter((r["doc_id"], r["source"]) for r in source_mixing.draw(docs).collect())
+    assert drawn == +mixed and len({s for i, s in drawn if i == 1}) == len([1 for (i, s), n in mixed.items() if i == 1 and n])
+
+
 def test_mix(docs, empty):
     got = source_mixing.mix_sources(docs, shard_words=2000).collect()
     assert len(got) == docs.count()
