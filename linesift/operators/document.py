@@ -14,7 +14,7 @@ line, found within 12 lines (see ``outline_hints``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_hint, py_lstrip, py_strip, ws_lstrip, ws_rstrip, ws_strip
@@ -47,25 +47,31 @@ def _d3(df: DataFrame, seq, kind, src, line, omitted) -> DataFrame:
 
 @keeps_null_keys("lines", "files")
 def document_view(lines: DataFrame, files: DataFrame, limit: int = CAT_LIMIT, key: str = "output_id",
-                  marker: str = DEFAULT_MARKER, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                  marker: str = DEFAULT_MARKER) -> DataFrame:
     """T12.  ``files(output_id, filename, total_lines)``: filename may be NULL
     (no argument: no comment rule, no note)."""
     d = lines.select(F.col(key).alias("output_id"), "line_no", "line").join(files, "output_id", "left")
     stripped = ws_strip(F.col("line"))
     is_py = F.coalesce(F.col("filename").endswith(".py"), F.lit(False))
     keep = (stripped != "") & ~(is_py & stripped.startswith("#"))
-    d = segmented_scan(d.where(keep), ["output_id"], "line_no", chunk_rows=chunk_rows,
-                       running_sum={"_k": F.lit(1)}, total_sum={"_nk": F.lit(1)}).drop(CHUNK_COL)
-    body = d.where(F.col("_k") <= limit)
-    rows = _d3(body, F.col("_k") - 1, "line", F.col("line_no"), F.col("line"), F.lit(0))
-    kept = F.least(F.col("_nk"), F.lit(limit))
-    note_cond = F.col("filename").isNotNull() & (F.col("total_lines") > 0) & (kept >= limit) & (F.col("total_lines") > limit)
+    # the first ``limit`` kept lines: a limit per output before the shuffle, whatever follows
+    w = Window.partitionBy("output_id")
+    d = d.where(keep).withColumn("_k", F.row_number().over(w.orderBy("line_no"))).where(F.col("_k") <= limit)
+    d = d.withColumn("_kept", F.count(F.lit(1)).over(w))
+    kept = F.col("_kept")
+    note_cond = F.coalesce(F.col("filename").isNotNull() & (F.col("total_lines") > 0) & (kept >= limit) & (F.col("total_lines") > limit), F.lit(False))
     note = F.concat(F.lit("\n" + marker + " "), F.col("filename"), F.lit(" has "), F.col("total_lines").cast("string"),
                     F.lit(" lines total — for more: tail -n +"), (kept + 1).cast("string"), F.lit(" "), F.col("filename"),
                     F.lit(f" | head -{limit}\n"))
-    notes = d.where((F.col("_k") == 1) & note_cond)
-    notes = _d3(notes, kept, "note", F.lit(None), note, F.col("total_lines") - kept)
-    return rows.unionByName(notes)
+
+    def row(seq, kind, src, line, omitted):
+        return F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), src.cast("int").alias("src_line_no"), line.alias("line"),
+                        omitted.cast("long").alias("n_omitted"))
+
+    text = row(F.col("_k") - 1, "line", F.col("line_no"), F.col("line"), F.lit(0))
+    more = row(kept, "note", F.lit(None), note, F.col("total_lines") - kept)
+    return d.select("output_id", F.explode(F.when((F.col("_k") == 1) & note_cond, F.array(text, more)).otherwise(F.array(text))).alias("r")) \
+        .select("output_id", "r.*")
 
 
 @keeps_null_keys("compacted")

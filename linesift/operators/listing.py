@@ -11,8 +11,9 @@ the first ``max_entries`` unique entries are returned without a note.
 
 Plan: dedup and group sizes are hash aggregates; the per-group sample uses
 ``row_number() <= per_group`` (planned as a WindowGroupLimit before the
-shuffle, so a huge group costs ``per_group`` rows per task); all later windows
-run over at most ``per_group * groups`` rows per output.
+shuffle, so a huge group costs ``per_group`` rows per task); groups beyond the
+``max_entries`` largest can have no sample and end at the same kind of limit, so all
+later windows run over at most ``per_group * max_entries`` rows per output.
 """
 
 from __future__ import annotations
@@ -60,15 +61,22 @@ def dedup_listing(parsed: DataFrame) -> DataFrame:
             .groupBy("output_id", "entry").agg(F.min("line_no").alias("first_line")))
 
 
+def group_sizes(unique: DataFrame) -> DataFrame:
+    """Unique entries per extension label: ``output_id, label, size``."""
+    return unique.groupBy("output_id", group_label(F.col("entry")).alias("label")).agg(F.count(F.lit(1)).alias("size"))
+
+
 @keeps_null_keys("unique")
-def sample_groups(unique: DataFrame, max_entries: int = LISTING_MAX_ENTRIES,
-                  per_group: int = GROUP_SAMPLE_CAP) -> tuple[DataFrame, DataFrame]:
-    """(groups, samples).  groups: ``output_id, label, size, g`` (1-based
-    order); samples: ``output_id, label, entry, n, p`` with ``p <= max_entries``."""
+def sample_groups(unique: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, per_group: int = GROUP_SAMPLE_CAP,
+                  sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, samples).  groups: ``output_id, label, size, g`` (1-based order) of
+    the ``max_entries`` largest groups, which alone can have a sample: entries are
+    taken in rounds, one of each group in order.  samples: ``output_id, label, entry,
+    n, p`` with ``p <= max_entries``."""
+    sizes = group_sizes(unique) if sizes is None else sizes
+    groups = sizes.withColumn("g", F.row_number().over(Window.partitionBy("output_id").orderBy(F.desc("size"), F.asc("label"))))
+    groups = groups.where(F.col("g") <= max_entries)
     u = unique.withColumn("label", group_label(F.col("entry")))
-    groups = u.groupBy("output_id", "label").agg(F.count(F.lit(1)).alias("size"))
-    groups = groups.withColumn("g", F.row_number().over(
-        Window.partitionBy("output_id").orderBy(F.desc("size"), F.asc("label"))))
     s = u.withColumn("n", F.row_number().over(Window.partitionBy("output_id", "label").orderBy("first_line")))
     s = s.where(F.col("n") <= per_group).join(groups.select("output_id", "label", "g"), ["output_id", "label"])
     s = s.withColumn("p", F.row_number().over(Window.partitionBy("output_id").orderBy("n", "g")))
@@ -85,7 +93,8 @@ def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, pe
     counts = unique.groupBy("output_id").agg(F.count(F.lit(1)).alias("n_unique"))
     facts = facts.join(counts, "output_id", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
-    groups, samples = map(materialize, sample_groups(unique, max_entries, per_group))
+    sizes = materialize(group_sizes(unique))
+    groups, samples = map(materialize, sample_groups(unique, max_entries, per_group, sizes))
     taken = samples.groupBy("output_id", "label").agg(F.count(F.lit(1)).alias("taken"))
     g = groups.join(taken, ["output_id", "label"], "inner")           # groups with a sample are printed
     g = g.withColumns({"omitted": F.col("size") - F.col("taken"),
@@ -96,7 +105,7 @@ def compact_listing(lines: DataFrame, max_entries: int = LISTING_MAX_ENTRIES, pe
     g = materialize(g)
     totals = g.groupBy("output_id").agg((F.sum("_rows") + 1).alias("_grouped_len"), F.sum("taken").alias("_kept"),
                                         F.count(F.lit(1)).alias("_printed"))
-    n_groups = groups.groupBy("output_id").agg(F.count(F.lit(1)).alias("_n_groups"))
+    n_groups = sizes.groupBy("output_id").agg(F.count(F.lit(1)).alias("_n_groups"))
     facts = facts.join(totals, "output_id", "left").join(n_groups, "output_id", "left")
     mode = (F.when(F.col("passthrough") | (F.col("n_unique") == F.col("n_lines")) & (F.col("n_unique") <= max_entries),
                    "verbatim")

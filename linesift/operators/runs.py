@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, materialize, null_safe_keys, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, materialize, null_safe_keys
 
 # Fixed values that must equal the reference's for equal results.
 REPEAT_THRESHOLD = 3
@@ -121,18 +121,14 @@ def collapse_runs(lines: DataFrame, threshold: int = REPEAT_THRESHOLD, limit: in
     return out.select("output_id", "r.seq", "r.kind", "r.src_line_no", "r.line", "r.n_omitted")
 
 
-def truncate_tail(compacted: DataFrame, limit: int = GENERIC_LIMIT, key: str = "output_id",
-                  chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+def truncate_tail(compacted: DataFrame, limit: int = GENERIC_LIMIT, key: str = "output_id") -> DataFrame:
     """T2 alone on any compacted table: keep rows with seq < limit, add the note.
 
-    ``seq`` must be dense 0..n-1 per output (as every operator here emits).
+    ``seq`` must be dense 0..n-1 per output (as every operator here emits), so the
+    kept rows are a filter that reaches the scan; only counts are shuffled.
     """
-    d = segmented_scan(compacted, [key], "seq", chunk_rows=chunk_rows,
-                       total_sum={"_total": F.lit(1)})
-    kept = d.where(F.col("seq") < limit).drop("_total", CHUNK_COL)
-    over = F.col("_total") - F.lit(limit)
-    notes = (d.where((F.col("seq") == 0) & (over > 0))
-             .select(F.col(key), F.lit(limit).cast("long").alias("seq"), F.lit("note").alias("kind"),
-                     F.lit(None).cast("int").alias("src_line_no"), note_text(TRUNCATE_NOTE, over).alias("line"),
-                     over.cast("long").alias("n_omitted")))
-    return kept.select(*notes.columns).unionByName(notes)
+    over = F.count(F.lit(1)) - F.lit(limit)
+    notes = compacted.groupBy(key).agg(over.alias("_over")).where(F.col("_over") > 0).select(
+        F.col(key), F.lit(limit).cast("long").alias("seq"), F.lit("note").alias("kind"), F.lit(None).cast("int").alias("src_line_no"),
+        note_text(TRUNCATE_NOTE, F.col("_over")).alias("line"), F.col("_over").cast("long").alias("n_omitted"))
+    return compacted.where(F.col("seq") < limit).select(*notes.columns).unionByName(notes)
