@@ -14,7 +14,9 @@ three are required) and routes every output by the basename of its command:
 Bypassed (``full``) and binary outputs pass through unchanged.  Extra
 strategies can be registered per command: ``{"mytool": fn}`` with
 ``fn(lines) -> compacted`` (the reference's register decorator, as a mapping).
-Each strategy reads only its slice; the results are one ``unionByName``.
+Each strategy reads only its slice; the results are one ``unionByName``.  Which
+strategies the outputs ask for is looked up first (a distinct count over the command
+column, a row per strategy), and only those are planned and run.
 """
 
 from __future__ import annotations
@@ -88,31 +90,36 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
     def part(name):
         return d.where(F.col("_strategy") == name)
 
-    out = [_unchanged(part("bypass").select(*base)),
-           collapse_runs(part("generic").select(*base), **o.get("generic", {})),
-           compact_search_hits(part("search").select(*base), **o.get("search", {})),
-           compact_listing(part("listing").select(*base), **o.get("listing", {}))]
-
-    vcs = part("vcs").select(*base)
-    shape = classify_vcs(vcs)
-    vcs = vcs.join(shape, "output_id")
-    out += [compact_diff(vcs.where(F.col("shape") == "diff").select(*base), **o.get("diff", {})),
-            cap_log_entries(vcs.where(F.col("shape") == "log").select(*base), **o.get("log", {})),
-            _unchanged(vcs.where(F.col("shape") == "other").select(*base))]
-
-    files = part("file")
-    meta = (files.groupBy("output_id")
-            .agg(F.count(F.lit(1)).alias("_n"), F.first("args", ignorenulls=True).alias("_args")))
-    has_arg = F.size(F.coalesce("_args", F.array().cast("array<string>"))) > 0
-    meta = meta.select("output_id", F.when(has_arg, F.element_at("_args", -1)).alias("filename"),
-                       F.when(has_arg, F.col("_n")).alias("total_lines"))
-    big = F.coalesce(F.col("filename").endswith(".py") & (F.col("total_lines") > threshold), F.lit(False))
-    fl = files.select(*base).join(meta.select("output_id", big.alias("_big")), "output_id")
-    out += [outline(fl.where("_big").select(*base), meta.where(big), **o.get("outline", {})),
-            document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big), **o.get("view", {}))]
+    asked = {r[0] for r in d.select("_strategy").distinct().collect()}
+    out = [_unchanged(part("bypass").select(*base))]
+    if "generic" in asked:
+        out.append(collapse_runs(part("generic").select(*base), **o.get("generic", {})))
+    if "search" in asked:
+        out.append(compact_search_hits(part("search").select(*base), **o.get("search", {})))
+    if "listing" in asked:
+        out.append(compact_listing(part("listing").select(*base), **o.get("listing", {})))
+    if "vcs" in asked:
+        vcs = part("vcs").select(*base)
+        shape = classify_vcs(vcs)
+        vcs = vcs.join(shape, "output_id")
+        out += [compact_diff(vcs.where(F.col("shape") == "diff").select(*base), **o.get("diff", {})),
+                cap_log_entries(vcs.where(F.col("shape") == "log").select(*base), **o.get("log", {})),
+                _unchanged(vcs.where(F.col("shape") == "other").select(*base))]
+    if "file" in asked:
+        files = part("file")
+        meta = (files.groupBy("output_id")
+                .agg(F.count(F.lit(1)).alias("_n"), F.first("args", ignorenulls=True).alias("_args")))
+        has_arg = F.size(F.coalesce("_args", F.array().cast("array<string>"))) > 0
+        meta = meta.select("output_id", F.when(has_arg, F.element_at("_args", -1)).alias("filename"),
+                           F.when(has_arg, F.col("_n")).alias("total_lines"))
+        big = F.coalesce(F.col("filename").endswith(".py") & (F.col("total_lines") > threshold), F.lit(False))
+        fl = files.select(*base).join(meta.select("output_id", big.alias("_big")), "output_id")
+        out += [outline(fl.where("_big").select(*base), meta.where(big), **o.get("outline", {})),
+                document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big), **o.get("view", {}))]
 
     for cmd, fn in sorted((strategies or {}).items()):
-        out.append(wrap_key(fn(unwrap_keys(part("x:" + cmd).select(*base))).select(*D3), "output_id"))
+        if f"x:{cmd}" in asked:
+            out.append(wrap_key(fn(unwrap_keys(part("x:" + cmd).select(*base))).select(*D3), "output_id"))
 
     res = out[0].select(*D3)
     for o in out[1:]:

@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import functools
 import inspect
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,22 +45,37 @@ CHUNK_COL = "_chunk"
 DEFAULT_CHUNK_ROWS = 1 << 16
 
 
-_PERSISTED: list[DataFrame] = []
+_PERSISTED: ContextVar[list[DataFrame]] = ContextVar("persisted")
+_UNSCOPED: list[DataFrame] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once for its several readers: lazy ``persist``, spilled to
-    disk under memory pressure; a lost executor's blocks are recomputed.
-    ``release`` frees the blocks when the result has been written."""
+    disk under memory pressure; a lost executor's blocks are recomputed.  The blocks
+    are freed at the end of the ``scope`` around the report, or by ``release``."""
     from pyspark import StorageLevel
-    _PERSISTED.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    _PERSISTED.get(_UNSCOPED).append(df.persist(StorageLevel.MEMORY_AND_DISK))
     return df
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Free what operators persist inside this block (build a report and write it
+    there) when it ends, and nothing of other callers."""
+    mine: list[DataFrame] = []
+    token = _PERSISTED.set(mine)
+    try:
+        yield
+    finally:
+        _PERSISTED.reset(token)
+        for df in mine:
+            df.unpersist()
+
+
 def release() -> None:
-    """Unpersist what the operators have persisted so far."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
+    """Unpersist what operators have persisted outside of any ``scope``."""
+    while _UNSCOPED:
+        _UNSCOPED.pop().unpersist()
 
 
 def cut(df: DataFrame) -> DataFrame:

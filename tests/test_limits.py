@@ -52,3 +52,14 @@ def test_groups_beyond_the_largest_have_no_sample(spark):
     assert group_sizes(unique).count() == 200 and "WindowGroupLimit" in _plan(groups)
     head = compact_listing(lines).orderBy("seq").first().line
     assert head.endswith(f"kept 40/{len(names)} unique entries across 200 groups\n")
+
+
+def test_a_report_frees_its_own_frames(spark):
+    from linesift.operators.scan import materialize, scope
+    mine = materialize(spark.range(10))
+    with scope():
+        lines = spark.createDataFrame([("o", k, f"f{k}.py\n") for k in range(50)], LINES)
+        frame = materialize(spark.range(5))
+        assert compact_listing(lines).count() == 7 and frame.is_cached
+    assert not frame.is_cached and mine.is_cached
+    mine.unpersist()
