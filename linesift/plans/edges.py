@@ -18,7 +18,7 @@ from ..operators.usage import savings_by_command, savings_by_session
 from ..session import ensure_checkpoint_dir
 from ..sources.logs import (read_cases, read_documents, read_invocations, read_message_events, read_thread_events,
                             to_log_records, write_events, write_invocations)
-from ..sources.reports import trial_report_json, trial_report_lines
+from ..sources.reports import trial_report_document, trial_report_json, trial_report_lines
 from . import checklists, trials
 from .catalog import ORACLE, register, rounded, sql_effective, sql_invocations, sql_savings_cols, with_ctes
 from .inputs import event_invocations, table
@@ -132,9 +132,10 @@ UNION ALL
 SELECT 2, CASE metric WHEN 'input_tokens' THEN 0 WHEN 'output_tokens' THEN 1 ELSE 2 END,
        '| ' || label || ' | ' || {_sql_pct('mean_pct')} || ' | ' || {_sql_pct('median_pct')} || ' | '
        || CASE WHEN stdev IS NULL THEN 'n/a' ELSE printf('%.1fpp', stdev) END || ' |' FROM stats
-UNION ALL SELECT 0, 2, '**Trials:** ' || count(DISTINCT trial) FROM deltas
+UNION ALL SELECT 0, 4, '**Trials:** ' || count(DISTINCT trial) || '  ' FROM deltas
 UNION ALL SELECT * FROM (VALUES
-  (0, 0, '# Trial Results'), (0, 1, ''), (0, 3, ''), (1, -4, '## Per-trial results'), (1, -3, ''),
+  (0, 0, '# Trial Results'), (0, 1, ''), (0, 2, '**Repo:** `orders`  '), (0, 3, '**Base:** `main`  '), (0, 5, '**Generated:** 2024-01-01 00:00 UTC'),
+  (0, 6, ''), (1, -4, '## Per-trial results'), (1, -3, ''),
   (1, -2, '| Trial | Order | Input Tokens (baseline) | Input Tokens (treatment) | Delta | Output Tokens (baseline) | Output Tokens (treatment) | Delta | Commands (baseline) | Commands (treatment) | Delta |'),
   (1, -1, '| ----- | ----- | ----------------------- | ------------------------ | ----- | ------------------------ | ------------------------- | ----- | ------------------- | -------------------- | ----- |'),
   (2, -5, ''), (2, -4, '## Aggregate (treatment vs baseline delta)'), (2, -3, ''),
@@ -142,7 +143,26 @@ UNION ALL SELECT * FROM (VALUES
 def trial_report_rows_q(spark, sf_dir):
     """K3: the report's lines in document order."""
     d = X.with_order(X.trial_deltas(trials.trial_runs(spark, sf_dir)))
-    return trial_report_lines(d, X.aggregate_deltas(d))
+    return trial_report_lines(d, X.aggregate_deltas(d), repo="orders", base="main", generated="2024-01-01 00:00 UTC")
+
+
+@register("trial_report_document", with_ctes(trials._SQL_RUNS, trials._SQL_STATS) + """
+SELECT 'orders' AS repo, 'main' AS base, (SELECT count(DISTINCT trial) FROM runs) AS trial_count,
+       (SELECT round(mean_pct, 4) FROM stats WHERE metric = 'output_tokens') AS mean_pct,
+       (SELECT string_agg(t, '|' ORDER BY trial) FROM (
+          SELECT trial, concat_ws(':', trial, max(CASE WHEN trial % 2 = 0 THEN 'treatment-first' ELSE 'baseline-first' END),
+                                  CAST(max(baseline) FILTER (WHERE metric = 'input_tokens') AS BIGINT)) AS t FROM deltas GROUP BY trial)) AS trials""")
+def trial_report_document_q(spark, sf_dir):
+    """K2: the report as one JSON document, read back."""
+    runs = trials.trial_runs(spark, sf_dir)
+    d = X.with_order(X.trial_deltas(runs))
+    j = trial_report_document(d, X.aggregate_deltas(d), runs, repo="orders", base="main")
+    shape = """repo string, base string, trial_count long, aggregate map<string, struct<mean_pct: double>>,
+               trials array<struct<index: long, `order`: string, summary: struct<metrics: map<string, struct<baseline: long>>>>>"""
+    j = j.select(F.from_json("json", shape, {"mode": "FAILFAST"}).alias("j"))
+    return rounded(j.select("j.repo", "j.base", "j.trial_count", F.col("j.aggregate")["output_tokens"]["mean_pct"].alias("mean_pct"),
+                            F.array_join(F.transform("j.trials", lambda t: F.concat_ws(
+                                ":", t["index"], t["order"], t["summary"]["metrics"]["input_tokens"]["baseline"].cast("string"))), "|").alias("trials")))
 
 
 # Log lines that a reader must survive, made from events.  Kept: good records, a

@@ -151,3 +151,33 @@ def test_report_sinks(spark):
     assert len(trial_docs) == 2 and '"order":"baseline-first"' in trial_docs[0]
     assert '"order":"treatment-first"' in trial_docs[1]
     assert ['"aggregate"' in r.json and '"trial_count":2' in r.json for r in docs if r.kind == "report"] == [True]
+
+
+def test_report_as_one_document(spark):
+    """All trials in order, the results once more for a lone trial, no silent bound."""
+    import json
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from linesift.operators import trials as X
+    from linesift.sources.reports import trial_report_document, trial_report_lines
+    rows = [(t, v, 100 + t, 10, 5, 0) for t in (2, 1, 3) for v in ("baseline", "treatment")]
+    runs = spark.createDataFrame(rows, "trial int, variant string, input_tokens long, output_tokens long, command_count long, returncode int")
+
+    def document(r, **kw):
+        d = X.with_order(X.trial_deltas(r))
+        return d, trial_report_document(d, X.aggregate_deltas(d), r, repo="r", base="b", generated="now", **kw)
+
+    d, whole = document(runs)
+    doc = json.loads(whole.first().json)
+    assert whole.count() == 1 and [t["index"] for t in doc["trials"]] == [1, 2, 3] and doc["trial_count"] == 3
+    assert (doc["repo"], doc["base"], doc["generated_at"]) == ("r", "b", "now") and "results" not in doc
+    assert [x["name"] for x in doc["trials"][0]["results"]] == ["baseline", "treatment"]
+    one = json.loads(document(runs.where("trial = 2"))[1].first().json)
+    assert one["results"] == one["trials"][0]["results"] and len(one["results"]) == 2
+    with pytest.raises(ValueError, match="trial_report_json"):
+        document(runs, most_trials=2)
+    head = [r.line for r in trial_report_lines(d, X.aggregate_deltas(d), repo="r", base="b", generated="now").where("section = 0").orderBy("position").collect()]
+    assert head == ["# Trial Results", "", "**Repo:** `r`  ", "**Base:** `b`  ", "**Trials:** 3  ", "**Generated:** now", ""]
+    assert X.trial_deltas(runs).where(F.col("trial").isNull()).count() == 0
