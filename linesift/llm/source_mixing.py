@@ -37,7 +37,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, fresh, row_key
@@ -184,10 +184,14 @@ def draw(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", see
     source = options.get("source_col", "source")
     scratch = options.setdefault("scratch", Scratch(docs.sparkSession, "draw"))
     m = mix_sources(docs, id_col=id_col, text_col=text_col, seed=seed, **options)
-    key, mine, theirs, shard, nth = fresh(docs, "_key", "_mine", "_theirs", "_shard", "_nth")
-    copies = scratch.keep(m.where("copies > 0").select(F.col("key").alias(mine), F.col("source").alias(theirs), F.posexplode("shards").alias(nth, shard)), "copies")
+    key, mine, shard, nth = fresh(docs, "_key", "_mine", "_shard", "_nth")
+
+    def own(row: Column, of: str) -> Column:                     # one column: rows of one key meet once and are joined where they are
+        return F.md5(F.concat(row, F.when(F.col(of).isNull(), F.lit("|")).otherwise(F.concat(F.lit(":"), F.col(of)))))
+
+    copies = scratch.keep(m.where("copies > 0").select(own(F.col("key"), "source").alias(mine), F.posexplode("shards").alias(nth, shard)), "copies")
     shards = copies.agg(F.max(shard)).first()[0] or 0
-    one = docs.withColumn(key, row_key(id_col, text_col)).dropDuplicates([key, source])      # rows of one key and source are one document
-    out = one.join(copies, (F.col(key) == F.col(mine)) & F.col(source).eqNullSafe(F.col(theirs)))
+    one = docs.withColumn(key, own(row_key(id_col, text_col), source)).dropDuplicates([key])      # rows of one key are one document
+    out = one.join(copies, F.col(key) == F.col(mine))
     return out.repartition(min(shards + 1, MOST_PARTITIONS), shard) \
         .sortWithinPartitions(shard, F.md5(F.concat(key, F.col(nth).cast("string"), F.lit(seed)))).select(*[out[c] for c in docs.columns])
