@@ -3,13 +3,13 @@
 1. Tokenizing, per partition: a document's ids, then the end id; documents
    longer than a sequence are cut into full pieces and a rest.
 2. The lengths' histogram (at most ``max_len`` rows, whatever the corpus) goes to
-   the driver.  ``plan_patterns`` runs ``rounds`` rounds on the configuration LP
-   over it: columns are the ways to fill one sequence, rows the lengths to be
-   covered.  Prices on the lengths, a knapsack dynamic programme that finds the
-   best-priced column, and covered lengths lose price.  A round uses up the
-   scarcest length of its column, so these rounds do not solve the LP: with
-   thousands of lengths most pieces are still left.  They are placed best-fit, in
-   runs of equal sequences, so the plan has at most a few rows per length.
+   the driver.  ``cover`` solves the configuration LP over it: columns are the ways
+   to fill one sequence, rows the lengths to be covered.  Multiplicative weights
+   price the lengths, a knapsack dynamic programme prices the columns, near-optimal
+   columns are taken in steps of whole sequences, and covered lengths lose price.
+   The rounding remainder (2 % of the tokens where columns stay near-optimal that
+   long) is placed best-fit, in runs of equal sequences.  Duality gives a lower
+   bound of the sequences beside it.
 3. Pieces of one length are interchangeable: each gets a rank in its length
    (salted, so a very common length is no single task), and the plan turns
    (length, rank) into (sequence, offset) by arithmetic.
@@ -27,6 +27,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -131,52 +132,85 @@ def tokenize_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .mapInArrow(_pieces(tokenizer_path, max_len, end_id, with_ids), schema)
 
 
-def _knapsack(sizes: np.ndarray, prices: np.ndarray, cap: int) -> np.ndarray:
-    """Copies of each size in the best-priced filling of ``cap`` (unbounded)."""
-    best, took = np.zeros(cap + 1), np.full(cap + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(cap + 1), side="right")
-    for c in range(1, cap + 1):
-        best[c] = best[c - 1]
-        if upto[c]:
-            gain = best[c - sizes[:upto[c]]] + prices[:upto[c]]
-            k = int(gain.argmax())
-            if gain[k] > best[c]:
-                best[c], took[c] = gain[k], k
-    copies, c = np.zeros(len(sizes), np.int64), cap
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            copies[took[c]] += 1
-            c -= int(sizes[took[c]])
-    return copies
-
-
-def _fractional(sizes: np.ndarray, demand: np.ndarray, cap: int, rounds: int, eps: float) -> list[tuple[np.ndarray, float]]:
-    """Some columns of the configuration LP with their weights, no solution of it:
-    each round covers as much as the scarcest length of the best-priced column
-    allows, and the lengths it covers lose price."""
-    prices = (sizes / cap) ** 1.15         # near the size: every full sequence is about as good
-    found: dict[bytes, list] = {}
-    left = demand.astype(float)
-    for _ in range(rounds):
-        live = left >= 1
-        if not live.any():
+def _values(sizes: np.ndarray, prices: np.ndarray, cap: int) -> np.ndarray:
+    """Knapsack dynamic programme: the best price of a filling of each room up to ``cap``."""
+    best = np.zeros(cap + 1)
+    fits = np.searchsorted(sizes, np.arange(cap + 1), side="right").tolist()
+    for room in range(1, cap + 1):
+        best[room] = best[room - 1]
+        if n := fits[room]:
+            best[room] = max(best[room], (best[room - sizes[:n]] + prices[:n]).max())
+    return best
+
+
+def _column(sizes: np.ndarray, prices: np.ndarray, left: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A well-priced filling of one sequence out of what is left: at each room the
+    length that ``best`` promises most for.  (Lengths, copies, price)."""
+    room, have, picks, price = len(best) - 1, left.copy(), {}, 0.0
+    while n := int(np.searchsorted(sizes, room, side="right")):
+        gain = np.where(have[:n] > 0, best[room - sizes[:n]] + prices[:n], -1.0)
+        k = int(gain.argmax())
+        if gain[k] < 0:
             break
-        copies = np.zeros(len(sizes), np.int64)
-        copies[live] = _knapsack(sizes[live], prices[live], cap)
-        used = copies > 0
-        if not used.any():
-            break
-        step = float((left[used] / copies[used]).min())
-        if step < 1:                        # the column wants more of a length than there is
-            prices[used & (copies > left)] *= 1 - eps
-            continue
-        at = found.setdefault(copies.tobytes(), [copies, 0.0])
-        at[1] += step
-        left -= step * copies
-        prices[used] *= np.exp(-eps * step * copies[used] / demand[used])
-    return [(c, x) for c, x in found.values()]
+        picks[k] = picks.get(k, 0) + 1
+        have[k] -= 1
+        price += float(prices[k])
+        room -= int(sizes[k])
+    return np.array(list(picks), np.int64), np.array(list(picks.values()), np.int64), price
+
+
+class Cover(NamedTuple):
+    """``runs``: (lengths as indexes, copies, sequences); ``left``: pieces of each length
+    that no run places; ``bound``: no packing has fewer sequences (LP duality)."""
+    sizes: np.ndarray
+    runs: list[tuple[np.ndarray, np.ndarray, int]]
+    left: np.ndarray
+    bound: float
+
+
+def cover(histogram: dict[int, int], cap: int = MAX_LEN, *, eta: float = 0.1, step: float = 0.5, rest: float = 0.02) -> Cover:
+    """The configuration LP (fewest sequences whose columns cover every length as often
+    as it occurs) by multiplicative weights, in whole sequences.
+
+    A round prices the lengths and solves the knapsack once.  Then columns are taken
+    while they are worth (1 - eps) of the best: prices only fall within a round, so the
+    round's optimum stays an upper bound and every column taken is near-optimal for
+    the prices at its time.  A step takes a column ``step`` times as often as its
+    scarcest length allows, rounded down to whole sequences (one at least), and the
+    lengths it covers lose price by exp(-eta * covered share): the others' prices rise
+    against them.  A covered length leaves the LP.  ``eps`` grows only where a round
+    places little, so a round places 2 % of what is left or brings the end at eps =
+    0.1 nearer.  The loop ends when at most ``rest`` of all tokens is left: the
+    rounding remainder.
+
+    Prices p prove a bound: no column is worth more than the knapsack's optimum, so
+    sum(p * demand) / optimum sequences are needed at least.
+    """
+    sizes = np.array(sorted(histogram), np.int64)
+    demand = np.array([histogram[int(s)] for s in sizes], np.int64)
+    left, runs, bound, eps = demand.copy(), [], 0.0, 0.002
+    prices = (sizes / cap) ** 1.02         # near the size: every full sequence is about as good
+    total = tokens = int(demand @ sizes)
+    while tokens > rest * total and eps <= 0.1:
+        live = np.flatnonzero(left)
+        s, p, have = sizes[live], prices[live], left[live]
+        best = _values(s, p, cap)
+        bound = max(bound, float(p @ demand[live]) / best[cap])
+        before = tokens
+        while tokens > rest * total:
+            at, copies, price = _column(s, p, have, best)
+            if not len(at) or price < (1 - eps) * best[cap]:
+                break
+            n = max(1, int(step * (have[at] // copies).min()))
+            runs.append((live[at], copies, n))
+            have[at] -= n * copies
+            tokens -= n * int(copies @ s[at])
+            p[at] *= np.exp(-eta * n * copies / demand[live[at]])
+        if before - tokens < 0.02 * before:
+            p[at] *= 1 - eps               # its best column wants more of a length than there is
+            eps *= 1.05
+        left[live], prices[live] = have, p
+    return Cover(sizes, runs, left, max(bound, total / cap))
 
 
 def _fill(sizes: np.ndarray, left: np.ndarray, cap: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -202,23 +236,14 @@ def _fill(sizes: np.ndarray, left: np.ndarray, cap: int) -> Iterator[tuple[np.nd
         yield full, runs
 
 
-def plan_patterns(histogram: dict[int, int], cap: int = MAX_LEN, *, rounds: int = 96, eps: float = 0.3) -> list[tuple[dict[int, int], int]]:
+def plan_patterns(histogram: dict[int, int], cap: int = MAX_LEN, *, rest: float = 0.02) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> copies) with the number of sequences that use each;
     together they place every piece exactly once."""
     if not histogram:
         return []
-    sizes = np.array(sorted(histogram), np.int64)
-    demand = np.array([histogram[int(s)] for s in sizes], np.int64)
-    left = demand.copy()
-    runs: list[tuple[np.ndarray, int]] = []
-    for copies, weight in sorted(_fractional(sizes, demand, cap, rounds, eps), key=lambda x: -x[1]):
-        used = copies > 0
-        whole = min(int(weight), int((left[used] // copies[used]).min()))
-        if whole:
-            runs.append((copies, whole))
-            left -= whole * copies
-    runs += _fill(sizes, left, cap)
-    return [({int(sizes[k]): int(c[k]) for k in np.flatnonzero(c)}, n) for c, n in runs]
+    sizes, runs, left, _ = cover(histogram, cap, rest=rest)
+    plan = [({int(sizes[k]): int(c) for k, c in zip(at, copies)}, n) for at, copies, n in runs]
+    return plan + [({int(sizes[k]): int(c[k]) for k in np.flatnonzero(c)}, n) for c, n in _fill(sizes, left.copy(), cap)]
 
 
 def _places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple]:
@@ -258,7 +283,7 @@ def _place(places: dict[int, tuple]):
 
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
-                   max_len: int = MAX_LEN, end_id: int = END_ID, rounds: int = 96) -> DataFrame:
+                   max_len: int = MAX_LEN, end_id: int = END_ID, rest: float = 0.02) -> DataFrame:
     """Per piece: (id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -266,7 +291,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                                           max_len=max_len, end_id=end_id), "pieces")
     counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}            # at most max_len rows
-    places = _places(plan_patterns(histogram, max_len, rounds=rounds))
+    places = _places(plan_patterns(histogram, max_len, rest=rest))
     small = spark.createDataFrame(sorted(histogram.items()), "length long, n long")
     ranked = rank_in_group(pieces, "length", small, ["id", "piece", "ids_crc32"], "_rank", hint_small=True)
     cols = pieces.columns

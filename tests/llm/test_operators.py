@@ -548,6 +548,36 @@ def test_patterns_place_everything():
     assert packing.plan_patterns({}) == []
 
 
+def test_columns_cover_all_but_the_rounding_remainder():
+    rnd = random.Random(8)
+    for cap, n in ((256, 3_000), (256, 60_000), (1000, 20_000)):
+        hist = Counter(min(cap, int(rnd.expovariate(6 / cap)) + 1) for _ in range(n))
+        tokens = sum(s * c for s, c in hist.items())
+        got = packing.cover(hist, cap)
+        used = Counter()
+        for at, copies, times in got.runs:
+            assert copies @ got.sizes[at] <= cap and times >= 1
+            for k, c in zip(at.tolist(), copies.tolist()):
+                used[int(got.sizes[k])] += c * times
+        assert {int(s): hist[int(s)] - used[int(s)] for s in got.sizes} == dict(zip(got.sizes.tolist(), got.left.tolist()))
+        assert got.left.min() >= 0 and got.left @ got.sizes <= 0.05 * tokens
+        assert tokens / cap <= got.bound + 1e-9
+        assert got.bound - 1e-6 <= sum(t for _, t in packing.plan_patterns(hist, cap)) <= 1.005 * got.bound + 1
+
+
+def test_bound_of_lengths_that_share_no_sequence():
+    got = packing.cover({60: 5, 80: 7}, 100)
+    assert got.bound <= 12 == sum(t for _, t in packing.plan_patterns({60: 5, 80: 7}, 100))
+
+
+def test_knapsack_values():
+    sizes, prices = np.array([3, 5, 7]), np.array([2.0, 4.5, 5.0])
+    best = packing._values(sizes, prices, 15)
+    for room in range(16):
+        assert best[room] == max(2.0 * a + 4.5 * b + 5.0 * c for a in range(6) for b in range(4) for c in range(3)
+                                 if 3 * a + 5 * b + 7 * c <= room)
+
+
 def test_packing_nothing(empty):
     assert packing.pack_documents(empty).count() == 0
 
