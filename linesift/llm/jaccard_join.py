@@ -51,7 +51,7 @@ SAMPLE_DOCS = 5_000         # documents (about) that tell common shingles from r
 COMMON_IN = 3               # sample documents that make a shingle common
 MOST_COMMON = 400_000       # common shingles kept: 6.4 MB for each task
 TASK_SHINGLES = 1_500_000   # shingles (about) of a chunk, and of the small blocks in a task
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000       # word hashes that a worker keeps
 
 
 class WordHashes(dict):

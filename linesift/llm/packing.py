@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, rank_in_group
 
-CACHE_WORDS = 800_000          # entries of a worker's pretoken cache before it starts anew
+CACHE_WORDS = 450_000          # entries of a worker's pretoken cache before it starts anew
 MAX_LEN = 4096
 END_ID = 1
 
