@@ -8,17 +8,19 @@ aggregation combines a hot run map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.agents import DEFAULT_WRAPPER, program_name, wrapper_used_message, wrapper_used_thread
 from ..functions.usage import delta_pct
+from .scan import materialize, null_safe_keys
 
 # Fixed values of the reference: the compared metrics, their labels, variant names.
 METRICS = [("input_tokens", "Input Tokens"), ("output_tokens", "Output Tokens"),
            ("command_count", "Shell Commands")]
 BASELINE = "baseline"
 TREATMENT = "treatment"
+MEDIAN_PARTS = 256          # parts into which a group's values are cut to find its median
 
 
 def _last(value: Column, cond: Column, order: str = "line_no") -> Column:
@@ -130,14 +132,44 @@ def trial_deltas(runs: DataFrame, trial: str = "trial", variant: str = "variant"
     return d.withColumn("delta_pct", delta_pct(F.col("baseline"), F.col("treatment")))
 
 
+def group_medians(values: DataFrame, keys: list[str], value: str, parts: int = MEDIAN_PARTS) -> DataFrame:
+    """``keys`` and the exact ``median`` (of an even count the mean of the two middle
+    values) of the non-NULL ``value``s, without gathering a group's values.
+
+    Approximate quantiles, a sketch of bounded size per group, only cut the group's
+    range into ``parts`` (2 or more); the rows of every part are counted exactly, so it is known
+    which one or two parts hold the middle ranks.  Only those parts' distinct values,
+    with their counts, are ordered: about 1/parts of a group however its values lie,
+    or a single value where one fills a part.
+    """
+    v, names = null_safe_keys(values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), keys)
+    v = materialize(v.groupBy(*keys, *names, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    at = [k / parts for k in range(1, parts)]
+    edges = v.groupBy(*names).agg(F.percentile_approx("_x", at, 20 * parts).alias("_edges"))
+    # the part of a value: how many edges lie below it
+    v = v.join(edges, names).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_x")))).drop("_edges")
+    sizes = v.groupBy(*names, "_part").agg(F.sum("_c").alias("_n"))
+    group = Window.partitionBy(*names)
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(group.orderBy("_part")) - F.col("_n"), "_all": F.sum("_n").over(group)})
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1         # ranks from 1
+    hold = sizes.where(((F.col("_before") < low) & (low <= F.col("_before") + F.col("_n")))
+                       | ((F.col("_before") < high) & (high <= F.col("_before") + F.col("_n"))))
+    near = v.join(hold.drop("_n"), [*names, "_part"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*names, "_part").orderBy("_x"))
+    near = near.withColumn("_upto", upto)
+    middle = [F.min(F.when(F.col("_upto") >= rank, F.col("_x"))) for rank in (low, high)]
+    return near.groupBy(*keys, *(k for k in names if k not in keys)).agg(((middle[0] + middle[1]) / 2).alias("median")).select(*keys, "median")
+
+
 def aggregate_deltas(deltas: DataFrame) -> DataFrame:
     """Per metric: non-null count, mean, median, sample stdev (0.0 for one
-    value, NULL for none)."""
+    value, NULL for none).  The median is exact (``group_medians``)."""
     d = deltas.groupBy("metric", "label").agg(
-        F.count("delta_pct").alias("count"), F.avg("delta_pct").alias("mean_pct"),
-        F.median("delta_pct").alias("median_pct"), F.stddev_samp("delta_pct").alias("_sd"))
+        F.count("delta_pct").alias("count"), F.avg("delta_pct").alias("mean_pct"), F.stddev_samp("delta_pct").alias("_sd"))
+    mid = group_medians(deltas, ["metric", "label"], "delta_pct").withColumnsRenamed({"metric": "_metric", "label": "_label"})
+    d = d.join(mid, F.col("metric").eqNullSafe(F.col("_metric")) & F.col("label").eqNullSafe(F.col("_label")), "left")
     sd = F.when(F.col("count") == 1, F.lit(0.0)).when(F.col("count") == 0, F.lit(None)).otherwise(F.col("_sd"))
-    return d.withColumn("stdev_pct_points", sd.cast("double")).drop("_sd")
+    return d.select("metric", "label", "count", "mean_pct", F.col("median").alias("median_pct"), sd.cast("double").alias("stdev_pct_points"))
 
 
 def trial_outcomes(runs: DataFrame, trial: str = "trial", interleave: bool = True) -> DataFrame:

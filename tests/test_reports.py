@@ -1,6 +1,8 @@
 """Usage reports (A1-A11, E3, S3), trials (X5-X8) and checklists (C1-C3): golden cases."""
 
 import datetime as dt
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +99,26 @@ def test_trial_deltas_and_aggregate(spark):
     assert orders[1] == "baseline-first" and orders[2] == "treatment-first"
 
 
+def test_group_medians_equal_sorted_ones(spark):
+    rnd = random.Random(6)
+    groups = {"even": [rnd.gauss(0, 9) for _ in range(3000)], "odd": [rnd.gauss(0, 9) for _ in range(3001)],
+              "one value": [2.5] * 500, "mostly one": [7.0] * 400 + [rnd.random() for _ in range(300)],
+              "two halves": [1.0] * 50 + [9.0] * 50, "single": [-4.0], "none": [None, None], None: [1.0, None, 3.0, 8.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    for parts in (2, 16, 256):
+        got = {r.g: r.median for r in X.group_medians(df, ["g"], "v", parts).collect()}
+        assert got == {g: pytest.approx(statistics.median([v for v in vs if v is not None]))
+                       for g, vs in groups.items() if g != "none"}
+    assert X.group_medians(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_trial_aggregate_buffers_no_values(spark):
+    d = X.trial_deltas(_runs(spark, [((10, 10, 10), (9, 12, 10))] * 3))
+    plan = X.aggregate_deltas(d)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan and "median(" not in plan and "collect_list" not in plan
+    assert {r["count"] for r in X.aggregate_deltas(d).collect()} == {3}
+
+
 def test_trial_missing_variant_and_zero_baseline(spark):
     runs = _runs(spark, [((0, 10, 10), (5, 10, 10)), ((10, 10, 10), None)])
     d = {(r.trial, r.metric): r.delta_pct for r in X.trial_deltas(runs).collect()}
