@@ -92,11 +92,13 @@ def is_entry(stripped: Column) -> Column:
 
 @keeps_null_keys("lines", "entries")
 def outline_hints(lines: DataFrame, entries: DataFrame, lookahead: int = HINT_LOOKAHEAD,
-                  hint_chars: int = HINT_CHARS) -> DataFrame:
+                  hint_chars: int = HINT_CHARS, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T14 for the given entry rows ``(output_id, line_no, line)``.
 
-    The following ``2 * lookahead - 1`` lines of every entry are fetched with an
-    equi-join on ``(output_id, line_no + d)`` (entries are few; no range join),
+    The following ``2 * lookahead - 1`` lines of every entry are found without a join:
+    lines and entries are dealt by (output, chunk of positions), with the first lines
+    of a chunk copied to the end of the one before.  There a line sees the entries
+    just before it (a frame of that many positions) and goes to each.  They are
     collected per entry (bounded array) and scanned with ``aggregate``:
     skip blank lines; while the signature is open skip up to the line ending
     with ':'; stop at a line indented no deeper than the entry; skip comments
@@ -106,11 +108,19 @@ def outline_hints(lines: DataFrame, entries: DataFrame, lookahead: int = HINT_LO
     """
     span = 2 * lookahead - 1
     e = entries.select("output_id", F.col("line_no").alias("e_no"), F.col("line").alias("e_line"))
-    offs = e.select("output_id", "e_no", F.explode(F.sequence(F.lit(1), F.lit(span))).alias("d"))
-    fl = offs.withColumn("_ln", F.col("e_no") + F.col("d")).join(
-        lines.select("output_id", F.col("line_no").alias("_ln"), F.col("line").alias("_l")), ["output_id", "_ln"])
-    ctx = fl.groupBy("output_id", "e_no").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("d"), F.col("_l").alias("l")))).alias("_f"))
+    at = F.col("line_no").cast("long")
+    chunk = F.floor(at / chunk_rows)
+    # a chunk's first lines stand in the chunks before that they may reach
+    reach = F.sequence(F.greatest(F.lit(0), F.floor((at - span) / chunk_rows)), chunk)
+    rows = lines.select("output_id", at.alias("line_no"), F.col("line").alias("_l"), F.explode(reach).alias(CHUNK_COL),
+                        F.lit(None).cast("long").alias("_e"))
+    rows = rows.unionByName(entries.select("output_id", at.alias("line_no"), F.lit(None).cast(lines.schema["line"].dataType).alias("_l"),
+                                           chunk.alias(CHUNK_COL), at.alias("_e")))
+    before = Window.partitionBy("output_id", CHUNK_COL).orderBy("line_no").rangeBetween(-span, -1)
+    fl = rows.repartition("output_id", CHUNK_COL).withColumn("_near", F.collect_list("_e").over(before)) \
+        .where(F.col("_e").isNull()).select("output_id", CHUNK_COL, "line_no", "_l", F.explode("_near").alias("e_no"))
+    ctx = fl.groupBy("output_id", CHUNK_COL, "e_no").agg(F.array_sort(F.collect_list(F.struct(
+        (F.col("line_no") - F.col("e_no")).cast("int").alias("d"), F.col("_l").alias("l")))).alias("_f")).drop(CHUNK_COL)
     d = e.join(ctx, ["output_id", "e_no"], "left").withColumn("_f", F.coalesce("_f", F.array().cast(
         "array<struct<d:int,l:string>>")))
     base = indent_of(F.col("e_line"))
