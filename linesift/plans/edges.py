@@ -9,11 +9,13 @@ the direct computation, so the oracles are the same SQL.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from ..operators import trials as X
 from ..operators.checklist import checklist_status
+from ..operators.scan import cut
 from ..operators.usage import savings_by_command, savings_by_session
 from ..session import ensure_checkpoint_dir
 from ..sources.logs import (read_cases, read_documents, read_invocations, read_message_events, read_thread_events,
@@ -76,14 +78,46 @@ def message_log_roundtrip(spark, sf_dir):
     return facts.drop("command_counts_by_prog")
 
 
+# Files of one folder of checklists, and what opening one counts in bytes when small
+# files are dealt to tasks (Spark's 4 MB would make a task of 32 files).
+_FOLDER_FILES = 1 << 9
+_OPEN_COST = str(1 << 16)
+_NAME_RE = "^<!-- doc_id: (-?\\d*) -->\n"
+
+
+def write_checklists(docs, path: str) -> None:
+    """One markdown file per document id, which its first line names, in folders of
+    about ``_FOLDER_FILES`` files that one task each writes (a folder per document
+    would cost a commit, a listing and a partition value each).  Texts that share an
+    id follow one another in its file."""
+    one = docs.groupBy("doc_id").agg(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text"))
+    folders = docs.count() // _FOLDER_FILES + 1
+    name = F.concat(F.lit("<!-- doc_id: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" -->\n"))
+    files = one.select(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), F.concat(name, "text").alias("value"))
+    files.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+
+
+@contextmanager
+def _small_files(spark):
+    """Thousands of files to a task while the block runs."""
+    key = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(key)
+    spark.conf.set(key, _OPEN_COST)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 @register("checklist_files_roundtrip", ORACLE["checklist_status"])
 def checklist_files_roundtrip(spark, sf_dir):
     """Checklists written as one markdown file per document, read with S7, C3."""
     path = scratch(spark, "checklists")
-    docs = checklists.checklist_docs(spark, sf_dir)
-    docs.repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").text(path)
-    files = read_documents(spark, path).select(
-        F.regexp_extract("path", "doc_id=(\\d+)", 1).cast("long").alias("doc_id"), "text")
+    write_checklists(checklists.checklist_docs(spark, sf_dir), path)
+    with _small_files(spark):            # each file is opened once, C3 reads the texts twice
+        files = cut(read_documents(spark, path).select(
+            F.regexp_extract("text", _NAME_RE, 1).try_cast("long").alias("doc_id"),
+            F.regexp_replace("text", _NAME_RE, "").alias("text")))
     s = checklist_status(files)
     return s.select("doc_id", "phase_count", "all_tasks_done", "next_task_title", "next_task_line",
                     "next_task_phase", "next_task_phase_index",

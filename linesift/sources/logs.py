@@ -256,5 +256,5 @@ def write_events(events: DataFrame, path: str) -> None:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Markdown checklists (or any text files), one row per file."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"),
-                                                        F.col("value").alias("text"))
+    return spark.read.format("binaryFile").load(path).select(F.input_file_name().alias("path"),
+                                                             F.col("content").cast("string").alias("text"))
