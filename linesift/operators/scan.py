@@ -174,8 +174,10 @@ def segmented_scan(
     running_max: Mapping[str, Column] | None = None,
     next_min: Mapping[str, Column] | None = None,
     total_sum: Mapping[str, Column] | None = None,
+    total_max: Mapping[str, Column] | None = None,
     previous: Mapping[str, str] | None = None,
     distinct: bool = False,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add ordered-scan columns over ``keys`` ordered by ``pos``.
 
@@ -183,29 +185,38 @@ def segmented_scan(
     * ``running_max``  out -> expr: inclusive running max, NULLs ignored.
     * ``next_min``     out -> expr: min over rows strictly *after* this row.
     * ``total_sum``    out -> expr: sum over the whole key.
+    * ``total_max``    out -> expr: max over the whole key, NULLs ignored.
     * ``previous``     out -> column: value of that column on the previous row.
 
     ``pos`` must be unique within a key; with ``distinct``, rows that repeat a
     position are the same row and count once.  ``previous`` follows the previous
     existing row, so positions need not be dense.
+
+    ``dealt``: ``df`` comes from an earlier scan over the same keys and still has its
+    chunk column, whose order ``pos`` follows: its rows are where they belong, and are
+    neither shuffled nor persisted again (what lies between the scans is computed for
+    the summary and once more for the rows).
     """
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
     next_min = dict(next_min or {})
     total_sum = dict(total_sum or {})
+    total_max = dict(total_max or {})
     previous = dict(previous or {})
 
     d, keys = null_safe_keys(with_chunk(df, pos, chunk_rows), keys)
     tmp = {}
-    for group in (running_sum, running_max, next_min, total_sum):
+    for group in (running_sum, running_max, next_min, total_sum, total_max):
         for out, expr in group.items():
             name = f"_v_{out}"
             tmp[out] = name
             d = d.withColumn(name, expr)
-    d = d.repartition(*keys, CHUNK_COL)
+    if not dealt:
+        d = d.repartition(*keys, CHUNK_COL)
     if distinct:
         d = d.dropDuplicates([*keys, CHUNK_COL, pos])            # inside the partitions: no shuffle
-    d = materialize(d)
+    if not dealt:
+        d = materialize(d)
 
     aggs = []
     for out in running_sum:
@@ -216,6 +227,8 @@ def segmented_scan(
         aggs.append(F.min(tmp[out]).alias(f"_r_{out}"))
     for out in total_sum:
         aggs.append(F.sum(tmp[out]).alias(f"_t_{out}"))
+    for out in total_max:
+        aggs.append(F.max(tmp[out]).alias(f"_x_{out}"))
     for out, col in previous.items():
         aggs.append(F.max_by(F.col(col), F.col(pos)).alias(f"_p_{out}"))
 
@@ -235,6 +248,8 @@ def segmented_scan(
         carries.append(F.min(f"_r_{out}").over(after).alias(f"_cr_{out}"))
     for out in total_sum:
         carries.append(F.coalesce(F.sum(f"_t_{out}").over(whole), F.lit(0)).alias(f"_ct_{out}"))
+    for out in total_max:
+        carries.append(F.max(f"_x_{out}").over(whole).alias(f"_cx_{out}"))
     for out in previous:
         carries.append(F.lag(f"_p_{out}").over(wk).alias(f"_cp_{out}"))
     summary = summary.select(*carries)
@@ -254,10 +269,12 @@ def segmented_scan(
         outs.append((out, F.least(F.min(tmp[out]).over(rest), F.col(f"_cr_{out}"))))
     for out in total_sum:
         outs.append((out, F.col(f"_ct_{out}")))
+    for out in total_max:
+        outs.append((out, F.col(f"_cx_{out}")))
     for out, col in previous.items():
         outs.append((out, F.when(F.row_number().over(wc) == 1, F.col(f"_cp_{out}"))
                      .otherwise(F.lag(col).over(wc))))
     d = d.withColumns(dict(outs))
     drop = [c for c in d.columns if c.startswith(("_v_", "_s_", "_m_", "_r_", "_t_", "_p_",
-                                                    "_cs_", "_cm_", "_cr_", "_ct_", "_cp_"))]
+                                                    "_cs_", "_cm_", "_cr_", "_ct_", "_cp_", "_x_", "_cx_"))]
     return d.drop(*drop, *(k for k in keys if k.startswith(("_key", "_null"))))

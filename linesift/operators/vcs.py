@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_commit_header, is_oneline_commit, strip_graph, ws_strip
 from .compare import DEFAULT_MARKER
-from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, cut, keeps_null_keys, segmented_scan
+from .scan import CHUNK_COL, DEFAULT_CHUNK_ROWS, keeps_null_keys, materialize, segmented_scan
 
 # Fixed values that must equal the reference's for equal results.
 LOG_MAX_ENTRIES = 20
@@ -27,6 +27,11 @@ def _d3(df: DataFrame, seq, kind: str, src, line, omitted) -> DataFrame:
                      src.cast("int").alias("src_line_no"), line.alias("line"), omitted.cast("long").alias("n_omitted"))
 
 
+def _own(lines: DataFrame, key: str) -> DataFrame:
+    """The line table alone, with its chunk column if it has been dealt by one."""
+    return lines.select(F.col(key).alias("output_id"), "line_no", "line", *([CHUNK_COL] if CHUNK_COL in lines.columns else []))
+
+
 def is_log_line(line) -> F.Column:
     s = strip_graph(line)
     return is_commit_header(s) | is_oneline_commit(s)
@@ -36,13 +41,31 @@ def classify_vcs(lines: DataFrame, key: str = "output_id") -> DataFrame:
     """T5: ``shape`` per output: 'diff' if one of the first 20 lines starts with
     ``diff --git`` or ``--- ``; else 'log' if one of the first 10 lines starts a
     commit entry (after graph decoration); else 'other'."""
+    diff, log = _shape_flags()
+    agg = lines.where(F.col("line_no") < DIFF_DETECT_LINES).groupBy(F.col(key).alias("output_id")) \
+        .agg(F.max(diff).alias("_d"), F.max(log).alias("_l"))
+    return agg.select("output_id", _shape().alias("shape"))
+
+
+def _shape_flags() -> tuple[F.Column, F.Column]:
     l = F.col("line")
     diff = (F.col("line_no") < DIFF_DETECT_LINES) & (l.startswith("diff --git") | l.startswith("--- "))
     log = (F.col("line_no") < LOG_DETECT_LINES) & is_log_line(l)
-    agg = lines.where(F.col("line_no") < DIFF_DETECT_LINES).groupBy(F.col(key).alias("output_id")) \
-        .agg(F.max(diff).alias("_d"), F.max(log).alias("_l"))
-    return agg.select("output_id", F.when(F.col("_d"), "diff").when(F.col("_l"), "log").otherwise("other")
-                      .alias("shape"))
+    return diff, log
+
+
+def _shape() -> F.Column:
+    return F.when(F.col("_d"), "diff").when(F.col("_l"), "log").otherwise("other")
+
+
+@keeps_null_keys("lines")
+def deal_by_shape(lines: DataFrame, key: str = "output_id", chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """T5 on every line: its output's ``shape`` beside it, the lines dealt to chunks
+    (``_chunk``) as ``compact_diff`` and ``cap_log_entries`` take them, so that they
+    are neither joined with the shapes nor shuffled again."""
+    diff, log = _shape_flags()
+    d = segmented_scan(_own(lines, key), ["output_id"], "line_no", chunk_rows=chunk_rows, total_max={"_d": diff, "_l": log})
+    return d.withColumn("shape", _shape()).drop("_d", "_l")
 
 
 @keeps_null_keys("lines")
@@ -59,22 +82,22 @@ def cap_log_entries(lines: DataFrame, max_entries: int = LOG_MAX_ENTRIES, key: s
     the cap.  No note is written.  Kept rows are always a prefix, so ``seq`` is
     the line number.
     """
-    d = lines.select(F.col(key).alias("output_id"), "line_no", "line")
+    d = _own(lines, key)
     stripped = strip_graph(F.col("line"))
     nonblank = ws_strip(stripped) != ""
     raw_strip = ws_strip(F.col("line"))
     graph = ((F.col("line_no") < GRAPH_DETECT_LINES) & F.col("line").rlike("^[*|/\\\\ ]")
              & (raw_strip != "") & ~raw_strip.startswith("commit "))
-    fmt = (d.groupBy("output_id")
-           .agg(F.min_by(F.struct(is_commit_header(stripped).alias("std"), is_oneline_commit(stripped).alias("one")),
-                         F.when(nonblank, F.col("line_no"))).alias("_first"),
-                F.max(graph).alias("_graph")))
-    fmt = fmt.select("output_id", F.col("_first.std").alias("_std"),
-                     (F.col("_first.one") & ~F.col("_first.std")).alias("_one"), F.col("_graph"))
-    d = d.join(fmt, "output_id")
-    boundary = F.when(F.col("_one") & F.col("_graph"), is_oneline_commit(stripped)).otherwise(is_commit_header(stripped))
-    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows,
-                       running_sum={"_entries": boundary.cast("int")}).drop(CHUNK_COL)
+    # the first worded line is the greatest by falling line number
+    first = F.when(nonblank, F.struct((-F.col("line_no")).alias("at"), is_commit_header(stripped).alias("std"),
+                                      is_oneline_commit(stripped).alias("one")))
+    dealt = CHUNK_COL in lines.columns
+    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=dealt,
+                       running_sum={"_headers": is_commit_header(stripped).cast("int"),
+                                    "_onelines": is_oneline_commit(stripped).cast("int")},
+                       total_max={"_first": first, "_graph": graph}).drop(CHUNK_COL)
+    d = d.withColumns({"_std": F.col("_first.std"), "_one": F.col("_first.one") & ~F.col("_first.std")})
+    d = d.withColumn("_entries", F.when(F.col("_one") & F.col("_graph"), F.col("_onelines")).otherwise(F.col("_headers")))
     keep = (F.col("_std").isNull()                                   # nothing but blank lines: unchanged
             | F.when(F.col("_one") & ~F.col("_graph"), F.col("line_no") < max_entries)
             .otherwise(F.col("_entries") <= max_entries))
@@ -104,91 +127,68 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     with a space becomes ``... (N lines omitted, lines a-b)`` in new-file
     numbering, any other gap is kept whole.
 
-    No window spans a hunk or an output: the current hunk, a global body
-    index, the nearest change before/after each body row (prefix max / suffix
-    min of change positions, checked against the hunk's bounds), the new-file
-    line counter and the gap islands are two-level scans over the output;
-    per-hunk and per-gap facts are hash aggregates joined back.
+    Lines with a ``_chunk`` column come dealt by an earlier scan over their outputs.
+
+    No window spans a hunk or an output, and lines are dealt once: three scans over
+    the same chunks give the position among the lines that are not dropped and the
+    current hunk, then the nearest change, hunk end and line without a leading space
+    on either side, and last the place in the output.  What is known of a hunk or a
+    gap follows from these: consecutive body lines have consecutive positions, so a
+    gap reaches from ``context`` after the change before it (or the hunk's start) to
+    ``context`` before the next (or the hunk's end).
     """
     l = F.col("line")
-    d = lines.select(F.col(key).alias("output_id"), "line_no", "line")
+    d = _own(lines, key)
     idx_drop = l.startswith("index ") & (F.instr(l, "..") > 0)
     is_hh = ~idx_drop & l.startswith("@@")
     is_dg = ~idx_drop & ~is_hh & l.startswith("diff --git")
-    d = d.withColumns({"_drop": idx_drop, "_hh": is_hh, "_dg": is_dg,
-                       "_mk": F.when(is_hh, F.col("line_no").cast("long") * 2 + 1)
-                       .when(is_dg, F.col("line_no").cast("long") * 2)})
-    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows,
-                       running_max={"_last": F.col("_mk")},
-                       total_sum={"_files": l.startswith("diff --git ").cast("int")}).drop(CHUNK_COL)
+    adv = ~idx_drop & ~l.startswith("-")
+    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=CHUNK_COL in lines.columns,
+                       running_max={"_last": F.when(is_hh, F.col("line_no").cast("long") * 2 + 1)
+                                    .when(is_dg, F.col("line_no").cast("long") * 2)},
+                       running_sum={"_p": (~idx_drop).cast("int"), "_advc": adv.cast("int")},
+                       total_sum={"_files": l.startswith("diff --git ").cast("int"), "_n": (~idx_drop).cast("int")})
+    d = materialize(d.where(~idx_drop))       # read by the next scans' summaries, the rows and the file count
+    files = d.where(l.startswith("diff --git ")).groupBy("output_id").agg(F.max("_files").alias("_f"))
     in_hunk = F.coalesce((F.col("_last") % 2) == 1, F.lit(False))
-    body = ~F.col("_drop") & ~F.col("_hh") & ~F.col("_dg") & in_hunk
-    d = d.withColumns({"_body": body, "_hunk": F.when(in_hunk, F.floor(F.col("_last") / 2))})
+    body = in_hunk & ~is_hh
     compress_headers = F.col("_files") > multifile
 
-    # hunk-level compaction (body rows only), without windows over a hunk:
-    # output-level two-level scans over a global body index ``_gbi``.
-    d = cut(d)                     # read by the body path, the non-body path and the file count
-    heads = d.where(F.col("_hh")).select(
-        "output_id", F.col("line_no").cast("long").alias("_hunk"),
-        F.regexp_extract("line", HUNK_HEADER_RE, 1).alias("_ns_s"))
-    heads = heads.select("output_id", "_hunk", F.when(F.col("_ns_s") != "", F.col("_ns_s").try_cast("long")).alias("_ns"))
-    change = l.startswith("+") | l.startswith("-")
+    x = F.col("_p")
     nonl = l.startswith("\\ ")
-    b = d.where(F.col("_body")).select("output_id", "_hunk", "line_no", "line")
-    b = segmented_scan(b, ["output_id"], "line_no", chunk_rows=chunk_rows,
-                       running_sum={"_gbi": F.lit(1), "_advc": (~l.startswith("-")).cast("int")}).drop(CHUNK_COL)
-    b = b.withColumns({"_int0": change | nonl, "_nonl": nonl,
-                       "_advb": F.col("_advc") - (~l.startswith("-")).cast("int")})
-    b = segmented_scan(b, ["output_id"], "_gbi", chunk_rows=chunk_rows,
-                       running_max={"_li0": F.when(F.col("_int0"), F.col("_gbi"))},
-                       next_min={"_ni0x": F.when(F.col("_int0"), F.col("_gbi")),
-                                 "_nnx": F.when(F.col("_nonl"), F.col("_gbi"))}).drop(CHUNK_COL)
-    hunks = b.groupBy("output_id", "_hunk").agg(
-        F.count(F.lit(1)).alias("_nb"), F.min("_gbi").alias("_hs"), F.max("_gbi").alias("_he"),
-        F.max(F.col("_int0").cast("int")).alias("_any"), F.min("_advb").alias("_adv0"))
-    hunks = hunks.join(heads, ["output_id", "_hunk"], "left")
-    b = b.join(hunks, ["output_id", "_hunk"])
-    x = F.col("_gbi")
-    next_is_nonl = (F.col("_nnx") == x + 1) & (F.col("_nnx") <= F.col("_he"))
-    li = F.when(next_is_nonl, x).otherwise(F.col("_li0"))
-    ni_int = F.when(F.col("_int0"), x).otherwise(F.col("_ni0x"))
-    ni = F.least(ni_int, F.when(F.col("_nnx") <= F.col("_he"), F.col("_nnx") - 1))
-    kept = (F.coalesce((li >= F.col("_hs")) & (x - li <= context), F.lit(False))
-            | F.coalesce((ni <= F.col("_he")) & (ni - x <= context), F.lit(False)))
-    b = cut(b.withColumn("_kept", kept))  # plan cut: the scans above would otherwise nest
-    allk = b.groupBy("output_id", "_hunk").agg(F.min(F.col("_kept").cast("int")).alias("_allkept"))
-    b = b.join(allk, ["output_id", "_hunk"])
-    b = b.withColumn("_compress", (F.col("_nb") > min_hunk) & (F.col("_any") == 1) & (F.col("_allkept") == 0))
-    b = segmented_scan(b, ["output_id"], "_gbi", chunk_rows=chunk_rows,
-                       running_sum={"_island": F.col("_kept").cast("int")}).drop(CHUNK_COL)
-    gaps = (b.where(~F.col("_kept")).groupBy("output_id", "_hunk", "_island")
-            .agg(F.count(F.lit(1)).alias("_glen"), F.min(l.startswith(" ").cast("int")).alias("_gspace"),
-                 F.min("line_no").alias("_gfirst"), F.min("_advb").alias("_gadv")))
-    b = b.join(gaps, ["output_id", "_hunk", "_island"], "left")
-    gap = ~F.col("_kept")
-    a = F.col("_ns") + F.col("_gadv") - F.col("_adv0")
+    change = l.startswith("+") | l.startswith("-") | nonl
+    space = l.startswith(" ")
+    new_start = F.regexp_extract("line", HUNK_HEADER_RE, 1)
+    head = F.struct(x.alias("p"), F.col("_advc").alias("adv"), F.when(new_start != "", new_start.try_cast("long")).alias("ns"))
+    d = segmented_scan(d, ["output_id"], "_p", dealt=True,
+                       running_max={"_head": F.when(is_hh, head), "_li0": F.when(change, x), "_lw": F.when(~space, x)},
+                       next_min={"_ni0": F.when(change, x), "_nn": F.when(nonl, x), "_nw": F.when(~space, x),
+                                 "_end": F.when(is_hh | is_dg, x)})
+    hs = F.col("_head.p") + 1
+    he = F.coalesce(F.col("_end") - 1, F.col("_n"))
+    before_nonl = F.coalesce((F.col("_nn") == x + 1) & (F.col("_nn") <= he), F.lit(False))
+    li = F.when(change | before_nonl, x).otherwise(F.col("_li0"))
+    ni = F.when(change | before_nonl, x).otherwise(
+        F.least(F.col("_ni0"), F.when(F.col("_nn") <= he, F.col("_nn") - 1)))
+    d = d.withColumns({"_body": body, "_in": in_hunk, "_hs": hs, "_he": he, "_li": F.when(li >= hs, li), "_ni": F.when(ni <= he, ni)})
+    li, ni, hs, he = F.col("_li"), F.col("_ni"), F.col("_hs"), F.col("_he")
+    kept = F.coalesce(x - li <= context, F.lit(False)) | F.coalesce(ni - x <= context, F.lit(False))
+    first = F.coalesce(li + (context + 1), hs)
+    last = F.coalesce(ni - (context + 1), he)
+    blank = ~(F.coalesce(F.col("_lw") >= first, F.lit(False)) | F.coalesce(F.col("_nw") <= last, F.lit(False)))
+    cuts = (he - hs + 1 > min_hunk) & (li.isNotNull() | ni.isNotNull()) & ~kept & blank
+    d = d.withColumns({"_glen": last - first + 1, "_cuts": cuts, "_lead": x == first, "_ns": F.col("_head.ns"),
+                       "_adv0": F.col("_head.adv")})
+    a = F.col("_ns") + F.col("_advc") - adv.cast("int") - F.col("_adv0")
     rng = F.when(F.col("_ns").isNotNull(), F.concat(F.lit(", lines "), a.cast("string"), F.lit("-"),
                                                     (a + F.col("_glen") - 1).cast("string"))).otherwise(F.lit(""))
     gap_note = F.concat(F.lit("... ("), F.col("_glen").cast("string"), F.lit(" lines omitted"), rng, F.lit(")\n"))
-    emit_line = ~F.col("_compress") | F.col("_kept") | (F.col("_gspace") == 0)
-    emit_note = F.col("_compress") & gap & (F.col("_gspace") == 1) & (F.col("line_no") == F.col("_gfirst"))
-    b_rows = b.select("output_id", "line_no", F.explode(F.filter(F.array(
-        F.struct(emit_line.alias("k"), F.lit("line").alias("kind"), F.col("line").alias("text"),
-                 F.lit(0).cast("long").alias("n")),
-        F.struct(emit_note.alias("k"), F.lit("note").alias("kind"), gap_note.alias("text"),
-                 F.col("_glen").cast("long").alias("n"))), lambda r: r["k"])).alias("r"))
-    b_rows = b_rows.select("output_id", "line_no", "r.kind", F.col("r.text").alias("line"), F.col("r.n").alias("n_omitted"))
-
-    # non-body lines
-    hdr_drop = compress_headers & ~in_hunk & (l.startswith("--- ") | l.startswith("+++ "))
-    o_rows = d.where(~F.col("_body") & ~F.col("_drop") & ~hdr_drop).select(
-        "output_id", "line_no", F.lit("line").alias("kind"), "line", F.lit(0).cast("long").alias("n_omitted"))
-    rows = b_rows.unionByName(o_rows)
-    files = d.where(F.col("line_no") == 0).select("output_id", F.col("_files").alias("_f"))
-    rows = segmented_scan(rows, ["output_id"], "line_no", chunk_rows=chunk_rows,
-                          running_sum={"_cum": F.lit(1)}).drop(CHUNK_COL)
-    rows = rows.join(files, "output_id", "left")
+    hdr_drop = compress_headers & ~F.col("_in") & (l.startswith("--- ") | l.startswith("+++ "))
+    note = F.col("_body") & F.col("_cuts")
+    rows = d.where(F.when(F.col("_body"), ~F.col("_cuts") | F.col("_lead")).otherwise(~hdr_drop)).select(
+        "output_id", "line_no", CHUNK_COL, F.col("_files").alias("_f"), F.when(note, F.lit("note")).otherwise("line").alias("kind"),
+        F.when(note, gap_note).otherwise(l).alias("line"), F.when(note, F.col("_glen")).otherwise(0).cast("long").alias("n_omitted"))
+    rows = segmented_scan(rows, ["output_id"], "line_no", dealt=True, running_sum={"_cum": F.lit(1)})
     lead_note = F.when(F.col("_f") > multifile, 1).otherwise(0)
     out = rows.select("output_id", (F.col("_cum") - 1 + lead_note).cast("long").alias("seq"), "kind",
                       F.col("line_no").cast("int").alias("src_line_no"), "line", "n_omitted")

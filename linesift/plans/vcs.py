@@ -144,8 +144,7 @@ def diff_lines(spark, sf_dir):
     lines prefixed '+' (line i mod 9 = 4), '-' (i mod 13 = 7) or ' ', plus a
     '\\ No newline' row for doc ids divisible by 7."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    lines = to_lines(document_outputs(spark, sf_dir)).withColumnRenamed("output_id", "doc_id")
-    n = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    n = to_lines(document_outputs(spark, sf_dir)).withColumnRenamed("output_id", "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     blk = docs.join(n, "doc_id").withColumn("nonl", F.col("doc_id") % 7 == 0)
     blk = blk.withColumn("_size", 5 + F.col("n") + F.col("nonl").cast("int"))
     blk = segmented_scan(blk, ["source"], "doc_id", running_sum={"_end": F.col("_size")}).drop(CHUNK_COL)
@@ -164,7 +163,10 @@ def diff_lines(spark, sf_dir):
     hl = blk.select("source", "start", F.explode(head).alias("e")).select("source", "start", "e.k", "e.t")
     nl = blk.where("nonl").select("source", "start", (5 + F.col("n")).alias("k"),
                                   F.lit("\\ No newline at end of file").alias("t"))
-    bl = lines.join(blk.select("doc_id", "source", "start"), "doc_id").select(
+    # whole texts are shuffled to their place in the diff, not their lines
+    texts = document_outputs(spark, sf_dir).select(F.col("output_id").alias("doc_id"), "stdout")
+    placed = texts.join(blk.select("doc_id", "source", "start"), "doc_id")
+    bl = to_lines(placed, key="doc_id", keep=("source", "start")).select(
         "source", "start", (5 + F.col("line_no")).alias("k"),
         F.concat(_change_prefix(F.col("line_no")), F.regexp_replace("line", "\\n$", "")).alias("t"))
     allr = hl.unionByName(nl).unionByName(bl)
