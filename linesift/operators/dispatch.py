@@ -32,7 +32,7 @@ from .lines import binary_flag, text_column
 from .listing import compact_listing
 from .runs import collapse_runs
 from .scan import keeps_null_keys, unwrap_keys, wrap_key
-from .vcs import cap_log_entries, classify_vcs, compact_diff
+from .vcs import cap_log_entries, compact_diff, deal_by_shape
 
 # Fixed command routing of the reference.
 ROUTES = {"rg": "search", "grep": "search", "git": "vcs", "fd": "listing", "find": "listing", "ls": "listing",
@@ -99,12 +99,10 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
     if "listing" in asked:
         out.append(compact_listing(part("listing").select(*base), **o.get("listing", {})))
     if "vcs" in asked:
-        vcs = part("vcs").select(*base)
-        shape = classify_vcs(vcs)
-        vcs = vcs.join(shape, "output_id")
-        out += [compact_diff(vcs.where(F.col("shape") == "diff").select(*base), **o.get("diff", {})),
-                cap_log_entries(vcs.where(F.col("shape") == "log").select(*base), **o.get("log", {})),
-                _unchanged(vcs.where(F.col("shape") == "other").select(*base))]
+        vcs = deal_by_shape(part("vcs").select(*base))
+        out += [compact_diff(vcs.where(F.col("shape") == "diff"), **o.get("diff", {})),
+                cap_log_entries(vcs.where(F.col("shape") == "log"), **o.get("log", {})),
+                _unchanged(vcs.where(F.col("shape") == "other"))]
     if "file" in asked:
         files = part("file")
         meta = (files.groupBy("output_id")

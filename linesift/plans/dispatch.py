@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dispatch import compact, line_metrics, outputs_to_lines
 from ..operators.lines import binary_flag
+from ..operators.scan import cut
 from ..operators.usage import savings_by_command
 from ..session import ensure_checkpoint_dir
 from . import documents, listing, search, vcs
@@ -128,8 +129,9 @@ def compact_all(spark, sf_dir):
     (Bypassed outputs count as full calls; binary pages pass through unchanged.)"""
     ensure_checkpoint_dir(spark)
     # The derived families are costly and every strategy branch reads its slice
-    # of them: materialize once (reliable checkpoint in spark.checkpoint.dir).
-    lines = all_lines(spark, sf_dir).checkpoint(eager=True)
+    # of them: written once, as a compressed table by column (commands and arguments
+    # repeat on every line; a checkpoint writes them all out).
+    lines = cut(all_lines(spark, sf_dir))
     compacted = compact(lines)
     facts = line_metrics(lines, compacted)
     return rounded(savings_by_command(facts.select("command", "stdout_lines", "stdout_bytes", "compressed_lines",
