@@ -148,8 +148,8 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
                                     .when(is_dg, F.col("line_no").cast("long") * 2)},
                        running_sum={"_p": (~idx_drop).cast("int"), "_advc": adv.cast("int")},
                        total_sum={"_files": l.startswith("diff --git ").cast("int"), "_n": (~idx_drop).cast("int")})
-    d = materialize(d.where(~idx_drop))       # read by the next scans' summaries, the rows and the file count
-    files = d.where(l.startswith("diff --git ")).groupBy("output_id").agg(F.max("_files").alias("_f"))
+    files = d.where(F.col("line_no") == 0).select("output_id", F.col("_files").alias("_f"))
+    d = materialize(d.where(~idx_drop))       # read by the next scans' summaries and the rows
     in_hunk = F.coalesce((F.col("_last") % 2) == 1, F.lit(False))
     body = in_hunk & ~is_hh
     compress_headers = F.col("_files") > multifile
@@ -186,9 +186,10 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     hdr_drop = compress_headers & ~F.col("_in") & (l.startswith("--- ") | l.startswith("+++ "))
     note = F.col("_body") & F.col("_cuts")
     rows = d.where(F.when(F.col("_body"), ~F.col("_cuts") | F.col("_lead")).otherwise(~hdr_drop)).select(
-        "output_id", "line_no", CHUNK_COL, F.col("_files").alias("_f"), F.when(note, F.lit("note")).otherwise("line").alias("kind"),
+        "output_id", "line_no", CHUNK_COL, F.when(note, F.lit("note")).otherwise("line").alias("kind"),
         F.when(note, gap_note).otherwise(l).alias("line"), F.when(note, F.col("_glen")).otherwise(0).cast("long").alias("n_omitted"))
     rows = segmented_scan(rows, ["output_id"], "line_no", dealt=True, running_sum={"_cum": F.lit(1)})
+    rows = rows.join(files, "output_id", "left")
     lead_note = F.when(F.col("_f") > multifile, 1).otherwise(0)
     out = rows.select("output_id", (F.col("_cum") - 1 + lead_note).cast("long").alias("seq"), "kind",
                       F.col("line_no").cast("int").alias("src_line_no"), "line", "n_omitted")
