@@ -18,7 +18,8 @@ so one huge output (or one hot user) would serialize the job.
 The input is repartitioned by ``(key, chunk)`` and persisted (``materialize``):
 the summary branch and the main branch both read it, and the persisted frame
 keeps the hash partitioning, so neither the summary aggregate nor the in-chunk
-windows shuffle the big table again.  Operators that stack scans also ``cut``
+windows shuffle the big table again.  A table that may be read twice (``leaf``) is
+not persisted: the summary is aggregated before the shuffle.  Operators that stack scans also ``cut``
 their plan: they write a table under ``spark.checkpoint.dir`` and read it back,
 so lineage ends there and a lost executor costs one level.
 
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import functools
 import inspect
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -78,23 +79,78 @@ def release() -> None:
         _UNSCOPED.pop().unpersist()
 
 
+_CUTS: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
+
+
+def _cut_path(spark) -> str:
+    """A fresh folder under ``spark.checkpoint.dir`` that goes when the application ends."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linesift-cut-{uuid.uuid4().hex}"
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    return path
+
+
+def _folder(spark, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table into ``spark.checkpoint.dir`` and read it
     back: the result is a leaf (plan and lineage cut).  Used at the entry of
     operators that stack several two-level scans, so their plans do not grow
     with the input's plan.  (Every reader repartitions anyway, so the table
-    need not keep a partitioning.)  The folder goes when the application ends."""
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
+    need not keep a partitioning.)  The folder goes when the application ends, or
+    with the part of ``cut_parts`` that it belongs to."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/linesift-cut-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    df.write.mode("overwrite").parquet(path)
+    path = _cut_path(spark)
+    if (mine := _CUTS.get()) is not None:
+        mine.append(path)
+    _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_parts(spark, parts: Iterable[Callable[[], DataFrame]]) -> DataFrame:
+    """``cut`` of the union of several frames (columns by name, types of the first),
+    each built and written on its own: what a part has persisted, cut and shuffled on
+    its way is freed before the next begins, so the disk holds the work of one part at
+    a time.  ``parts`` build their frames when called, and must not hand them on."""
+    path, schema = _cut_path(spark), None
+    if (outer := _CUTS.get()) is not None:
+        outer.append(path)
+    for part in parts:
+        mine: list[str] = []
+        token = _CUTS.set(mine)
+        try:
+            with scope():
+                df = part()
+                schema = schema or df.schema
+                _write(df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), path)
+                del df
+        finally:
+            _CUTS.reset(token)
+            for p in mine:
+                folder, fs = _folder(spark, p)
+                fs.delete(folder, True)
+            free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark) -> None:
+    """Spark deletes the shuffle files of a frame once the driver has collected its
+    objects, which may take hours: ask for it between steps that shuffle much."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # What stands for NULL beside a flag, by type; other types are compared as text.
 _ZERO = {"string": "", "bigint": 0, "int": 0, "smallint": 0, "tinyint": 0, "double": 0.0, "float": 0.0}
 
@@ -178,6 +234,7 @@ def segmented_scan(
     previous: Mapping[str, str] | None = None,
     distinct: bool = False,
     dealt: bool = False,
+    leaf: bool = False,
 ) -> DataFrame:
     """Add ordered-scan columns over ``keys`` ordered by ``pos``.
 
@@ -196,7 +253,13 @@ def segmented_scan(
     chunk column, whose order ``pos`` follows: its rows are where they belong, and are
     neither shuffled nor persisted again (what lies between the scans is computed for
     the summary and once more for the rows).
+
+    ``leaf``: ``df`` is a table that may be read twice (``cut``): the summary is counted
+    where the rows lie, and they are shuffled without being persisted, with no more
+    columns than the result asks for.
     """
+    if leaf and (distinct or dealt):
+        raise ValueError("leaf goes with neither distinct nor dealt")
     running_sum = dict(running_sum or {})
     running_max = dict(running_max or {})
     next_min = dict(next_min or {})
@@ -211,11 +274,11 @@ def segmented_scan(
             name = f"_v_{out}"
             tmp[out] = name
             d = d.withColumn(name, expr)
-    if not dealt:
+    if not (dealt or leaf):
         d = d.repartition(*keys, CHUNK_COL)
     if distinct:
         d = d.dropDuplicates([*keys, CHUNK_COL, pos])            # inside the partitions: no shuffle
-    if not dealt:
+    if not (dealt or leaf):
         d = materialize(d)
 
     aggs = []

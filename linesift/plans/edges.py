@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import functions as F
 
 from ..operators import trials as X
 from ..operators.checklist import checklist_status
-from ..operators.scan import cut
+from ..operators.scan import cut_parts, free_shuffles
 from ..operators.usage import savings_by_command, savings_by_session
 from ..session import ensure_checkpoint_dir
 from ..sources.logs import (read_cases, read_documents, read_invocations, read_message_events, read_thread_events,
@@ -78,10 +79,13 @@ def message_log_roundtrip(spark, sf_dir):
     return facts.drop("command_counts_by_prog")
 
 
-# Files of one folder of checklists, and what opening one counts in bytes when small
-# files are dealt to tasks (Spark's 4 MB would make a task of 32 files).
+# Files of one folder of checklists, folders read at a time (their listing is held by
+# the driver), and what opening a file counts in bytes when small files are dealt to
+# tasks (Spark's 4 MB would make a task of 32 files).
 _FOLDER_FILES = 1 << 9
+_FOLDERS_AT_ONCE = 1 << 6
 _OPEN_COST = str(1 << 16)
+_WRITE_TASKS = 1 << 10
 _NAME_RE = "^<!-- doc_id: (-?\\d*) -->\n"
 
 
@@ -90,11 +94,54 @@ def write_checklists(docs, path: str) -> None:
     about ``_FOLDER_FILES`` files that one task each writes (a folder per document
     would cost a commit, a listing and a partition value each).  Texts that share an
     id follow one another in its file."""
-    one = docs.groupBy("doc_id").agg(F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text"))
     folders = docs.count() // _FOLDER_FILES + 1
+    dealt = docs.withColumn("folder", F.pmod(F.xxhash64("doc_id"), F.lit(folders))).repartition(min(folders, _WRITE_TASKS), "folder")
+    one = dealt.groupBy("folder", "doc_id").agg(             # an id is in one folder: not shuffled again
+        F.array_join(F.collect_list(F.coalesce("text", F.lit(""))), "\n").alias("text"))
     name = F.concat(F.lit("<!-- doc_id: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" -->\n"))
-    files = one.select(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("folder"), F.concat(name, "text").alias("value"))
-    files.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    files = one.select("folder", F.concat(name, "text").alias("value"),
+                       F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("none")).alias("name"))
+    root, fs = _hadoop(docs.sparkSession, path)
+    uri = root.makeQualified(fs.getUri(), root).toUri()
+    if uri.getScheme() == "file":
+        files = files.select("folder", F.col("value").cast("binary"), "name")
+        n = files.mapInArrow(partial(_write_files, uri.getPath()), "n long").agg(F.sum("n")).first()[0]
+        if not n:
+            fs.mkdirs(root)
+    else:
+        files.drop("name").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+
+
+def _write_files(root: str, batches):
+    """The rows' files below a local (or mounted) folder.  Hadoop's local file system
+    would start two ``chmod`` processes for each file.  A file appears whole and at
+    once, so a task that runs again changes nothing."""
+    import os
+
+    import pyarrow as pa
+    for batch in batches:
+        for folder, value, name in zip(*(c.to_pylist() for c in batch.columns)):
+            to = f"{root}/folder={folder}"
+            os.makedirs(to, exist_ok=True)
+            part = f"{to}/.{name}-{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(value + b"\n")
+            os.replace(part, f"{to}/part-{name}.md")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+
+def _hadoop(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_folders(spark, path: str):
+    """S7 on every folder below ``path``, some at a time: the names and sizes of files
+    that are read together stand in the driver's memory."""
+    root, fs = _hadoop(spark, path)
+    found = sorted(s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory())
+    return cut_parts(spark, [partial(read_documents, spark, found[k:k + _FOLDERS_AT_ONCE])
+                             for k in range(0, len(found), _FOLDERS_AT_ONCE)]) if found else read_documents(spark, path)
 
 
 @contextmanager
@@ -114,10 +161,13 @@ def checklist_files_roundtrip(spark, sf_dir):
     """Checklists written as one markdown file per document, read with S7, C3."""
     path = scratch(spark, "checklists")
     write_checklists(checklists.checklist_docs(spark, sf_dir), path)
+    free_shuffles(spark)
     with _small_files(spark):            # each file is opened once, C3 reads the texts twice
-        files = cut(read_documents(spark, path).select(
+        files = read_folders(spark, path).select(
             F.regexp_extract("text", _NAME_RE, 1).try_cast("long").alias("doc_id"),
-            F.regexp_replace("text", _NAME_RE, "").alias("text")))
+            F.regexp_replace("text", _NAME_RE, "").alias("text"))
+    folder, fs = _hadoop(spark, path)    # the files have been read: a block of disk each
+    fs.delete(folder, True)
     s = checklist_status(files)
     return s.select("doc_id", "phase_count", "all_tasks_done", "next_task_title", "next_task_line",
                     "next_task_phase", "next_task_phase_index",
