@@ -15,7 +15,7 @@ Plan (no window over a whole output or file):
 * keys joined back to hits -> kept / dropped;
 * previous / next event of every line by two-level scans over the output
   (events encoded as ``line_no * 8 + kind``, so max/min give nearest events);
-* result position = running count of kept rows (two-level scan);
+* result position = running count of kept rows (two-level scan), joined with their lines;
 * notes: one aggregate per (output, file); the line-number hint takes at most
   10 over-cap hits per file with a row_number limit (WindowGroupLimit before
   the shuffle), never the whole list.
@@ -72,9 +72,12 @@ def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = C
                         chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """T3 + T4: lines -> compacted rows (D3): kept lines in order, then one
     note per file with omitted hits, in order of the file's first hit."""
-    c = cut(classify_hits(lines, key))      # read by the scans below: one leaf
+    # one leaf read by the scans below; a hash stands for a hit's text, and a row number
+    # for the line, so that no text is shuffled before it is known which lines are kept
+    c = cut(classify_hits(lines, key).withColumns({"text_key": F.md5("text_key"), "_row": F.monotonically_increasing_id()}))
     st = hit_status(c, cap, chunk_rows)
-    d = c.join(st.select("output_id", "line_no", "status"), ["output_id", "line_no"], "left")
+    d = c.select("output_id", "line_no", "kind", "file", "hit_n", "_row") \
+        .join(st.select("output_id", "line_no", "status"), ["output_id", "line_no"], "left")
     ev = (F.when(F.col("kind") == "sep", S).when(F.col("kind") == "other", O)
           .when(F.col("status") == "kept", K).when(F.col("kind") == "hit", D))
     code = F.col("line_no").cast("long") * 8 + ev
@@ -92,10 +95,10 @@ def compact_search_hits(lines: DataFrame, cap: int = MATCH_CAP, context: int = C
     keep = ((F.col("_ev") == K) | (F.col("_ev") == O) | ((F.col("_ev") == S) & ((F.col("_next_nd") % 8) == K))
             | keep_ctx)
     # one leaf for the kept-row scan and the per-file notes
-    e = cut(d.select("output_id", "line_no", "line", "kind", "file", "hit_n", "status", keep.alias("_keep")))
-    kept = segmented_scan(e.where("_keep").select("output_id", "line_no", "line"), ["output_id"], "line_no",
-                          chunk_rows=chunk_rows, running_sum={"_cum": F.lit(1)},
-                          total_sum={"_total": F.lit(1)}).drop(CHUNK_COL)
+    e = cut(d.select("output_id", "line_no", "kind", "file", "hit_n", "status", "_row", keep.alias("_keep")))
+    kept = segmented_scan(e.where("_keep").select("output_id", "line_no", "_row"), ["output_id"], "line_no",
+                          chunk_rows=chunk_rows, running_sum={"_cum": F.lit(1)}).drop(CHUNK_COL)
+    kept = kept.join(c.select("_row", "line"), "_row")
     body = kept.select("output_id", (F.col("_cum") - 1).cast("long").alias("seq"), F.lit("line").alias("kind"),
                        F.col("line_no").alias("src_line_no"), "line", F.lit(0).cast("long").alias("n_omitted"))
 

@@ -70,7 +70,7 @@ def deal_by_shape(lines: DataFrame, key: str = "output_id", chunk_rows: int = DE
 
 @keeps_null_keys("lines")
 def cap_log_entries(lines: DataFrame, max_entries: int = LOG_MAX_ENTRIES, key: str = "output_id",
-                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                    chunk_rows: int = DEFAULT_CHUNK_ROWS, leaf: bool = False, shaped: bool = True) -> DataFrame:
     """Keep the first ``max_entries`` commit entries with all their lines.
 
     The format is fixed by the first line that is not blank after removing
@@ -81,6 +81,10 @@ def cap_log_entries(lines: DataFrame, max_entries: int = LOG_MAX_ENTRIES, key: s
     starts for decorated one-line logs, ``commit <sha>`` otherwise) is within
     the cap.  No note is written.  Kept rows are always a prefix, so ``seq`` is
     the line number.
+
+    ``leaf``: lines are a table that may be read twice, and are not persisted.  Without
+    ``shaped``, outputs may have other shapes than a log (T5): the same scan tells them,
+    an output of no shape stays as it is, and diffs go.
     """
     d = _own(lines, key)
     stripped = strip_graph(F.col("line"))
@@ -92,15 +96,18 @@ def cap_log_entries(lines: DataFrame, max_entries: int = LOG_MAX_ENTRIES, key: s
     first = F.when(nonblank, F.struct((-F.col("line_no")).alias("at"), is_commit_header(stripped).alias("std"),
                                       is_oneline_commit(stripped).alias("one")))
     dealt = CHUNK_COL in lines.columns
-    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=dealt,
+    shape = {} if shaped else dict(zip(("_d", "_l"), _shape_flags()))
+    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=dealt, leaf=leaf and not dealt,
                        running_sum={"_headers": is_commit_header(stripped).cast("int"),
                                     "_onelines": is_oneline_commit(stripped).cast("int")},
-                       total_max={"_first": first, "_graph": graph}).drop(CHUNK_COL)
+                       total_max={"_first": first, "_graph": graph} | shape).drop(CHUNK_COL)
     d = d.withColumns({"_std": F.col("_first.std"), "_one": F.col("_first.one") & ~F.col("_first.std")})
     d = d.withColumn("_entries", F.when(F.col("_one") & F.col("_graph"), F.col("_onelines")).otherwise(F.col("_headers")))
     keep = (F.col("_std").isNull()                                   # nothing but blank lines: unchanged
             | F.when(F.col("_one") & ~F.col("_graph"), F.col("line_no") < max_entries)
             .otherwise(F.col("_entries") <= max_entries))
+    if not shaped:
+        keep = F.when(_shape() == "log", keep).otherwise(_shape() == "other")
     return _d3(d.where(keep), F.col("line_no"), "line", F.col("line_no"), F.col("line"), F.lit(0))
 
 
@@ -115,7 +122,7 @@ FILES_NOTE = "{marker} {n} files changed — file headers compressed\n"
 @keeps_null_keys("lines")
 def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int = DIFF_CONTEXT,
                  multifile: int = DIFF_MULTIFILE, key: str = "output_id", marker: str = DEFAULT_MARKER,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, leaf: bool = False) -> DataFrame:
     """T10 + T11 on diff outputs.
 
     T10: ``index ..`` lines are dropped; ``@@`` opens a hunk that only
@@ -128,6 +135,7 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     numbering, any other gap is kept whole.
 
     Lines with a ``_chunk`` column come dealt by an earlier scan over their outputs.
+    ``leaf``: lines are a table that may be read twice, and are persisted once only.
 
     No window spans a hunk or an output, and lines are dealt once: three scans over
     the same chunks give the position among the lines that are not dropped and the
@@ -143,7 +151,8 @@ def compact_diff(lines: DataFrame, min_hunk: int = DIFF_MIN_HUNK, context: int =
     is_hh = ~idx_drop & l.startswith("@@")
     is_dg = ~idx_drop & ~is_hh & l.startswith("diff --git")
     adv = ~idx_drop & ~l.startswith("-")
-    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=CHUNK_COL in lines.columns,
+    dealt = CHUNK_COL in lines.columns
+    d = segmented_scan(d, ["output_id"], "line_no", chunk_rows=chunk_rows, dealt=dealt, leaf=leaf and not dealt,
                        running_max={"_last": F.when(is_hh, F.col("line_no").cast("long") * 2 + 1)
                                     .when(is_dg, F.col("line_no").cast("long") * 2)},
                        running_sum={"_p": (~idx_drop).cast("int"), "_advc": adv.cast("int")},

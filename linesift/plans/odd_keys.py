@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..operators.checklist import checklist_status
 from ..operators.document import document_view
 from ..operators.hits import compact_search_hits
 from ..operators.listing import compact_listing
+from ..operators.scan import cut, cut_parts
 from ..operators.vcs import cap_log_entries
 from . import checklists, documents, listing, search, vcs
 from .catalog import ORACLE, register
@@ -41,15 +44,19 @@ def null_output_ids(spark, sf_dir):
     def lost(df, family):
         return df.withColumn("output_id", F.expr(f"nullif(output_id, {_LOST[family]})"))
 
-    vl, vf = documents.view_files(spark, sf_dir)
-    found = {"search": compact_search_hits(lost(search.search_output_lines(spark, sf_dir), "search")),
-             "log": cap_log_entries(lost(vcs.log_lines(spark, sf_dir), "log")),
-             "listing": compact_listing(lost(listing.listing_lines(spark, sf_dir), "listing")),
-             "file": document_view(lost(vl, "file"), lost(vf, "file"))}
-    parts = [df.groupBy("output_id").agg(F.count(F.lit(1)).alias("lines_out"), F.sum("n_omitted").alias("omitted"))
-             .select(F.lit(f).alias("family"), F.col("output_id").cast("string").alias("output_id"), "lines_out", "omitted")
-             for f, df in found.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def file():
+        vl, vf = documents.view_files(spark, sf_dir)
+        return document_view(lost(vl, "file"), lost(vf, "file"))
+
+    found = {"search": lambda: compact_search_hits(lost(search.search_output_lines(spark, sf_dir), "search")),
+             "log": lambda: cap_log_entries(lost(cut(vcs.log_lines(spark, sf_dir)), "log"), leaf=True),
+             "listing": lambda: compact_listing(lost(listing.listing_lines(spark, sf_dir), "listing")),
+             "file": file}
+
+    def counted(family):
+        df = found[family]()
+        return df.groupBy("output_id").agg(F.count(F.lit(1)).alias("lines_out"), F.sum("n_omitted").alias("omitted")) \
+            .select(F.lit(family).alias("family"), F.col("output_id").cast("string").alias("output_id"), "lines_out", "omitted")
+
+    # one family after another: the disk holds the lines and scans of one at a time
+    return cut_parts(spark, [partial(counted, f) for f in found])
