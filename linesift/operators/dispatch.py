@@ -31,8 +31,8 @@ from .hits import compact_search_hits
 from .lines import binary_flag, text_column
 from .listing import compact_listing
 from .runs import collapse_runs
-from .scan import keeps_null_keys, unwrap_keys, wrap_key
-from .vcs import cap_log_entries, compact_diff, deal_by_shape
+from .scan import cut_parts, keeps_null_keys, materialize, unwrap_keys, wrap_key
+from .vcs import cap_log_entries, classify_vcs, compact_diff
 
 # Fixed command routing of the reference.
 ROUTES = {"rg": "search", "grep": "search", "git": "vcs", "fd": "listing", "find": "listing", "ls": "listing",
@@ -42,7 +42,7 @@ D3 = ["output_id", "seq", "kind", "src_line_no", "line", "n_omitted"]
 
 
 def basename(command):
-    return F.regexp_extract(command, "([^/]*)$", 1)
+    return F.substring_index(command, "/", -1)
 
 
 def strategy_of(command, extra: Mapping[str, object] | None = None):
@@ -50,9 +50,8 @@ def strategy_of(command, extra: Mapping[str, object] | None = None):
     expr = F.lit("generic")
     for cmd in sorted(extra or {}):
         expr = F.when(b == cmd, F.lit("x:" + cmd)).otherwise(expr)
-    for cmd, strat in sorted(ROUTES.items()):
-        if cmd not in (extra or {}):
-            expr = F.when(b == cmd, F.lit(strat)).otherwise(expr)
+    for strat in sorted(set(ROUTES.values())):
+        expr = F.when(b.isin([c for c, s in ROUTES.items() if s == strat and c not in (extra or {})]), F.lit(strat)).otherwise(expr)
     return expr
 
 
@@ -62,14 +61,35 @@ def _unchanged(lines: DataFrame) -> DataFrame:
                         F.lit(0).cast("long").alias("n_omitted"))
 
 
+def compacted_sizes(compacted: DataFrame) -> DataFrame:
+    """What T16 needs of compacted rows: lines and bytes out per output."""
+    return compacted.groupBy("output_id").agg(F.count(F.lit(1)).alias("lines_out"), *_sizes())
+
+
+def _sizes() -> list:
+    return [F.sum(F.octet_length("line")).cast("long").alias("_bytes"), F.sum(F.length("line")).cast("long").alias("_chars")]
+
+
+# Commands of a table that are named in the filters of its strategies.
+_FEW_COMMANDS = 1 << 8
+# Outputs of a shape that are looked up in every task instead of being joined.
+_FEW_OUTPUTS = 1 << 15
+
+
 @keeps_null_keys("lines")
 def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
-            options: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
-    """Compacted rows (D3) for every output of ``lines``.
+            options: Mapping[str, Mapping[str, object]] | None = None,
+            each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Compacted rows (D3) for every output of ``lines``, which every strategy
+    reads more than once: best a table (``cut``).
 
     ``options`` are keyword arguments by strategy: ``generic``, ``search``,
     ``listing``, ``diff``, ``log``, ``outline`` and ``view`` take those of their
     operator, ``file`` takes ``outline_threshold``.
+
+    ``each`` is what is wanted of a strategy's rows (``compacted_sizes``): it is
+    computed of one strategy after another and written, and what a strategy has
+    persisted, cut and shuffled is freed before the next.  The result is the union.
     """
     o = {k: dict(v) for k, v in (options or {}).items()}
     threshold = o.get("file", {}).get("outline_threshold", OUTLINE_THRESHOLD)
@@ -87,41 +107,59 @@ def compact(lines: DataFrame, strategies: Mapping[str, Callable[[DataFrame], Dat
     d = d.withColumn("_strategy", F.when(skip, F.lit("bypass")).otherwise(strategy_of(F.col("command"), strategies)))
     base = ["output_id", "line_no", "line"]
 
-    def part(name):
-        return d.where(F.col("_strategy") == name)
+    # few commands are named, so that a parquet table is not read where others lie
+    routed = d.select("_strategy", "command").distinct().limit(_FEW_COMMANDS + 1).collect()
+    few = len(routed) <= _FEW_COMMANDS
+    asked = {r[0] for r in (routed if few else d.select("_strategy").distinct().collect())}
 
-    asked = {r[0] for r in d.select("_strategy").distinct().collect()}
-    out = [_unchanged(part("bypass").select(*base))]
-    if "generic" in asked:
-        out.append(collapse_runs(part("generic").select(*base), **o.get("generic", {})))
-    if "search" in asked:
-        out.append(compact_search_hits(part("search").select(*base), **o.get("search", {})))
-    if "listing" in asked:
-        out.append(compact_listing(part("listing").select(*base), **o.get("listing", {})))
-    if "vcs" in asked:
-        vcs = deal_by_shape(part("vcs").select(*base))
-        out += [compact_diff(vcs.where(F.col("shape") == "diff"), **o.get("diff", {})),
-                cap_log_entries(vcs.where(F.col("shape") == "log"), **o.get("log", {})),
-                _unchanged(vcs.where(F.col("shape") == "other"))]
-    if "file" in asked:
-        files = part("file")
-        meta = (files.groupBy("output_id")
+    def part(name):
+        mine = d.where(F.col("_strategy") == name)
+        if few:
+            commands = [r[1] for r in routed if r[0] == name]
+            named = F.col("command").isin([c for c in commands if c is not None])
+            mine = mine.where(named | F.col("command").isNull() if None in commands else named)
+        return mine
+
+    def diffs(here: bool) -> DataFrame:
+        """The version-control lines of diffs, or of all other outputs."""
+        return part("vcs").select(*base).join(diff_ids, "output_id", "left_semi" if here else "left_anti")
+
+    def files(big_ones: bool) -> DataFrame:
+        lf = part("file")
+        meta = (lf.groupBy("output_id")
                 .agg(F.count(F.lit(1)).alias("_n"), F.first("args", ignorenulls=True).alias("_args")))
         has_arg = F.size(F.coalesce("_args", F.array().cast("array<string>"))) > 0
         meta = meta.select("output_id", F.when(has_arg, F.element_at("_args", -1)).alias("filename"),
                            F.when(has_arg, F.col("_n")).alias("total_lines"))
         big = F.coalesce(F.col("filename").endswith(".py") & (F.col("total_lines") > threshold), F.lit(False))
-        fl = files.select(*base).join(meta.select("output_id", big.alias("_big")), "output_id")
-        out += [outline(fl.where("_big").select(*base), meta.where(big), **o.get("outline", {})),
-                document_view(fl.where(~F.col("_big")).select(*base), meta.where(~big), **o.get("view", {}))]
+        mine = meta.where(big if big_ones else ~big)
+        fl = lf.select(*base).join(mine.select("output_id"), "output_id")
+        return outline(fl, mine, **o.get("outline", {})) if big_ones else document_view(fl, mine, **o.get("view", {}))
 
+    out = [lambda: _unchanged(part("bypass").select(*base))]
+    if "generic" in asked:
+        out.append(lambda: collapse_runs(part("generic").select(*base), **o.get("generic", {})))
+    if "search" in asked:
+        out.append(lambda: compact_search_hits(part("search").select(*base), **o.get("search", {})))
+    if "listing" in asked:
+        out.append(lambda: compact_listing(part("listing").select(*base), **o.get("listing", {})))
+    if "vcs" in asked:
+        diff_ids = materialize(classify_vcs(part("vcs")).where(F.col("shape") == "diff").select("output_id"))
+        diff_ids = F.broadcast(diff_ids) if diff_ids.count() <= _FEW_OUTPUTS else diff_ids
+        # the scan of the logs tells the shape of outputs that are no diffs
+        out += [lambda: compact_diff(diffs(True), leaf=True, **o.get("diff", {})),
+                lambda: cap_log_entries(diffs(False), leaf=True, shaped=False, **o.get("log", {}))]
+    if "file" in asked:
+        out += [lambda: files(True), lambda: files(False)]
     for cmd, fn in sorted((strategies or {}).items()):
         if f"x:{cmd}" in asked:
-            out.append(wrap_key(fn(unwrap_keys(part("x:" + cmd).select(*base))).select(*D3), "output_id"))
+            out.append(lambda cmd=cmd, fn=fn: wrap_key(fn(unwrap_keys(part("x:" + cmd).select(*base))).select(*D3), "output_id"))
 
-    res = out[0].select(*D3)
-    for o in out[1:]:
-        res = res.unionByName(o.select(*D3))
+    if each is not None:
+        return cut_parts(lines.sparkSession, [lambda f=f: each(f().select(*D3)) for f in out])
+    res = out[0]().select(*D3)
+    for f in out[1:]:
+        res = res.unionByName(f().select(*D3))
     return res
 
 
@@ -139,7 +177,8 @@ def outputs_to_lines(outputs: DataFrame, key: str = "output_id") -> DataFrame:
 
 def line_metrics(lines: DataFrame, compacted: DataFrame, outputs: DataFrame | None = None, key: str = "output_id") -> DataFrame:
     """T16 from a line table: the invocation facts per output (lines and bytes
-    in and out, ``compressed_lines`` NULL when unchanged, ``full``).
+    in and out, ``compressed_lines`` NULL when unchanged, ``full``).  ``compacted`` are
+    rows, or their ``compacted_sizes``, of which an output may have several.
 
     A line table has no rows of an empty or missing output; with ``outputs`` each
     of them is a row, as the log has every call.  Lines of an output that came as
@@ -149,17 +188,17 @@ def line_metrics(lines: DataFrame, compacted: DataFrame, outputs: DataFrame | No
     meta = [F.first("command", ignorenulls=True).alias("command")] if "command" in cols else []
     if "full" in cols:
         meta.append(F.max(F.coalesce("full", F.lit(False))).alias("full"))
-    sizes = [F.sum(F.octet_length("line")).cast("long").alias("_bytes"), F.sum(F.length("line")).cast("long").alias("_chars")]
     raw = lines.groupBy("output_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.count_if(F.col("line").endswith("\n")).alias("stdout_lines"),
-        *sizes, source.alias("_source"), *meta)
+        *_sizes(), source.alias("_source"), *meta)
     raw = raw.withColumn("stdout_bytes", F.when(F.col("_source"), F.col("_chars")).otherwise(F.col("_bytes"))).drop("_bytes", "_chars")
     if outputs is not None:
         given = [F.col(key).alias("output_id"), *[F.col(c) for c in ("command", "full") if c in outputs.columns]]
         known = [c for c in ("command", "full") if c in outputs.columns]
         raw = outputs.select(*given).join(raw.drop(*known).withColumnRenamed("output_id", "_oid"), F.col("output_id").eqNullSafe(F.col("_oid")), "left") \
             .drop("_oid").fillna(0, ["line_count", "stdout_lines", "stdout_bytes"])
-    out = compacted.groupBy(F.col("output_id").alias("_oid")).agg(F.count(F.lit(1)).alias("lines_out"), *sizes)
+    sizes = compacted if "lines_out" in compacted.columns else compacted_sizes(compacted)
+    out = sizes.groupBy(F.col("output_id").alias("_oid")).agg(*[F.sum(c).alias(c) for c in ("lines_out", "_bytes", "_chars")])
     zero = F.lit(0).cast("long")
     d = raw.join(out, F.col("output_id").eqNullSafe(F.col("_oid")), "left").withColumns({
         "lines_out": F.coalesce("lines_out", zero),
@@ -171,4 +210,4 @@ def line_metrics(lines: DataFrame, compacted: DataFrame, outputs: DataFrame | No
         "full": full})
 
 
-__all__ = ["compact", "outputs_to_lines", "line_metrics", "strategy_of", "ROUTES", "text_column"]
+__all__ = ["compact", "compacted_sizes", "outputs_to_lines", "line_metrics", "strategy_of", "ROUTES", "text_column"]

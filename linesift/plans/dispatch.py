@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.dispatch import compact, line_metrics, outputs_to_lines
+from ..operators.dispatch import compact, compacted_sizes, line_metrics, outputs_to_lines
 from ..operators.lines import binary_flag
-from ..operators.scan import cut
+from ..operators.scan import cut_parts
 from ..operators.usage import savings_by_command
 from ..session import ensure_checkpoint_dir
 from . import documents, listing, search, vcs
@@ -49,33 +49,39 @@ def binary_flag_q(spark, sf_dir):
     return p.select("page_id", binary_flag(p).alias("is_binary"))
 
 
-def all_lines(spark, sf_dir):
-    """Every derived family as one line table with per-line command metadata."""
+def families(spark, sf_dir):
+    """Every derived family as a line table with per-line command metadata, as calls
+    that build them."""
     def fam(lines, prefix, command, args, full=F.lit(False)):
         return lines.select(F.concat(F.lit(prefix), F.col("output_id").cast("string")).alias("output_id"),
                             "line_no", "line", F.lit(command).alias("command"), args.alias("args"),
                             full.alias("full"), F.lit(False).alias("binary"))
 
-    vl, vf = documents.view_files(spark, sf_dir)
-    cat = vl.join(vf.select("output_id", "filename"), "output_id")
-    parts = [
-        fam(cat, "doc-", "cat", F.array("filename")),
-        fam(search.search_output_lines(spark, sf_dir), "rg-", "rg", F.array(F.lit("-C2"), F.lit("the")),
-            (F.col("output_id") % 11) == 0),
-        fam(vcs.log_lines(spark, sf_dir), "log-", "git", F.array(F.lit("log"))),
-        fam(vcs.diff_lines(spark, sf_dir), "diff-", "git", F.array(F.lit("diff"))),
+    def cat():
+        vl, vf = documents.view_files(spark, sf_dir)
+        return fam(vl.join(vf.select("output_id", "filename"), "output_id"), "doc-", "cat", F.array("filename"))
+
+    def ls():
+        return listing.listing_lines(spark, sf_dir).select(
+            F.concat(F.lit("ls-"), "output_id").alias("output_id"), "line_no", "line",
+            F.when(F.col("output_id").startswith("pages-"), F.lit("ls")).otherwise(F.lit("/usr/bin/find")).alias("command"),
+            F.array(F.lit(".")).alias("args"), F.lit(False).alias("full"), F.lit(False).alias("binary"))
+
+    return [
+        cat,
+        lambda: fam(search.search_output_lines(spark, sf_dir), "rg-", "rg", F.array(F.lit("-C2"), F.lit("the")),
+                    (F.col("output_id") % 11) == 0),
+        lambda: fam(vcs.log_lines(spark, sf_dir), "log-", "git", F.array(F.lit("log"))),
+        lambda: fam(vcs.diff_lines(spark, sf_dir), "diff-", "git", F.array(F.lit("diff"))),
+        ls,
+        lambda: outputs_to_lines(_pages(spark, sf_dir).drop("page_id")).select(
+            "output_id", "line_no", "line", "command", "args", "full", "binary"),
     ]
-    ls = listing.listing_lines(spark, sf_dir)
-    parts.append(ls.select(F.concat(F.lit("ls-"), "output_id").alias("output_id"), "line_no", "line",
-                           F.when(F.col("output_id").startswith("pages-"), F.lit("ls"))
-                           .otherwise(F.lit("/usr/bin/find")).alias("command"),
-                           F.array(F.lit(".")).alias("args"), F.lit(False).alias("full"), F.lit(False).alias("binary")))
-    parts.append(outputs_to_lines(_pages(spark, sf_dir).drop("page_id")).select(
-        "output_id", "line_no", "line", "command", "args", "full", "binary"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+
+
+def all_lines(spark, sf_dir):
+    """Every derived family in one line table, derived one after another."""
+    return cut_parts(spark, families(spark, sf_dir))
 
 
 def _fam_sql(prefix: str, command: str, raw: str, out: str, full: str = "false", binary: str = "false") -> str:
@@ -128,11 +134,11 @@ def compact_all(spark, sf_dir):
     """T0 + T15 + T16 + A7: every family through the dispatcher, savings by command.
     (Bypassed outputs count as full calls; binary pages pass through unchanged.)"""
     ensure_checkpoint_dir(spark)
-    # The derived families are costly and every strategy branch reads its slice
-    # of them: written once, as a compressed table by column (commands and arguments
-    # repeat on every line; a checkpoint writes them all out).
-    lines = cut(all_lines(spark, sf_dir))
-    compacted = compact(lines)
+    # The derived families are costly and every strategy reads its slice of them:
+    # written once, as a compressed table by column.  Of the compacted rows only the
+    # sizes are kept, strategy by strategy.
+    lines = all_lines(spark, sf_dir)
+    compacted = compact(lines, each=compacted_sizes)
     facts = line_metrics(lines, compacted)
     return rounded(savings_by_command(facts.select("command", "stdout_lines", "stdout_bytes", "compressed_lines",
                                                    "full", F.lit(None).cast("string").alias("session_id"))))
